@@ -1,0 +1,44 @@
+"""Tables written to the folder all executors share, to cut lineage and to read a result twice."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only in a local session that names none."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="isovox-")
+    context.setCheckpointDir(own)
+    return own
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: lost executors don't lose it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column prefix that no column of ``df`` begins with."""
+    names = [c.lower() for c in df.columns]
+    prefix, n = f"_{stem}_", 0
+    while any(c.startswith(prefix) for c in names):
+        n += 1
+        prefix = f"_{stem}{n}_"
+    return prefix
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, which is set with the data's size."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
