@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from isovox.llm.mixing import OP6_SQL, op6_mix_sources
 from isovox.llm.quality_rules import OP7_SQL, op7_quality_rules
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
-ORACLE_SQL = {"op7_quality_rules": OP7_SQL}
+QUERIES = {"op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules}
+ORACLE_SQL = {"op6_mix_sources": OP6_SQL, "op7_quality_rules": OP7_SQL}
