@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from isovox.llm.language_id import op8_language_id
 from isovox.llm.mixing import OP6_SQL, op6_mix_sources
+from isovox.llm.quality_model import op3_quality_model
 from isovox.llm.quality_rules import OP7_SQL, op7_quality_rules
 
-QUERIES = {"op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules}
+QUERIES = {
+    "op3_quality_model": op3_quality_model,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
+}
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL, "op7_quality_rules": OP7_SQL}
