@@ -5,6 +5,7 @@ from __future__ import annotations
 from isovox.llm.fingerprints import op1_fingerprints
 from isovox.llm.language_id import op8_language_id
 from isovox.llm.mixing import OP6_SQL, op6_mix_sources
+from isovox.llm.near_dedup import op5_near_dedup
 from isovox.llm.packing import op2_pack
 from isovox.llm.quality_model import op3_quality_model
 from isovox.llm.quality_rules import OP7_SQL, op7_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_pack": op2_pack,
     "op3_quality_model": op3_quality_model,
+    "op5_near_dedup": op5_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
