@@ -9,6 +9,7 @@ from isovox.llm.near_dedup import op5_near_dedup
 from isovox.llm.packing import op2_pack
 from isovox.llm.quality_model import op3_quality_model
 from isovox.llm.quality_rules import OP7_SQL, op7_quality_rules
+from isovox.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL, "op7_quality_rules": OP7_SQL}
