@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from isovox.llm.fingerprints import op1_fingerprints
+from isovox.llm.hidden_markov import op10_hidden_markov
 from isovox.llm.language_id import op8_language_id
 from isovox.llm.mixing import OP6_SQL, op6_mix_sources
 from isovox.llm.near_dedup import op5_near_dedup
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_hidden_markov": op10_hidden_markov,
 }
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL, "op7_quality_rules": OP7_SQL}
