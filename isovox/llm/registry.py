@@ -11,11 +11,13 @@ from isovox.llm.packing import op2_pack
 from isovox.llm.quality_model import op3_quality_model
 from isovox.llm.quality_rules import OP7_SQL, op7_quality_rules
 from isovox.llm.substring_dedup import op9_substring_dedup
+from isovox.llm.surrogates import op4_surrogates
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_pack": op2_pack,
     "op3_quality_model": op3_quality_model,
+    "op4_surrogates": op4_surrogates,
     "op5_near_dedup": op5_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
