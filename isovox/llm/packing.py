@@ -7,8 +7,10 @@ is on the driver; pieces find their place from their rank among the pieces of th
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,61 +23,93 @@ from isovox.llm._store import partitions, written
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps.
-CACHE = 400_000
+#: Words whose ids a worker keeps; it begins anew beyond.
+CACHE = 2_500_000
+#: Words the tokenizer gets at once.
+BATCH = 8192
 
 
 class Ids:
-    """Token ids of whole texts, from the ids of their words: the tokenizer never joins across white space."""
+    """Token ids of whole texts, from the ids of their words: the tokenizer never joins across white space.
+
+    Words are known by their 64-bit hashes, in sorted arrays: a large one and one of the latest.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.known.clear()
-        self.flat, self.ends, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, new: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, got, strict=True):
-            n, ids = len(self.known), e.ids
-            at = int(self.ends[n])
-            if at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            if n + 2 > len(self.ends):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.old, self.new = none, none
+        self.flat, self.ends, self.n = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    @staticmethod
+    def _find(known: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+        """The numbers of sorted hashes, -1 where unknown."""
+        if not len(known[0]):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+        return np.where(known[0][at] == h, known[1][at], -1)
+
+    @staticmethod
+    def _merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(one[0], other[0])
+        return np.insert(one[0], at, other[0]), np.insert(one[1], at, other[1])
+
+    def _learn(self, h: np.ndarray, new: list[str]) -> None:
+        first = self.n
+        for at in range(0, len(new), BATCH):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + BATCH], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+            begin = int(self.ends[self.n])
+            while begin + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            while self.n + len(got) + 1 > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-            self.flat[at : at + len(ids)] = ids
-            self.ends[n + 1] = at + len(ids)
-            self.known[w] = n
+            self.flat[begin : begin + len(ids)] = ids
+            self.ends[self.n + 1 : self.n + 1 + len(got)] = begin + np.cumsum(sizes)
+            self.n += len(got)
+        self.new = self._merged(self.new, (h, np.arange(first, self.n)))
+        if len(self.new[0]) > 200_000:
+            self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def of(self, column: pa.Array, last: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each text followed by ``last``, end to end, and the n + 1 offsets."""
         w = _text.words(column)
-        h = w.hashes()
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        raw, starts, ends = w.data.tobytes(), w.start[first].tolist(), w.end[first].tolist()
-        uniq = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-        if len(self.known) + len(uniq) > CACHE:
+        h, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        if self.n + len(h) > CACHE:
             self._clear()
-        known = self.known
-        new = [x for x in uniq if x not in known]
-        if new:
-            self._learn(new)
-        number = np.fromiter((known[x] for x in uniq), np.int64, len(uniq))[back]
+        number = np.maximum(self._find(self.old, h), self._find(self.new, h))
+        lacking = np.flatnonzero(number < 0)
+        if len(lacking):
+            raw, i = w.data.tobytes(), first[lacking]
+            number[lacking] = self.n + np.arange(len(lacking))
+            self._learn(h[lacking], [raw[a:b].decode() for a, b in zip(w.start[i].tolist(), w.end[i].tolist(), strict=True)])
+        number = number[back]
         begin, size = self.ends[number], self.ends[number + 1] - self.ends[number]
         before = np.concatenate([[0], np.cumsum(size)])
-        doc_first = before[w.first]
         # Each text's ids move on by one place for every text before it, whose last id stands there.
-        out = np.full(int(before[-1]) + len(column), last, np.uint32)
-        to = before[:-1] + w.doc()
         total = int(before[-1])
+        out = np.full(total + len(column), last, np.uint32)
         within = np.arange(total) - np.repeat(before[:-1], size)
-        out[np.repeat(to, size) + within] = self.flat[np.repeat(begin, size) + within]
-        return out, doc_first + np.arange(len(column) + 1)
+        out[np.repeat(before[:-1] + w.doc(), size) + within] = self.flat[np.repeat(begin, size) + within]
+        return out, before[w.first] + np.arange(len(column) + 1)
+
+
+_ids: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """This worker's own, kept from task to task."""
+    if path not in _ids:
+        _ids.clear()
+        _ids[path] = Ids(path)
+    return _ids[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
@@ -85,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer)
+        ids = ids_of(tokenizer)
         for part in _text.chunks(batches):
             flat, offs = ids.of(part.column("text"))
             n = -(-np.diff(offs) // length)
