@@ -254,7 +254,8 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     under 20 words lose none. A null id counts as the least. Rows of one id are one document and must repeat one
     text: none is a repeat of the other. The first of overlapping repeats within a text stays.
     """
-    n = 4 * partitions(docs.sparkSession)
+    # As many parts and buckets as a shuffle has partitions: their blobs are no more than a shuffle's blocks.
+    n = partitions(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "text")
     texts = docs.mapInArrow(_press(n), "part bigint, doc_id bigint, blob binary")
     shared = docs.mapInArrow(anchors(n), _BLOBS).groupBy("bucket").applyInArrow(_shared(n), _TOLD)
