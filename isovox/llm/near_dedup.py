@@ -3,8 +3,9 @@
 Two small collections of ``bands`` half keys, each from two minhashes, make bands * bands table keys by pairing
 a half of one with a half of the other: 4 * bands minhashes serve bands ** 2 tables of four. Documents with equal
 shingle sets are one class. In every bucket the classes are compared with one leader on their full sets; where a
-bucket's classes are then still in more than one component, all of it is compared in blocks, and only links leave
-a block. So no bucket is capped, and none is expanded into rows of all its pairs.
+bucket's classes are then still in more than one component, those outside its main one are compared with all of
+the bucket, in blocks, and only links leave a block. So no bucket is capped, and none is expanded into rows of all
+its pairs.
 """
 
 from __future__ import annotations
@@ -132,25 +133,25 @@ def _verify(k: int, percent: int):
 
 
 def _block(k: int, percent: int):
-    """All links between classes of different components in a block."""
+    """All links of a block between classes of different components."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")
-        node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+        node, label, main = (table.column(c).to_numpy() for c in ("node", "label", "main"))
         sets = _sets(table.column("blob").to_pylist(), k)
         size = np.array([len(s) for s in sets])
         who = np.repeat(np.arange(len(sets)), size)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
         us, vs = [], []
-        for i, own in enumerate(sets):
-            lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        for i in np.flatnonzero(label != main):
+            # How many shingles every other has in common with this one.
+            lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], side="right")
             n = hi - lo
-            others = who[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            others = who[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             both = np.bincount(others, minlength=len(sets))
-            ok = (100 * both >= percent * (size[i] + size - both)) & (label != label[i]) & (np.arange(len(sets)) > i)
-            j = np.flatnonzero(ok)
+            j = np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (label != label[i]))
             us.append(np.full(len(j), node[i]))
             vs.append(node[j])
         return pa.table({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
@@ -158,6 +159,19 @@ def _block(k: int, percent: int):
     return run
 
 
+def _cross_links(members: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components among the members (main, node, label) of each main component's buckets.
+
+    Blocks of those in the main component meet blocks of the others, and blocks of the others each other.
+    """
+    side = F.col("label") == F.col("main")
+    n = members.groupBy("main").agg(F.ceil(F.sum(side.cast("int")) / BLOCK).cast("int").alias("mains"), F.ceil(F.sum((~side).cast("int")) / BLOCK).cast("int").alias("others"))
+    seats = members.join(n, "main").withColumn("own", F.when(side, F.pmod(F.xxhash64("node", F.lit("block")), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node", F.lit("block")), "others")).cast("int"))
+    seats = seats.withColumn("with", F.explode(F.sequence(F.when(side, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
+    seats = seats.select("main", "node", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(blobs, "node")
+    return seats.groupBy("main", "i", "j").applyInArrow(_block(k, percent), "u bigint, v bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text and any others).
 
@@ -186,17 +200,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     u, v = blobs.select(F.col("node").alias("u"), F.col("blob").alias("ublob")), blobs.select(F.col("node").alias("v"), F.col("blob").alias("vblob"))
     links = written(pairs.join(v, "v").join(u, "u").mapInArrow(_verify(k, percent), "u bigint, v bigint"), "links")
     label = written(components(links), "labels")
-    # Buckets in more than one component: those with the same members once.
+    # Buckets still in more than one component: all of those with one main component are compared together, once.
     told = keys.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("a"), F.bit_xor("node").alias("b")).where("lo <> hi")
-    mixed = written(mixed.groupBy("n", "a", "b").agg(F.min("key").alias("key")), "mixed")
-    if not mixed.isEmpty():
-        n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        seats = told.join(mixed.select("key", "n"), "key").withColumn("side", F.pmod(F.xxhash64("node", F.lit("side")), n_blocks).cast("int"))
-        seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        seats = seats.select("key", "node", "label", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(blobs, "node")
-        more = seats.groupBy("key", "i", "j").applyInArrow(_block(k, percent), "u bigint, v bigint").distinct()
-        label = written(components(written(links.union(more), "links")), "labels")
+    mixed = told.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(told.join(mixed.select("key", "main"), "key").select("main", "node", "label").distinct(), "members")
+    if not members.isEmpty():
+        links = written(links.union(_cross_links(members, blobs, k, percent)), "links")
+        label = written(components(links), "labels")
     reps = classes.join(label, "node", "left").select("node", "check", "rep", F.coalesce("label", "node").alias("label"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = reps.join(least, "label").select("node", "check", "component_id")

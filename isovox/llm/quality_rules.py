@@ -100,6 +100,8 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[R
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
     df, name = with_quality(docs, rules, base, text)
+    # A filter on a plain column would be pushed below the projections, with all their expressions written out in it.
+    df = df.withColumn(name["kept"], F.col(name["kept"]) & (F.spark_partition_id() >= 0))
     return df.where(F.col(name["kept"])).select(*docs.columns)
 
 
