@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isovox.llm import _text
-from isovox.llm._store import partitions
+from isovox.store import partitions
 
 WINDOW = 64
 #: Points that make a window a feature.

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isovox.llm._store import fresh, written
 from isovox.llm.quality_rules import WORD
+from isovox.store import fresh, written
 
 BLOCK = 16
 SHARD_ROWS = 256

@@ -20,8 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isovox.llm import _text
-from isovox.llm._store import fresh, written
-from isovox.llm.components import components
+from isovox.operators.components import components
+from isovox.store import fresh, written
 
 #: Half keys in each of the two collections: a pair at the threshold shares no table with a chance of about 1e-5.
 BANDS = 10

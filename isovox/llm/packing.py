@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isovox.llm import _text
-from isovox.llm._store import partitions, written
+from isovox.store import partitions, written
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
