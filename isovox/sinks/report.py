@@ -39,7 +39,7 @@ def findings_json(findings: DataFrame, volumes: DataFrame, series: DataFrame) ->
         ("voxelCount", F.col("voxel_count").cast("string")), ("meanHU", six_digits(F.col("mean_hu"))), ("stddevHU", six_digits(F.col("stddev_hu"))),
     )
     lists = findings.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"), _joined(one).alias("list"))
-    rows = volumes.join(series, "volume_id").join(lists, "volume_id", "left")
+    rows = volumes.select("volume_id", "width", "height", "depth", "voxel_spacing_mm").join(series, "volume_id").join(lists, "volume_id", "left")
     size = _object(("width", F.col("width").cast("string")), ("height", F.col("height").cast("string")), ("depth", F.col("depth").cast("string")), ("voxelSpacingMM", six_digits(F.col("voxel_spacing_mm"))))
     whole = _object(
         ("patientId", json_text(F.col("patient_id"))), ("modality", json_text(F.col("modality"))), ("studyDate", json_text(F.col("study_date"))), ("sliceCount", F.col("slice_count").cast("string")),
