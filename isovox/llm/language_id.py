@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from isovox.llm import _text
 
@@ -124,12 +125,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 def identified(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang_pred", score: str = "score", rejected: str = "rejected") -> DataFrame:
     """``docs`` without its text, with the nearest language, the cosine and whether the distance rejects it.
 
-    A null text or one without a letter is ``und`` with score 0, and rejected; so is every text without a model.
+    Columns of ``docs`` with the names of the new ones are replaced. A null text or one without a letter is ``und`` with score 0, and rejected; so is every text without a model.
     Ties go to the first language. Whole texts are read, however long; repeated rows get equal results.
     """
     keep = [c for c in docs.columns if c not in (text, lang, score, rejected)]
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{lang}` string, `{score}` double, `{rejected}` boolean"])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(lang, StringType()), StructField(score, DoubleType()), StructField(rejected, BooleanType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.chunks(batches, text, 1 << 20):

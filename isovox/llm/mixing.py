@@ -87,18 +87,17 @@ def with_taken(docs: DataFrame, size: Column, share: float = 1.5, weights: tuple
     rows = cells.groupBy("source").agg(F.sum("n").alias("rows"))
     n_shards = F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.ceil(F.col("rows") / shard_rows)))
     goal = written(goal.join(rows.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "rank", "source_size", "target", "blocks", n_shards.cast("long").alias("shards")), "mix-goal")
-    shard_of = lambda b: F.floor(b * F.col("shards") / BUCKETS).cast("long")
-    named = goal.withColumnRenamed("source", "_s")
-    shards = cells.join(named, F.col("source").eqNullSafe(F.col("_s"))).groupBy("rank", shard_of(F.col("bucket")).alias("shard")).agg(F.sum("size").alias("tokens"), F.first("blocks").alias("blocks"))
-    quotas = sainte_lague(shards, ["rank"], "tokens", "blocks", "shard").select(F.col("rank").alias("_r"), F.col("shard").alias("_h"), "tokens", "quota")
-    placed = df.join(named, df["source"].eqNullSafe(F.col("_s"))).withColumn("_shard", shard_of(c("bucket")))
-    placed = placed.select(*df.columns, F.col("rank").alias(p + "rank"), F.col("_shard").alias(p + "shard"), F.col("source_size").alias(p + "source_size"), F.col("target").alias(p + "target"))
-    placed = placed.join(quotas, (c("rank") == F.col("_r")) & (c("shard") == F.col("_h")))
+    shard_of = lambda b, n: F.floor(b * n / BUCKETS).cast("long")
+    shards = cells.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).groupBy("rank", shard_of(F.col("bucket"), F.col("shards")).alias("shard")).agg(F.sum("size").alias("tokens"), F.first("blocks").alias("blocks"))
+    quotas = sainte_lague(shards, ["rank"], "tokens", "blocks", "shard").select(F.col("rank").alias(p + "r"), F.col("shard").alias(p + "h"), F.col("tokens").alias(p + "tokens"), F.col("quota").alias(p + "quota"))
+    named = goal.select(F.col("source").alias(p + "s"), *[F.col(x).alias(p + x) for x in ("rank", "source_size", "target", "shards")])
+    placed = df.join(named, df["source"].eqNullSafe(c("s"))).withColumn(p + "shard", shard_of(c("bucket"), c("shards")))
+    placed = placed.join(quotas, (c("rank") == c("r")) & (c("shard") == c("h")))
     line = W.partitionBy(p + "rank", p + "shard").orderBy(p + "draw", "doc_id", p + "size")
     before = F.coalesce(F.sum(c("size")).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    take = F.least(F.col("quota") * block, F.col("tokens") * most)
-    passes = F.when(F.col("tokens") > 0, F.floor(take / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
-    rest = take - passes * F.col("tokens")
+    take = F.least(c("quota") * block, c("tokens") * most)
+    passes = F.when(c("tokens") > 0, F.floor(take / c("tokens"))).otherwise(F.lit(0)).cast("long")
+    rest = take - passes * c("tokens")
     placed = placed.withColumn(p + "taken", (passes * c("size") + F.greatest(F.lit(0), F.least(c("size"), rest - before))).cast("long"))
     made = ["size", "source_size", "target", "taken"]
     return placed.select(*docs.columns, *[p + m for m in made]), {m: p + m for m in made}
@@ -108,7 +107,7 @@ def mixed_documents(docs: DataFrame, size: Column | None = None, **how) -> DataF
     """The mix itself: each row as often as its taken words fill it, half or more of a text counting as all of it."""
     df, name = with_taken(docs, n_words(F.col("text")) if size is None else size, **how)
     copies = F.floor(F.col(name["taken"]) / F.greatest(F.col(name["size"]), F.lit(1)) + 0.5).cast("int")
-    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return df.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias(fresh(docs, "copy"))).select(*docs.columns)
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

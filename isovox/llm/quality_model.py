@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from isovox.llm import _text
 from isovox.llm.language_id import fold
@@ -141,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFrame:
     """``docs`` without its text, with the probability of label 1 (0.5 for all without a model).
 
-    Null and empty texts have no n-gram and get the model's bias. Equal texts get equal scores.
+    A column of ``docs`` with the name of the new one is replaced. Null and empty texts have no n-gram and get the model's bias. Equal texts get equal scores.
     """
     keep = [c for c in docs.columns if c not in ("text", score)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{score}` double"])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.chunks(batches):

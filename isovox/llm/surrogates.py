@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from isovox.llm import _text
 
@@ -264,7 +265,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text") -> Da
     kinds = "entity_kinds"
     while kinds in names:
         kinds = "_" + kinds
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{kinds}` array<string>"])
+    schema = StructType([*docs.schema.fields, StructField(kinds, ArrayType(StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cipher = Cipher(key)
