@@ -229,7 +229,7 @@ _PX = "px AS (SELECT n.z, n.y, ax.x, n.hu::DOUBLE * (1 - tx) + m.hu::DOUBLE * tx
 _PY = "py AS (SELECT a.z, ay.y, a.x, a.v * (1 - ty) + b.v * ty AS v FROM ay JOIN px a ON a.y = ay.y0 JOIN px b ON b.y = ay.y1 AND b.z = a.z AND b.x = a.x)"
 
 
-@query(f"WITH {_A}, {_PX}, {_PY} SELECT z, y, x, round(v, 7) AS v FROM py")
+@query(f"WITH {_A}, {_PX}, {_PY} SELECT z, y, x, CASE WHEN round(v, 7) = 0 THEN 0.0::DOUBLE ELSE round(v, 7) END AS v FROM py")
 def resample_xy(spark, sf_dir):
     slices = _series(spark, sf_dir)
     rows = reconstruct.planes(slices).join(reconstruct.geometry(slices).select("series_id", "out_width"), "series_id")
@@ -237,7 +237,7 @@ def resample_xy(spark, sf_dir):
     return rows.select("z", F.floor(F.col("i") / F.col("out_width")).cast("int").alias("y"), (F.col("i") % F.col("out_width")).cast("int").alias("x"), _rounded("v").alias("v"))
 
 
-@query(f"WITH {_A}, {_PX}, {_PY} SELECT az.z, a.y, a.x, round((a.v * (1 - tz) + b.v * tz)::FLOAT::DOUBLE, 2) AS v FROM az JOIN py a ON a.z = az.z0 JOIN py b ON b.z = az.z1 AND b.y = a.y AND b.x = a.x")
+@query(f"WITH {_A}, {_PX}, {_PY}, r AS (SELECT az.z, a.y, a.x, round((a.v * (1 - tz) + b.v * tz)::FLOAT::DOUBLE, 2) AS v FROM az JOIN py a ON a.z = az.z0 JOIN py b ON b.z = az.z1 AND b.y = a.y AND b.x = a.x) SELECT z, y, x, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS v FROM r")
 def trilinear_resample(spark, sf_dir):
     return volumes.to_voxels(reconstruct.reconstruct(_series(spark, sf_dir))).select("z", "y", "x", F.round(F.col("v").cast("double"), 2).alias("v"))
 
