@@ -118,8 +118,8 @@ WITH w AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
          row_number() OVER () AS rid
   FROM documents),
-g AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
-t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i+1], words[i+2]) AS k FROM g),
+g AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, unnest(words[1:len(words) - 2]) AS a, unnest(words[2:len(words) - 1]) AS b, unnest(words[3:len(words)]) AS c FROM w WHERE len(words) >= 3),
+t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM g),
 c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i+1, i+2]) AS p FROM t WHERE k >= 2) GROUP BY rid),
 m AS (
   SELECT doc_id, len(words) AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
