@@ -48,8 +48,8 @@ def _thresholds(args) -> detect.Thresholds:
 
 
 def _detect(spark, args) -> int:
-    slices, blocks = _volume(spark, args)
-    rows = export.findings_of(blocks, export.volumes_of(slices), _thresholds(args)).orderBy("id").collect()
+    _, blocks = _volume(spark, args)
+    rows = export.findings_of(blocks, _thresholds(args)).orderBy("id").collect()
     print(f"HU threshold: [{args.hu_min:.6g}, {args.hu_max:.6g}]\nMin voxel count: {args.min_voxels}\nFindings: {len(rows)} anomal{'y' if len(rows) == 1 else 'ies'}")
     for r in rows:
         print(f"\n  [{r['id']}] Centroid: {tuple(r['centroid'])}\n      Bounding box: {tuple(r['bbox_min'])} - {tuple(r['bbox_max'])}")
@@ -81,12 +81,12 @@ def _filters(spark, args) -> int:
 
 def _parallel(spark, args) -> int:
     """Times detection in one piece and in slabs, once the findings are the same."""
-    cube = written(volumes.nodules(spark), "nodules")
+    cube = written(volumes.to_blocks(volumes.nodules(spark)), "nodules")
     limits = detect.Thresholds(100, 500, 5)
     want = None
     for slabs in (None, 1, 2, 4, 8, 16):
         t = time.time()
-        rows = detect.detect(cube, limits, slabs).orderBy("id").collect()
+        rows = detect.detect_blocks(cube, limits, slabs).orderBy("id").collect()
         want = want or rows
         if rows != want:
             print("results differ: no times", file=sys.stderr)

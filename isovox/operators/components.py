@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isovox.store import written
+from isovox.store import dropped, written
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,10 +45,12 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: greater neighbours are linked with the least of the neighbourhood.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "edges")
+        dropped(edges)
         # Small star: lesser neighbours and the node itself are; every row of ``large`` has u > v.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         small = written(small, "edges")
+        dropped(large)
         # Stars alone remain once no node has two parents and no parent is a child.
         parents = small.select("v").distinct().withColumnRenamed("v", "u")
         if small.groupBy("u").count().where("count > 1").isEmpty() and small.join(parents, "u", "left_semi").isEmpty():

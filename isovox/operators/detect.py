@@ -11,6 +11,7 @@ links are too many for one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,40 @@ def runs(mask: DataFrame, size: DataFrame) -> DataFrame:
     return rows.select("volume_id", "run", "z", "y", "x0", "x1", "n", "sx", "sv", "svv")
 
 
+RUNS = "volume_id string, run bigint, z int, y int, x0 int, x1 int, n bigint, sx bigint, sv double, svv double"
+
+
+def runs_of_blocks(blocks: DataFrame, hu_min: float, hu_max: float) -> DataFrame:
+    """The same runs from whole slices: voxels never become rows."""
+    low, high = np.float32(hu_min), np.float32(hu_max)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, h, z = (batch.column(c)[i].as_py() for c in ("width", "height", "z"))
+                v = batch.column("data")[i].values.to_numpy().reshape(h, w)
+                inside = np.zeros((h, w + 2), np.int8)
+                inside[:, 1:-1] = (v >= low) & (v <= high)
+                steps = np.diff(inside, axis=1)
+                y, x0 = np.nonzero(steps > 0)
+                if not len(y):
+                    continue
+                x1 = np.nonzero(steps < 0)[1] - 1
+                n = x1 - x0 + 1
+                # Sums of each run: those over [start, end) pairs of the slice laid flat, every second of them.
+                flat = np.append(v.ravel().astype(np.float64), 0.0)
+                edges = np.stack([y * w + x0, y * w + x1 + 1], axis=1).ravel()
+                sv, svv = (np.add.reduceat(f, edges)[::2] for f in (flat, flat * flat))
+                run_id = (np.int64(z) * h + y) * w + x0
+                small = lambda a: a.astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("volume_id")[i].as_py()] * len(y), pa.string()), *map(pa.array, (run_id, np.full(len(y), z, np.int32), small(y), small(x0), small(x1), n, (x0 + x1) * n // 2, sv, svv))],
+                    [c.split()[0] for c in RUNS.split(", ")],
+                )
+
+    return blocks.select("volume_id", "z", "width", "height", "data").mapInArrow(run, RUNS)
+
+
 def links(found: DataFrame) -> DataFrame:
     """(volume_id, a, b) for every two runs that touch; each run looks at the four rows ahead of its own."""
     steps = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in FORWARD])
@@ -120,7 +155,12 @@ def volume_sizes(voxels: DataFrame) -> DataFrame:
 
 
 def labelled_runs(voxels: DataFrame, hu_min: float, hu_max: float, slabs: int | None = None, size: DataFrame | None = None) -> DataFrame:
-    found = written(runs(masked(voxels, hu_min, hu_max), volume_sizes(voxels) if size is None else size), "runs")
+    return labelled(runs(masked(voxels, hu_min, hu_max), volume_sizes(voxels) if size is None else size), slabs)
+
+
+def labelled(found: DataFrame, slabs: int | None = None) -> DataFrame:
+    """Runs with their component's label."""
+    found = written(found, "runs")
     label = labels_by_volume(found) if slabs is None else labels_by_slab(found, slabs)
     return found.join(label, ["volume_id", "run"], "left").withColumn("label", F.coalesce("label", "run"))
 
@@ -157,6 +197,12 @@ def detect(voxels: DataFrame, thresholds: Thresholds, slabs: int | None = None,
     return finished(sized(stats, thresholds.min_voxels, thresholds.max_voxels))
 
 
+def detect_blocks(blocks: DataFrame, thresholds: Thresholds, slabs: int | None = None) -> DataFrame:
+    """Findings of volumes in blocks: the way for large volumes, as only runs are rows."""
+    stats = component_stats(labelled(runs_of_blocks(blocks, thresholds.hu_min, thresholds.hu_max), slabs))
+    return finished(sized(stats, thresholds.min_voxels, thresholds.max_voxels))
+
+
 def voxel_labels(voxels: DataFrame, hu_min: float, hu_max: float, slabs: int | None = None) -> DataFrame:
     """(volume_id, z, y, x, label) of every voxel in the range."""
     rows = labelled_runs(voxels, hu_min, hu_max, slabs)

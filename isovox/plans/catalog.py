@@ -385,6 +385,11 @@ def detect_findings(spark, sf_dir):
     return _flat(detect.detect(_voxels(spark, sf_dir), LIMITS))
 
 
+@query(f"WITH RECURSIVE {_V}, {_C}, {_STATS}, {_FOUND} SELECT {_FLAT} FROM f")
+def detect_blocks(spark, sf_dir):
+    return _flat(detect.detect_blocks(volumes.to_blocks(_voxels(spark, sf_dir)), LIMITS))
+
+
 @query(f"WITH RECURSIVE {_V}, {_C}, {_STATS}, {_FOUND} SELECT {_FLAT} FROM f")
 def detect_slab_merge(spark, sf_dir):
     return _flat(detect.detect(_voxels(spark, sf_dir), LIMITS, slabs=4))

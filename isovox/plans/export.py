@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from isovox.operators import detect, reconstruct
 from isovox.sinks import png, report
 from isovox.sources import dicom
-from isovox.sources.volumes import to_voxels
 from isovox.store import written
 
 
@@ -41,8 +40,8 @@ def volumes_of(slices: DataFrame, target_mm: float = -1.0) -> DataFrame:
     return geo.select(F.col("series_id").alias("volume_id"), F.col("out_width").alias("width"), F.col("out_height").alias("height"), F.col("out_depth").alias("depth"), "voxel_spacing_mm", "modality")
 
 
-def findings_of(blocks: DataFrame, volumes: DataFrame, thresholds: detect.Thresholds) -> DataFrame:
-    return detect.detect(to_voxels(blocks), thresholds, size=volumes.select("volume_id", "width", "height"))
+def findings_of(blocks: DataFrame, thresholds: detect.Thresholds) -> DataFrame:
+    return detect.detect_blocks(blocks, thresholds)
 
 
 def export(spark: SparkSession, paths: list[str], out: str, thresholds: detect.Thresholds, fhir: bool = False) -> DataFrame:
@@ -53,7 +52,7 @@ def export(spark: SparkSession, paths: list[str], out: str, thresholds: detect.T
     slices = written(one_series(dicom.read_slices(spark, paths, "FAILFAST")), "slices")
     volumes, series = volumes_of(slices), series_info(slices)
     blocks = written(reconstruct.reconstruct(slices), "blocks")
-    findings = written(findings_of(blocks, volumes, thresholds), "findings")
+    findings = written(findings_of(blocks, thresholds), "findings")
     png.write(png.annotated(blocks, findings), os.path.abspath(out)).count()
     report.write_file(os.path.join(out, "findings.json"), report.findings_json(findings, volumes, series).first()["json"])
     if fhir:

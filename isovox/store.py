@@ -26,7 +26,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more."""
+    _delete(df.sparkSession, df.written_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables this application wrote; results that still read them must have been saved."""
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

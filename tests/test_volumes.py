@@ -112,3 +112,23 @@ def test_filters(spark):
 
 def test_generators(spark):
     assert len(rows(detect.detect(volumes.nodules(spark, 48, 16, 3), detect.Thresholds(100, 500, 5)))) == 8
+
+
+def test_runs_of_blocks(spark):
+    rng = np.random.default_rng(2)
+    cells = [("v", z, y, x, float(rng.integers(0, 5) * 100)) for z in range(3) for y in range(5) for x in range(7)]
+    df = spark.createDataFrame(cells, volumes.VOXELS)
+    a = detect.runs(detect.masked(df, 100, 300), detect.volume_sizes(df))
+    b = detect.runs_of_blocks(volumes.to_blocks(df), 100, 300)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() > 10
+    assert rows(detect.detect(df, detect.Thresholds(100, 300, 1))) == rows(detect.detect_blocks(volumes.to_blocks(df), detect.Thresholds(100, 300, 1), slabs=2))
+
+
+def test_store(spark):
+    from isovox import store
+
+    df = store.written(spark.range(3), "t")
+    assert df.count() == 3
+    store.dropped(df)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.written_path)
