@@ -9,6 +9,7 @@ and lengths stay; so do check digits' validity, and the gender and script of nam
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,16 +25,21 @@ from isovox.llm import _text
 KEY = b"isovox-surrogates-1"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: In this order; at one place the first that matches holds.
-PATTERNS = {
-    "email": r"[\w.%+\-]*[\w%+\-]@[^\W_][\w\-]*(?:\.[\w\-]+)*\.\p{L}{2,}",
-    "secret": r"(?i:(?<=(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}|(?<![\w])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,}(?![\w]))",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?=[A-Z0-9]*\d)[A-Z0-9]{11,30}(?!\w)",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w.+\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
-    "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "card": r"(?<![\w.\-])(?:\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7})(?![\w\-])",
-}
+#: Of entities that begin at one place, the first kind here holds.
+KINDS = ("email", "secret", "iban", "ip", "phone", "ssn", "card")
+#: What stands before an @, read backwards from it, and what stands after it; a local part has 64 characters at most.
+LOCAL, DOMAIN = re.compile(r"[\w.%+\-]*[\w%+\-]\Z"), re.compile(r"[^\W_][\w\-]*(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
+#: A named secret is the group; others are long hexadecimal words.
+NAMED = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_\-]{8,})")
+HEXED = re.compile(r"(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,}(?!\w)")
+#: All that begins with a digit, a sign or two capitals and digits.
+NUMBERS = re.compile(
+    r"(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?=[A-Z0-9]*\d)[A-Z0-9]{11,30})(?!\w)"
+    rf"|(?<![\d.])(?P<ip>(?:{_OCTET}\.){{3}}{_OCTET})(?!\d|\.\d)"
+    r"|(?<![\w+])(?P<phone>(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]))"
+    r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
+    r"|(?<![\w.\-])(?P<card>\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7})(?![\w\-])"
+)
 FEMALE, MALE = "Mrs\\.? |Ms\\.? |Miss |Frau |Mme\\.? |Mlle\\.? |Sra\\.? |Srta\\.? |Г-жа |Κα ", "Mr\\.? |Herr |Sr\\. |Г-н |Κος "
 NAME = regex.compile(rf"(?<!\w)(?:(?P<f>{FEMALE})|(?P<m>{MALE}))(?P<name>\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?)(?!\w)")
 #: Given names by script and gender.
@@ -48,7 +54,6 @@ GIVEN = {
 #: Letters that stand for one another, so that a name stays in its script and can be spoken.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñßšžčř", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αειουηω", "βγδζθκλμνξπρστφχψ"]
 _OF = {c: kind for kind in LETTERS for c in kind}
-_FIND = regex.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 
 
 class Cipher:
@@ -180,9 +185,28 @@ def name_surrogate(cipher: Cipher, word: str, gender: str) -> str:
             return new
 
 
+def _spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of all but names. Each search is anchored, so that its work follows the text's length."""
+    at = text.find("@")
+    while at >= 0:
+        before = LOCAL.search(text[max(0, at - 64) : at])
+        after = DOMAIN.match(text, at + 1) if before else None
+        if after:
+            yield at - len(before[0]), after.end(), "email"
+        at = text.find("@", after.end() if after else at + 1)
+    if "=" in text or ":" in text:
+        for m in NAMED.finditer(text):
+            yield *m.span(1), "secret"
+    for m in HEXED.finditer(text):
+        yield *m.span(), "secret"
+    for m in NUMBERS.finditer(text):
+        kind = next(k for k in ("iban", "ip", "phone", "ssn", "card") if m[k] is not None)
+        yield *m.span(kind), kind
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of what is found, in order and without overlap; names are ``name_f`` or ``name_m``."""
-    found = [(m.start(), m.end(), m.lastgroup if m.lastgroup in PATTERNS else "card", m[0]) for m in _FIND.finditer(text)]
+    found = [(a, b, k, text[a:b]) for a, b, k in _spans(text)]
     names: dict[str, str] = {}
     for m in NAME.finditer(text):
         for word in m["name"].split():
@@ -191,7 +215,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         # Every mention of such a name in the text, with or without a title.
         for m in regex.finditer(r"(?<!\w)(?:" + "|".join(map(regex.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text):
             found.append((m.start(), m.end(), names[m[0]], m[0]))
-    found.sort(key=lambda x: (x[0], -x[1]))
+    found.sort(key=lambda x: (x[0], KINDS.index(x[2]) if x[2] in KINDS else len(KINDS)))
     kept, end = [], 0
     for x in found:
         if x[0] >= end:
