@@ -166,6 +166,8 @@ def _cross_links(members: DataFrame, blobs: DataFrame, k: int, percent: int) ->
     """
     side = F.col("label") == F.col("main")
     n = members.groupBy("main").agg(F.ceil(F.sum(side.cast("int")) / BLOCK).cast("int").alias("mains"), F.ceil(F.sum((~side).cast("int")) / BLOCK).cast("int").alias("others"))
+    # Written, so that the join below has a shuffle of its own, whose large partitions can be split.
+    n = written(n, "mains")
     seats = members.join(n, "main").withColumn("own", F.when(side, F.pmod(F.xxhash64("node", F.lit("block")), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node", F.lit("block")), "others")).cast("int"))
     seats = seats.withColumn("with", F.explode(F.sequence(F.when(side, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
     seats = seats.select("main", "node", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(blobs, "node")
