@@ -234,11 +234,15 @@ def _own(k: int):
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 12) -> DataFrame:
-    """``docs`` with one row of each component, that of its least id (of rows with that id, the first in order of text)."""
+    """``docs`` with one row of each component, that of its least id (of rows with that id, the first in order of text).
+
+    Rows without an id can't be named as copies and stay.
+    """
     p = fresh(docs, "dedup")
     kept = near_duplicates(docs, k, percent, bands).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(p + "id")).distinct()
     rows = docs.join(kept, docs["doc_id"] == F.col(p + "id"), "left_semi")
-    return rows.withColumn(p + "n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where(F.col(p + "n") == 1).select(*docs.columns)
+    rows = rows.withColumn(p + "n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where(F.col(p + "n") == 1).select(*docs.columns)
+    return rows.union(docs.where(F.col("doc_id").isNull()))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
