@@ -6,11 +6,11 @@ from isovox.llm.fingerprints import op1_fingerprints
 from isovox.llm.hidden_markov import op10_hidden_markov
 from isovox.llm.language_id import op8_language_id
 from isovox.llm.mixing import OP6_SQL, op6_mix_sources
-from isovox.llm.near_dedup import op5_near_dedup
+from isovox.llm.near_dedup import OP5_SQL, op5_near_dedup
 from isovox.llm.packing import op2_pack
 from isovox.llm.quality_model import op3_quality_model
 from isovox.llm.quality_rules import OP7_SQL, op7_quality_rules
-from isovox.llm.substring_dedup import op9_substring_dedup
+from isovox.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from isovox.llm.surrogates import op4_surrogates
 
 QUERIES = {
@@ -25,4 +25,9 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_hidden_markov": op10_hidden_markov,
 }
-ORACLE_SQL = {"op6_mix_sources": OP6_SQL, "op7_quality_rules": OP7_SQL}
+ORACLE_SQL = {
+    "op5_near_dedup": OP5_SQL,
+    "op6_mix_sources": OP6_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op9_substring_dedup": OP9_SQL,
+}
