@@ -153,11 +153,12 @@ def patterns(have: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate([rows, np.array([[length, 0, 0]])[: int(ok[length])]]).astype(np.int64)
 
 
-def fitted(rows: np.ndarray, have: np.ndarray, rounds: int = 300) -> np.ndarray:
+def fitted(rows: np.ndarray, have: np.ndarray, rounds: int = 300, gain: float = 0.01) -> np.ndarray:
     """Non-negative least squares: repeats x >= 0 that bring the patterns' lengths closest to the histogram.
 
     Accelerated projected gradient descent on sparse columns; lengths are scaled by 1 / sqrt(count) and weighted
-    by their size, so that long texts, which are hardest to place, are fitted best.
+    by their size, so that long texts, which are hardest to place, are fitted best. It ends once twenty rounds have
+    not brought the distance down by ``gain`` of itself, or the distance is a millionth of the histogram's.
     """
     size = len(have)
     scale = np.where(have > 0, np.sqrt(np.arange(size)) / np.sqrt(np.maximum(have, 1)), 0.0)
@@ -176,9 +177,15 @@ def fitted(rows: np.ndarray, have: np.ndarray, rounds: int = 300) -> np.ndarray:
     # Jacobi scaling: each pattern's step is over the summed weights of the rows it touches.
     weight = forth(np.ones(len(rows)))
     step = 1 / np.maximum(back(weight), 1e-12)
-    y, t = x, 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * back(forth(y) - goal))
+    y, t, last = x, 1.0, np.inf
+    for k in range(rounds):
+        off = forth(y) - goal
+        if k % 20 == 0:
+            far = float(np.linalg.norm(off))
+            if far >= (1 - gain) * last or far <= 1e-6 * np.linalg.norm(goal):
+                break
+            last = far
+        new = np.maximum(0, y - step * back(off))
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = new + (t - 1) / nt * (new - x), new, nt
     return x
