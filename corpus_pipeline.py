@@ -13,7 +13,7 @@ from isovox.llm.mixing import mixed_documents
 from isovox.llm.near_dedup import deduplicated
 from isovox.llm.packing import packed_documents
 from isovox.llm.quality_rules import quality_filter
-from isovox.llm.surrogates import with_surrogates
+from isovox.llm.surrogates import checked
 from isovox.store import written
 
 
@@ -28,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get surrogates, which are one for one by their making; ``n_chars`` follows the new text."""
-    made = with_surrogates(docs).select(*docs.columns)
+    """Entities get surrogates, after a search of all texts for ones that collide; ``n_chars`` follows the new text."""
+    made = checked(docs).select(*docs.columns)
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 

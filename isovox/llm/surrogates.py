@@ -54,6 +54,8 @@ GIVEN = {
 #: Letters that stand for one another, so that a name stays in its script and can be spoken.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñßšžčř", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αειουηω", "βγδζθκλμνξπρστφχψ"]
 _OF = {c: kind for kind in LETTERS for c in kind}
+#: Country codes of two digits; +1 and +7 have one, all others three. No code begins with another.
+TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 class Cipher:
@@ -130,6 +132,11 @@ def _check_digit(digits: str) -> int:
     return -total % 10
 
 
+def _country(digits: str) -> int:
+    """The length of the country code, from the digits alone, however the number is spaced."""
+    return 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in TWO else 3
+
+
 def surrogate(cipher: Cipher, kind: str, value: str) -> str:
     """The replacement of an entity: of any way to write it, the same value written that way."""
     if kind == "email":
@@ -159,8 +166,7 @@ def surrogate(cipher: Cipher, kind: str, value: str) -> str:
         head = cipher.text(f"card|{delta}", digits[:-1], lambda c: DIGITS)
         new = head + str((_check_digit(head) + delta) % 10)
     else:
-        lead = regex.match(r"\+\d{1,3}(?=[ .\-(])", value)
-        keep = len(lead[0]) - 1 if lead else 0
+        keep = _country(digits) if value[0] == "+" else 0
         new = digits[:keep] + cipher.text(f"{kind}|{digits[:keep]}", digits[keep:], lambda c: DIGITS)
     each = iter(new)
     return "".join(next(each) if c in DIGITS else c for c in value)

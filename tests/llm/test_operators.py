@@ -168,6 +168,22 @@ def test_one_for_one():
     assert len(codes) == 400
 
 
+PHONES = ["+442079460958", "+44 20 7946 0958", "+44-20-7946-0958", "+44 (20) 7946 0958", "+44(20)79460958", "+44.2079.460958"]
+
+
+def test_one_number_in_several_formats():
+    cipher = surrogates.Cipher(b"k")
+    for ways in (PHONES, ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567"], ["+3725551234", "+372 555 1234", "+372-55-51-234"], ["(555) 123-4567", "555-123-4567", "555.123.4567"]):
+        made = []
+        for way in ways:
+            text, ((kind, value, new),) = surrogates.replaced(cipher, f"Call {way}.")
+            assert kind == "phone" and value == way and [c for c in new if not c.isdigit()] == [c for c in way if not c.isdigit()]
+            made.append(surrogates.canonical(kind, new))
+        assert len(set(made)) == 1 and made[0] != surrogates.canonical("phone", ways[0])
+    numbers = {f"+{n}" for n in (*range(10000, 12000), *range(44000, 45000), *range(37200, 37300))}
+    assert len({surrogates.surrogate(cipher, "phone", n) for n in numbers}) == len(numbers)
+
+
 def test_collisions(spark):
     df = spark.createDataFrame([("a", "x", "1"), ("a", "y", "1"), ("a", "z", "2"), ("a", "z", "3"), ("b", "q", "q"), ("a", "w", "4"), ("a", "w", "4")], "kind string, value string, surrogate string")
     assert sorted(r["fault"] for r in surrogates.collisions(df).collect()) == ["kept", "shared", "split"]

@@ -7,8 +7,8 @@ from isovox.llm import packing, quality_rules, surrogates
 from isovox.store import written
 from tokenizers import Tokenizer
 
-from tests.llm.conftest import DATA, words
-from tests.llm.test_operators import components
+from tests.llm.conftest import DATA, SCHEMA, words
+from tests.llm.test_operators import PHONES, components
 
 
 def passes(text):
@@ -21,6 +21,13 @@ def passes(text):
     return not (n < 50 or 10 * hit > 3 * n or chars > 20 * n or chars < 2 * n or 10 * symbols > n or 2 * (len(lines) - len(set(lines))) > len(lines) or 2 * capital > n or 50 * stop < n)
 
 
+def test_one_number_in_several_documents(spark):
+    rows = [(i, f"Call {way} today.", "en", "a", 9) for i, way in enumerate(PHONES)]
+    made = corpus_pipeline.personal_data(spark, spark.createDataFrame(rows, SCHEMA), DATA).collect()
+    assert len(made) == len(rows) and len({"".join(c for c in r["text"] if c.isdigit()) for r in made}) == 1
+    assert all(r["n_chars"] == len(r["text"]) for r in made)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, made = docs.columns, []
