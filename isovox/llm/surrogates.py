@@ -10,19 +10,25 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
+from types import MappingProxyType
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from isovox.llm import _text
+from isovox.store import fresh, written
 
 KEY = b"isovox-surrogates-1"
+#: Attempts at a surrogate that collides with none; more are an error.
+ATTEMPTS = 32
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Of entities that begin at one place, the first kind here holds.
@@ -58,12 +64,30 @@ _OF = {c: kind for kind in LETTERS for c in kind}
 TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
+@lru_cache(4096)
+def _near(c: str) -> str | None:
+    """The letters of the same category among the 32 code points around one that no list has; None: not a letter."""
+    low = [chr(i) for i in range(ord(c) & ~31, (ord(c) & ~31) + 32) if _low(chr(i)) == chr(i) and chr(i) not in _OF]
+    near = "".join(x for x in low if unicodedata.category(x) == unicodedata.category(c))
+    return near if c.isalpha() and c in near else None
+
+
 class Cipher:
-    """Keyed permutations of whole numbers under n, without a fixed point where n is over 1."""
+    """Keyed permutations of whole numbers under n, without a fixed point where n is over 1.
 
-    def __init__(self, key: bytes):
-        self.key = key
+    A ``wide`` one also changes letters that are in no list.
+    """
+
+    def __init__(self, key: bytes, wide: bool = False):
+        self.key, self.wide = key, wide
         self.turned = lru_cache(200_000)(self._turned)
+        self.others: dict[int, Cipher] = {}
+
+    def other(self, again: int) -> Cipher:
+        """The cipher of the ``again``th attempt at an entity whose surrogate collides; of attempt 0, this one."""
+        if again and again not in self.others:
+            self.others[again] = Cipher(self.key + b"|again|%d" % again, wide=True)
+        return self.others[again] if again else self
 
     def _round(self, tweak: bytes, i: int, half: int, bits: int) -> int:
         size = (bits + 7) // 8
@@ -91,7 +115,7 @@ class Cipher:
 
     def text(self, tweak: str, value: str, kinds: Callable[[str], str | None]) -> str:
         """``value`` with each character for one of its kind; those without a kind stay and are part of the format."""
-        groups = [kinds(c) for c in value]
+        groups = [kinds(c) or (_near(c) if self.wide else None) for c in value]
         form = f"{tweak}|" + "".join(c if g is None else f"<{g[0]}>" for c, g in zip(value, groups, strict=True))
         x, n = 0, 1
         for c, g in zip(value, groups, strict=True):
@@ -230,11 +254,15 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
-def replaced(cipher: Cipher, text: str) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (kind, value, surrogate) of each entity."""
+def _made(cipher: Cipher, kind: str, value: str) -> str:
+    return name_surrogate(cipher, value, kind[-1]) if kind.startswith("name_") else surrogate(cipher, kind, value)
+
+
+def replaced(cipher: Cipher, text: str, again: Mapping[tuple[str, str], int] = MappingProxyType({})) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates, and (kind, value, surrogate) of each entity; ``again``: attempts by kind and canonical form."""
     parts, made, at = [], [], 0
     for start, end, kind, value in entities(text):
-        new = name_surrogate(cipher, value, kind[-1]) if kind.startswith("name_") else surrogate(cipher, kind, value)
+        new = _made(cipher.other(again.get((kind, canonical(kind, value)), 0)) if again else cipher, kind, value)
         parts += [text[at:start], new]
         made.append((kind, value, new))
         at = end
@@ -285,26 +313,77 @@ def collisions(found: DataFrame) -> DataFrame:
     return many.union(split).union(same)
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
+def resolved(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, value, again) of the entities of ``found`` that need another attempt, for no surrogate to collide.
+
+    Of entities that share a surrogate one keeps it. Each round makes the others anew and holds them against all.
+    """
+    now = written(found.distinct().withColumn("again", F.lit(0)), "entities")
+    by = W.partitionBy("kind", "surrogate").orderBy("again", "value")
+    for again in range(1, ATTEMPTS + 1):
+        shared = now.withColumn("nth", F.row_number().over(by)).where("nth > 1")
+        split = now.join(collisions(now.select("kind", "value", "surrogate")).where("fault = 'split'"), ["kind", "value"], "left_semi")
+        bad = written(shared.select("kind", "value").union(split.select("kind", "value")).union(now.where("value = surrogate").select("kind", "value")).distinct(), "colliding")
+        if bad.isEmpty():
+            return now.where("again > 0").select("kind", "value", "again")
+
+        def run(batches: Iterator[pa.RecordBatch], again: int = again) -> Iterator[pa.RecordBatch]:
+            cipher = Cipher(key).other(again)
+            for batch in batches:
+                kinds, values = batch.column("kind").to_pylist(), batch.column("value").to_pylist()
+                new = [canonical(k, _made(cipher, k, v.upper() if k == "iban" else v)) for k, v in zip(kinds, values, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(new, pa.string()), pa.array([again] * len(new), pa.int32())], ["kind", "value", "surrogate", "again"])
+
+        anew = bad.mapInArrow(run, "kind string, value string, surrogate string, again int")
+        now = written(now.join(bad, ["kind", "value"], "left_anti").union(anew), "entities")
+    raise ValueError(f"{ATTEMPTS} attempts leave a surrogate that is not one for one: {bad.first()['kind']}")
+
+
+def _entities_of(docs: DataFrame, at: str, text: str) -> DataFrame:
+    """(at, kind, value) of every entity, in canonical form; ``at`` is a column of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.chunks(batches, text):
+            rows = set()
+            for body, marked, a in zip(part.column(text), _marked(part.column(text)), part.column(at).to_pylist(), strict=True):
+                if marked:
+                    rows |= {(a, k, canonical(k, v)) for _, _, k, v in entities(body.as_py())}
+            if rows:
+                a, k, v = zip(*sorted(rows), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.string()), pa.array(v, pa.string())], ["at", "kind", "value"])
+
+    return docs.select(at, text).mapInArrow(run, "at bigint, kind string, value string")
+
+
+def with_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text", again: DataFrame | None = None) -> DataFrame:
     """``docs`` with its text replaced and a last column of the entities' kinds (named so that no column is lost).
 
     A null text stays null and an empty one empty; texts without an entity stay as they are; repeated rows stay
-    equal. All other columns, of any type and name, stay. Whole texts are searched.
+    equal. All other columns, of any type and name, stay. Whole texts are searched. Entities of ``again``
+    (kind, value, again) get the surrogates of that attempt: they are joined in by the texts that have them.
     """
     names = docs.columns
     kinds = "entity_kinds"
     while kinds in names:
         kinds = "_" + kinds
     schema = StructType([*docs.schema.fields, StructField(kinds, ArrayType(StringType()))])
+    p, joined = fresh(docs, "surrogate"), again is not None
+    if joined:
+        # Attempts go by kind and value alone, so texts with the same hash may have them together.
+        docs = docs.withColumn(p + "at", F.xxhash64(text))
+        told = _entities_of(docs, p + "at", text).join(again, ["kind", "value"]).groupBy("at").agg(F.collect_set(F.struct("kind", "value", "again")).alias(p + "again"))
+        docs = docs.join(told.withColumnRenamed("at", p + "at"), p + "at", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cipher = Cipher(key)
         for part in _text.chunks(batches, text):
             bodies, found = part.column(text).to_pylist(), []
+            attempts = part.column(p + "again") if joined else None
             for i, marked in enumerate(_marked(part.column(text))):
                 made: list[tuple[str, str, str]] = []
                 if marked:
-                    bodies[i], made = replaced(cipher, bodies[i])
+                    other = {(x["kind"], x["value"]): x["again"] for x in attempts[i].as_py() or []} if joined else {}
+                    bodies[i], made = replaced(cipher, bodies[i], other)
                 found.append([m[0] for m in made])
             columns = [pa.array(bodies, pa.string()) if c == text else part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string()))], [*names, kinds])
@@ -313,11 +392,11 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text") -> Da
 
 
 def checked(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
-    """``with_surrogates`` after a search of all texts for surrogates that collide, which is an error."""
-    bad = collisions(found_entities(docs, key, text)).limit(1).collect()
-    if bad:
-        raise ValueError(f"a surrogate is not one for one: {bad[0]['kind']}, {bad[0]['fault']}")
-    return with_surrogates(docs, key, text)
+    """``with_surrogates`` after a search of all texts for surrogates that collide; those entities get others."""
+    found = found_entities(docs, key, text)
+    if collisions(found).isEmpty():
+        return with_surrogates(docs, key, text)
+    return with_surrogates(docs, key, text, resolved(found, key))
 
 
 def op4_surrogates(spark, sf_dir: str) -> DataFrame:

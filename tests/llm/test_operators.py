@@ -189,6 +189,23 @@ def test_collisions(spark):
     assert sorted(r["fault"] for r in surrogates.collisions(df).collect()) == ["kept", "shared", "split"]
 
 
+def test_collisions_are_resolved(spark):
+    shared = [("ssn", "123456789", "987654321"), ("ssn", "123456780", "987654321"), ("ip", "1.2.3.4", "1.2.3.4"), ("iban", "de89370400440532013000", "de89370400440532013000"), ("ssn", "111223333", "222334444")]
+    again = surrogates.resolved(spark.createDataFrame(shared, "kind string, value string, surrogate string")).collect()
+    assert sorted((r["kind"], r["value"], r["again"]) for r in again) == [("iban", "de89370400440532013000", 1), ("ip", "1.2.3.4", 1), ("ssn", "123456789", 1)]
+    # Names without a listed letter have no second form at first; one such row must not cost the others theirs.
+    rows = [(1, "Mr. \u0531\u0580\u0561\u0574 met Mr. Smith."), (2, "\u0531\u0580\u0561\u0574 again"), (3, "Mr. \u0531\u0580\u0561\u0574 left."), (4, "Call +442079460958."), (5, "Call +44 20 7946 0958."), (6, None), (None, "Mr. \u0531\u0580\u0561\u0574 left.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = surrogates.checked(docs)
+    assert made.columns == ["doc_id", "text", "entity_kinds"]
+    new = {r["doc_id"]: r["text"] for r in made.collect()}
+    assert len(new) == len(rows) and new[6] is None and new[2] == rows[1][1] and new[3] == new[None]
+    name = new[3].split()[1]
+    assert name != "\u0531\u0580\u0561\u0574" and len(name) == 4 and new[1].split()[1] == name and "Smith" not in new[1]
+    assert "".join(new[4].split()) == "".join(new[5].split())
+    assert surrogates.collisions(surrogates.found_entities(docs)).first()["fault"] == "kept"
+
+
 # 5
 
 
