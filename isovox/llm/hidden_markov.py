@@ -1,15 +1,15 @@
 """Scoring texts with a hidden Markov language model.
 
 States emit classes of words: each of the most frequent words is a class of its own, all others are in classes by
-their last two bytes, within which a word has its share of the training tokens, plus one. Baum-Welch counts start
-on a bounded sample, to place the states, and are then gathered from every partition of the training texts. The
-likelihood is exact, by the scaled forward recursion: a long text is cut in segments whose transfer matrices are
+by their last two bytes, within which a word has its share of the training tokens, plus one. A bounded sample gives
+Baum-Welch its first guess; its rounds then gather counts from every partition of the training texts, until their
+likelihood stops gaining. The likelihood is exact, by the scaled forward recursion: a long text is cut in segments whose transfer matrices are
 found side by side and multiplied in order, so that the number of steps doesn't follow the longest text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +26,10 @@ STATES = 8
 OWN, FREQUENT = 8192, 1 << 18
 #: Classes of all other words.
 TAILS = 256
-#: Training texts that place the states, and rounds on them; then rounds over all.
-SAMPLE, FIRST_ROUNDS, ROUNDS = 800, 8, 1
+#: Training texts that give a first guess of the states, and rounds on them.
+SAMPLE, FIRST_ROUNDS = 800, 8
+#: Rounds over all training texts end when one gains less than this share of the log likelihood over the prior's.
+GAIN = 1e-4
 SEGMENT = 512
 #: Tokens of the corpus-wide distribution that every state starts from.
 PRIOR = 50.0
@@ -180,10 +182,10 @@ class Lattice:
         np.add.at(doc_sum, self.doc, np.add.reduceat(np.log(self.model.prior)[self.classes], np.sort(self.start))[np.argsort(np.argsort(self.start))] if len(self.start) else 0)
         return log + doc_sum
 
-    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts: of starts, moves, and emissions [state, class]."""
+    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts: of starts, moves, and emissions [state, class]; and the log likelihood over the prior's."""
         m, s = self.model, len(self.model.start)
-        _, enter, after = self.chains(*self.transfers(), back=True)
+        log, enter, after = self.chains(*self.transfers(), back=True)
         move = m.move
         alpha = np.zeros((len(self.classes), s))
         steps = int(self.length[0]) if len(self.length) else 0
@@ -212,7 +214,7 @@ class Lattice:
             beta[:k] = back / np.maximum(back.sum(axis=1, keepdims=True), 1e-300)
         emits = np.stack([np.bincount(self.classes, gamma[:, j], minlength=len(m.prior)) for j in range(s)])
         head = gamma[self.start[self.nth == 0]].sum(axis=0)
-        return head, moves * move, emits
+        return head, moves * move, emits, log.sum(keepdims=True)
 
 
 def refit(model: Model, head: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Model:
@@ -241,37 +243,47 @@ def placed(model: Model, texts: pa.Array, states: int, rounds: int) -> Model:
     emits = np.stack([table[deal == j].sum(axis=0) for j in range(states)])
     model = refit(model, np.bincount(deal, minlength=states).astype(float), np.eye(states) * 20 + 1.0, emits)
     for _ in range(rounds):
-        model = refit(model, *_gathered(model, texts))
+        model = refit(model, *_gathered(model, [pa.RecordBatch.from_arrays([texts], ["text"])])[:3])
     return model
 
 
-def _gathered(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(model: Model, batches: Iterable[pa.RecordBatch]) -> list[np.ndarray] | None:
     total: list[np.ndarray] | None = None
-    for part in _text.chunks([pa.RecordBatch.from_arrays([column], ["text"])], limit=CHUNK):
+    for part in _text.chunks(batches, limit=CHUNK):
         t = tokens(part.column("text"))
         found = Lattice(model.lookup(t)[1], t.first, model).expected()
         total = list(found) if total is None else [a + b for a, b in zip(total, found, strict=True)]
-    return tuple(total)
+    return total
 
 
 def _expect(model: Model):
-    """Expected counts of a task as (state, cell, value) rows; cells -1: starts, under 0: moves to state -2 - cell."""
+    """Expected counts of a task as (state, cell, value) rows; cells -1: starts, under 0: moves to state -2 - cell.
+
+    One cell further down, state 0 has the log likelihood.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: list[np.ndarray] | None = None
-        for part in _text.chunks(batches, limit=CHUNK):
-            t = tokens(part.column("text"))
-            found = Lattice(model.lookup(t)[1], t.first, model).expected()
-            total = list(found) if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        total = _gathered(model, batches)
         if total:
-            head, moves, emits = total
-            whole = np.concatenate([moves[:, ::-1], head[:, None], emits], axis=1)
+            head, moves, emits, log = total
+            gain = np.zeros((len(head), 1))
+            gain[0] = log
+            whole = np.concatenate([gain, moves[:, ::-1], head[:, None], emits], axis=1)
             state, cell = np.nonzero(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(state.astype(np.int32)), pa.array((cell - len(head) - 1).astype(np.int32)), pa.array(whole[state, cell])], ["state", "cell", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(state.astype(np.int32)), pa.array((cell - len(head) - 2).astype(np.int32)), pa.array(whole[state, cell])], ["state", "cell", "value"])
 
     return run
 
 
+def expected(model: Model, docs: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The log likelihood over the prior's of all the texts, and their Baum-Welch counts."""
+    states = len(model.start)
+    rows = docs.select("text").mapInArrow(_expect(model), "state int, cell int, value double").groupBy("state", "cell").agg(F.sum("value").alias("value")).toPandas()
+    whole = np.zeros((states, states + 2 + len(model.prior)))
+    whole[rows["state"], rows["cell"] + states + 2] = rows["value"]
+    return float(whole[0, 0]), whole[:, states + 1], whole[:, 1 : states + 1][:, ::-1], whole[:, states + 2 :]
+
+
 def _threshold(counts: DataFrame, most: int) -> int:
     """The least count such that at most ``most`` words have it or more; counts are taken by eighths of powers of two."""
     step = F.floor(F.log2(F.col("n")) * 8).cast("int")
@@ -285,7 +297,7 @@ def _threshold(counts: DataFrame, most: int) -> int:
     return least if least is not None else 1 << 62
 
 
-def fit(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame, int, int]:
+def fit(docs: DataFrame, states: int = STATES, gain: float = GAIN) -> tuple[Model, DataFrame, int, int]:
     """A model of the texts of ``docs`` (doc_id, text), the table of counts (hash, tail, n), its tokens and words.
 
     Null texts are empty: one end. Without any text the model has no word and every class the same share.
@@ -314,11 +326,14 @@ def fit(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[Mo
     sample = docs.where(drawn).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).limit(2 * SAMPLE).toArrow().combine_chunks()
     if sample.num_rows:
         model = placed(model, sample.sort_by("doc_id").column("text").combine_chunks(), states, FIRST_ROUNDS)
-        for _ in range(rounds):
-            rows = docs.select("text").mapInArrow(_expect(model), "state int, cell int, value double").groupBy("state", "cell").agg(F.sum("value").alias("value")).toPandas()
-            whole = np.zeros((states, states + 1 + len(prior)))
-            whole[rows["state"], rows["cell"] + states + 1] = rows["value"]
-            model = refit(model, whole[:, states], whole[:, :states][:, ::-1], whole[:, states + 1 :])
+        last = -np.inf
+        while True:
+            log, head, moves, emits = expected(model, docs)
+            # The likelihood is that of the model before this round's counts.
+            model = refit(model, head, moves, emits)
+            if not log - last > gain * abs(log):
+                break
+            last = log
     return model, counts, int(n_tokens), int(n_words)
 
 

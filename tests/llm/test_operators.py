@@ -425,6 +425,19 @@ def test_hidden_markov(spark, docs, odd, none):
     assert hidden_markov.likelihoods(none, empty).count() == 0
 
 
+def test_rounds_go_on_until_nothing_is_gained(spark, docs):
+    """Over all training texts, though the first guess is made from a few of them, and in few rounds."""
+    old = hidden_markov.SAMPLE, hidden_markov.FIRST_ROUNDS
+    hidden_markov.SAMPLE, hidden_markov.FIRST_ROUNDS = 30, 1
+    try:
+        model = hidden_markov.fit(docs)[0]
+    finally:
+        hidden_markov.SAMPLE, hidden_markov.FIRST_ROUNDS = old
+    log, *counts = hidden_markov.expected(model, docs)
+    more = hidden_markov.expected(hidden_markov.refit(model, *counts), docs)[0]
+    assert log > 0 and more - log < 2 * hidden_markov.GAIN * log
+
+
 def test_rare_words_join(spark, docs):
     """With few words known to every task, the rest meet their counts in the join: sums stay the same."""
     want = {r["doc_id"]: r for r in registry.QUERIES["op10_hidden_markov"](spark, DATA).collect()}
