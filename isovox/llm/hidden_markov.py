@@ -305,7 +305,8 @@ def fit(docs: DataFrame, states: int = STATES, gain: float = GAIN) -> tuple[Mode
     counts = written(docs.select("text").mapInArrow(_count, "hash bigint, tail int, n bigint").groupBy("hash").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "counts")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = _threshold(counts, FREQUENT)
-    often = counts.where(F.col("n") >= least).toPandas()
+    # The end is always among them, however many words are as frequent.
+    often = counts.where((F.col("hash") == int(END)) | (F.col("n") >= least)).toPandas()
     h, n, tail = often["hash"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64), often["tail"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     h, n, tail = h[order], n[order], tail[order]

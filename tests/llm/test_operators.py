@@ -448,3 +448,13 @@ def test_rare_words_join(spark, docs):
             assert r["n_known"] == want[r["doc_id"]]["n_known"] and abs(r["base_score"] - want[r["doc_id"]]["base_score"]) < 1e-6
     finally:
         hidden_markov.FREQUENT = old
+
+
+def test_end_is_counted_whatever_the_threshold(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300)))], "doc_id bigint, text string")
+    old, hidden_markov.FREQUENT = hidden_markov.FREQUENT, 100
+    try:
+        r = hidden_markov.likelihoods(df, hidden_markov.fit(df)).first()
+    finally:
+        hidden_markov.FREQUENT = old
+    assert r["n_tokens"] == r["n_known"] == 301 and abs(r["base_score"] - 301 * math.log10(2 / 603)) < 1e-6
