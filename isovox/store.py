@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,19 @@ def fresh(df: DataFrame, stem: str) -> str:
     return prefix
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``df`` in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def columns(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of ``df`` other than those named, whatever signs their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in but]
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which is set with the data's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
