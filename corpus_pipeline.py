@@ -13,8 +13,8 @@ from isovox.llm.mixing import mixed_documents
 from isovox.llm.near_dedup import deduplicated
 from isovox.llm.packing import packed_documents
 from isovox.llm.quality_rules import quality_filter
-from isovox.llm.surrogates import checked
-from isovox.store import written
+from isovox.llm.surrogates import checked, key_of
+from isovox.store import columns, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get surrogates, after a search of all texts for ones that collide; ``n_chars`` follows the new text."""
-    made = checked(docs).select(*docs.columns)
+    """Entities get surrogates that collide in no text, by the session's key; ``n_chars`` follows the new text.
+
+    Null and empty texts stay; repeated rows stay equal; an empty table gives an empty table.
+    """
+    made = checked(docs, key_of(spark)).select(*columns(docs))
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 
