@@ -1,8 +1,9 @@
 """Best-fit packing by patterns: non-negative least squares fits repeat counts of patterns to the lengths' histogram.
 
-A pattern is a few lengths that fill a sequence. Repeat counts are fitted to the histogram of lengths, rounded
-down, and what is left is packed best fit. Only the histogram (at most one count per length up to the sequence's)
-is on the driver; pieces find their place from their rank among the pieces of their length.
+A pattern is a few binned lengths that fill a sequence. Repeat counts are fitted to the histogram of bins by an
+active set, rounded, and dealt the pieces that are there; what is left is fitted again until nothing more is placed,
+and then goes by best fit. Only the histogram (at most one count per length up to the
+sequence's) is on the driver; pieces find their place from their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from isovox.llm import _text
 from isovox.store import partitions, written
 
 LENGTH = 2048
+#: Steps that lengths are binned to, the shortest of them that no pattern has, and pieces in a pattern at most.
+BINS, FILL, PIECES = 64, 3, 6
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; it begins anew beyond.
 CACHE = 2_500_000
@@ -115,7 +118,8 @@ def ids_of(path: str) -> Ids:
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each text's ids, the last id 0, cut at ``length``.
 
-    A null or empty text is the last id alone. Repeated rows are packed each alone.
+    A null or empty text is the last id alone. Repeated rows are packed each alone; rows without an id keep none. A text
+    of any length is cut whole; other columns are left out. An empty table gives none.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,60 +139,92 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def patterns(have: np.ndarray, length: int) -> np.ndarray:
-    """Rows of up to three lengths (0: none) that fill a sequence exactly; ``have``: how often each length is there.
+def patterns(there: np.ndarray, total: int, most: int = PIECES) -> np.ndarray:
+    """Rows of up to ``most`` of the bins ``there`` (rising, over 0) with a sum of ``total``, the largest first, 0: none."""
+    rows, left, out = np.zeros((1, 0), np.int64), np.array([total]), [np.zeros((0, most), np.int64)]
+    for k in range(most):
+        last = rows[:, -1] if k else left
+        i, j = np.nonzero((there[None] <= np.minimum(last, left)[:, None]) & (there[None] * (most - k) >= left[:, None]))
+        rows, left = np.concatenate([rows[i], there[j][:, None]], axis=1), left[i] - there[j]
+        whole = left == 0
+        out.append(np.pad(rows[whole], ((0, 0), (0, most - k - 1))))
+        rows, left = rows[~whole], left[~whole]
+    return np.concatenate(out)
 
-    Three lengths a >= b >= c with a sum of ``length``, or two, or the length itself; only lengths that are there.
-    """
-    there = np.flatnonzero(have)
-    there = there[there > 0]
-    ok = np.zeros(length + 1, bool)
-    ok[there] = True
-    a, b = np.meshgrid(there, there, indexing="ij")
-    c = length - a - b
-    fits = (a >= b) & (c >= 0) & (c <= b)
-    a, b, c = a[fits], b[fits], c[fits]
-    there_too = (c == 0) | ok[c]
-    rows = np.stack([a, b, c], axis=1)[there_too]
-    return np.concatenate([rows, np.array([[length, 0, 0]])[: int(ok[length])]]).astype(np.int64)
-
-
-def fitted(rows: np.ndarray, have: np.ndarray, rounds: int = 300, gain: float = 0.01) -> np.ndarray:
-    """Non-negative least squares: repeats x >= 0 that bring the patterns' lengths closest to the histogram.
-
-    Accelerated projected gradient descent on sparse columns; lengths are scaled by 1 / sqrt(count) and weighted
-    by their size, so that long texts, which are hardest to place, are fitted best. It ends once twenty rounds have
-    not brought the distance down by ``gain`` of itself, or the distance is a millionth of the histogram's.
+
+def fitted(rows: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares: which patterns repeat, and how often, to come closest to the histogram of bins.
+
+    Lawson and Hanson's active set, to its end: the pattern that helps most joins, those that fall to zero leave. So
+    no more patterns repeat than there are bins. Bins are scaled by 1 / sqrt(count) and weighted by their length, so
+    that long texts, which are hardest to place, are fitted best.
     """
     size = len(have)
     scale = np.where(have > 0, np.sqrt(np.arange(size)) / np.sqrt(np.maximum(have, 1)), 0.0)
-    flat = rows.ravel()
-
-    def forth(x: np.ndarray) -> np.ndarray:
-        return np.bincount(flat, np.repeat(x, rows.shape[1]), minlength=size) * scale
-
-    def back(r: np.ndarray) -> np.ndarray:
-        return (r * scale)[rows].sum(axis=1)
-
     goal = have * scale
-    x = np.zeros(len(rows))
+    active, x, basis = np.zeros(0, np.int64), np.zeros(0), np.zeros((size, 0))
     if not len(rows):
-        return x
-    # Jacobi scaling: each pattern's step is over the summed weights of the rows it touches.
-    weight = forth(np.ones(len(rows)))
-    step = 1 / np.maximum(back(weight), 1e-12)
-    y, t, last = x, 1.0, np.inf
-    for k in range(rounds):
-        off = forth(y) - goal
-        if k % 20 == 0:
-            far = float(np.linalg.norm(off))
-            if far >= (1 - gain) * last or far <= 1e-6 * np.linalg.norm(goal):
+        return active, x
+    norm = np.sqrt((scale * scale)[rows].sum(axis=1))
+    rest, least, out = goal, None, np.zeros(len(rows), bool)
+    while True:
+        gain = (rest * scale)[rows].sum(axis=1) / norm
+        least = 1e-9 * np.abs(gain).max() if least is None else least
+        gain[active] = gain[out] = 0
+        new = int(gain.argmax())
+        if gain[new] <= least:
+            return active, x
+        active, x = np.append(active, new), np.append(x, 0.0)
+        basis = np.concatenate([basis, (np.bincount(rows[new], minlength=size) * scale)[:, None]], axis=1)
+        while len(active):
+            z = np.linalg.lstsq(basis, goal, rcond=None)[0]
+            low = z <= 1e-10
+            if not low.any():
+                x = z
                 break
-            last = far
-        new = np.maximum(0, y - step * back(off))
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, x, t = new + (t - 1) / nt * (new - x), new, nt
-    return x
+            # As far towards z as all stay non-negative; what gets to zero leaves.
+            at = x[low] / np.maximum(x[low] - z[low], 1e-300)
+            x = x + at.min() * (z - x)
+            stay = x > 1e-10
+            stay[np.flatnonzero(low)[at.argmin()]] = False
+            active, x, basis = active[stay], x[stay], basis[:, stay]
+        rest = goal - basis @ x
+        # A pattern that left at once, by rounding, has to wait until another has joined.
+        out = out | (np.arange(len(rows)) == new) if new not in active else np.zeros(len(rows), bool)
+
+
+def _taken(left: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` pieces of the given lengths, the most frequent first, and their running count; ``left`` loses them."""
+    order = lengths[np.argsort(-left[lengths], kind="stable")]
+    ends = np.minimum(np.cumsum(left[order]), most)
+    left[order] -= np.diff(ends, prepend=0)
+    return order, ends
+
+
+def repeated(bins: list[int], times: int, left: np.ndarray, width: int, length: int) -> list[tuple[tuple[int, ...], int]]:
+    """Up to ``times`` sequences of a pattern of bins, as (lengths, repeats) rows; ``left`` loses their pieces.
+
+    All lengths but the last come from their bins; the last is what fills the sequence to its end, in its bin or next
+    to it. Where there is none, the pieces stay. Work follows the number of lengths in the bins, not of repeats.
+    """
+    made, slots = [], []
+    for b in bins[:-1]:
+        slots.append(_taken(left, np.arange(max(1, b * width - width // 2), min(length - 1, b * width + (width - 1) // 2) + 1), times))
+    n = min([times, *(int(ends[-1]) for _, ends in slots)])
+    cuts = np.unique(np.concatenate([[0, n], *(ends for _, ends in slots)]))
+    for order, ends in slots:
+        left[order] += np.diff(ends - np.minimum(ends, n), prepend=0)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a >= n:
+            break
+        head = [int(order[np.searchsorted(ends, a, side="right")]) for order, ends in slots]
+        last = length - sum(head)
+        n_whole = min(b - a, int(left[last])) if last > 0 else 0
+        if n_whole:
+            left[last] -= n_whole
+            made.append(((*head, last), n_whole))
+        np.add.at(left, head, b - a - n_whole)
+    return made
 
 
 def best_fit(have: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -221,21 +257,34 @@ def best_fit(have: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]
     return [x for kind in room for x in kind if x[0] and x[1]]
 
 
-def plan(have: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) rows that use up the histogram ``have`` (its index: the length)."""
-    rows = patterns(have, length)
-    whole = np.floor(fitted(rows, have) + 1e-9).astype(np.int64)
-    made: list[tuple[tuple[int, ...], int]] = []
+def by_patterns(have: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(lengths, repeats) rows of fitted patterns, and the histogram of the pieces left over.
+
+    Lengths are binned to the nearest of ``BINS`` equal steps; those of the shortest ``FILL`` stay for the rooms that
+    are left at the end. Repeats are rounded, and held down to the pieces that are there and fill a sequence exactly;
+    what is left is fitted again, until a fit places nothing. A piece as long as a sequence is a pattern by itself.
+    """
     left = have.astype(np.int64).copy()
-    for i in np.argsort(-whole, kind="stable"):
-        if not whole[i]:
-            break
-        sizes = rows[i][rows[i] > 0]
-        kinds, times = np.unique(sizes, return_counts=True)
-        n = int(min(whole[i], (left[kinds] // times).min()))
-        if n > 0:
-            left[kinds] -= n * times
-            made.append((tuple(sizes.tolist()), n))
+    made = [((length,), int(left[length]))] if left[length] else []
+    left[length] = 0
+    width = max(1, length // BINS)
+    total, fill = length // width, FILL if width > 1 else 1
+    while True:
+        bins = np.bincount((np.arange(length) + width // 2) // width, left[:length], minlength=total + 1)[: total + 1]
+        bins[:fill] = bins[total] = 0
+        rows = patterns(np.flatnonzero(bins), total)
+        active, x = fitted(rows, bins)
+        before = len(made)
+        for i in np.argsort(-x, kind="stable"):
+            if times := int(np.rint(x[i])):
+                made += repeated([b for b in rows[active[i]].tolist() if b], times, left, width, length)
+        if len(made) == before:
+            return made, left
+
+
+def plan(have: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) rows that use up the histogram ``have`` (its index: the length): patterns, then best fit."""
+    made, left = by_patterns(have, length)
     return made + best_fit(left, length)
 
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -105,6 +106,48 @@ def test_best_fit():
         assert (used == have).all() and sum(n for _, n in made) == 7
 
 
+def test_patterns():
+    """All ways to write 12 as a sum of up to four of the bins, and nothing else."""
+    there = np.array([1, 2, 3, 5, 7, 12])
+    want = {tuple(sorted(c, reverse=True)) for n in range(1, 5) for c in itertools.combinations_with_replacement(there.tolist(), n) if sum(c) == 12}
+    got = [tuple(x for x in r if x) for r in packing.patterns(there, 12, 4).tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_least_squares():
+    """No repeats, however chosen, come closer: the gradient is zero where a pattern repeats, and nowhere helps."""
+    rng = np.random.default_rng(4)
+    have = rng.integers(0, 90, 33)
+    have[0] = have[32] = 0
+    rows = packing.patterns(np.flatnonzero(have), 32, 3)
+    active, x = packing.fitted(rows, have)
+    assert (x > 0).all() and len(set(active.tolist())) == len(active) <= 32
+    made = np.zeros(33)
+    np.add.at(made, rows[active].ravel(), np.repeat(x, 3))
+    made[0] = 0
+    scale = np.where(have > 0, np.sqrt(np.arange(33)) / np.sqrt(np.maximum(have, 1)), 0)
+    gain = ((have - made) * scale**2)[rows].sum(axis=1)
+    assert np.abs(gain[active]).max() < 1e-6 and gain.max() < 1e-6
+
+
+@pytest.mark.parametrize("pieces,share", [(0, 0), (300, 0.1), (10_000, 0.8), (10**8, 0.85)])
+def test_patterns_place_most(pieces, share):
+    """Sequences come from the fitted patterns, best fit has the rest, and together they are at the lower bound."""
+    rng = np.random.default_rng(5)
+    have = np.bincount(np.clip(rng.lognormal(6.2, 0.9, min(pieces, 10_000)), 1, 2047).astype(int), minlength=2049) * max(1, pieces // 10_000)
+    have[2048] = pieces // 8
+    made, left = packing.by_patterns(have)
+    assert all(sum(sizes) == 2048 for sizes, _ in made)
+    assert (have - left)[:2048].sum() >= share * have[:2048].sum()
+    used, n = left.copy(), 0
+    for sizes, times in made:
+        np.add.at(used, list(sizes), times)
+    assert (used == have).all()
+    whole = packing.plan(have)
+    n, tokens = sum(times for _, times in whole), int((have * np.arange(2049)).sum())
+    assert n <= math.ceil(tokens / 2048 * 1.0005) + 1 and n <= sum(times for _, times in packing.best_fit(have, 2048)) * 1.0005 + 1
+
+
 # 3
 
 
