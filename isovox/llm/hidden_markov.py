@@ -1,16 +1,17 @@
 """Scoring texts with a hidden Markov language model.
 
-States emit classes of words: each of the most frequent words is a class of its own, all others are in classes by
-by their last two bytes, within which a word has its share of the training tokens, plus one. A bounded sample gives
-Baum-Welch its first guess; its rounds then gather counts from every partition of the training texts, until their
-likelihood stops gaining. The likelihood is exact, by the scaled forward recursion: a long text is cut in segments whose transfer matrices are
-found side by side and multiplied in order, so that the number of steps doesn't follow the longest text.
+States emit classes of words: each word that is frequent enough to be learned is a class of its own, all others are in
+classes by their last two bytes, within which a word has its share of the training tokens, plus one. A first guess
+comes from clusters of all training texts, made in their tasks and merged level by level; Baum-Welch rounds then gather
+counts from every partition of the training texts, until their likelihood stops gaining. The likelihood is exact, by
+the scaled forward recursion: a long text is cut in segments whose transfer matrices are found side by side and
+multiplied in order, so that the number of steps doesn't follow the longest text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +20,28 @@ from pyspark.sql import functions as F
 
 from isovox.llm import _text
 from isovox.llm.language_id import fold
-from isovox.store import written
+from isovox.store import dropped, written
 
 STATES = 8
-#: Words with a class of their own at most, and words whose counts every task has at most.
-OWN, FREQUENT = 8192, 1 << 18
+#: A word is a class of its own if it makes up this share of the training tokens and occurs so many times at least: a
+#: vocabulary that grows with the corpus, and by its share alone is never over half a million words.
+OWN_SHARE, OWN_LEAST = 2e-6, 10
+#: Words at most whose counts every task has, where no more have a class of their own; the rest meet theirs in a join.
+FREQUENT = 1 << 18
 #: Classes of all other words.
 TAILS = 256
-#: Training texts that give a first guess of the states, and rounds on them.
-SAMPLE, FIRST_ROUNDS = 800, 8
-#: Rounds over all training texts end when one gains less than this share of the log likelihood over the prior's.
-GAIN = 1e-4
+#: Rounds end when one gains less than this share of the log likelihood over the prior's.
+GAIN = 1e-3
+#: For the first guess: the most frequent classes by which texts are clustered, clusters that a task or a merge leaves,
+#: and clusters that are merged at once.
+TOP, CLUSTERS, MERGED = 1024, 16, 1024
 SEGMENT = 512
 #: Tokens of the corpus-wide distribution that every state starts from.
 PRIOR = 50.0
 END = np.uint64(0)
 CHUNK = 3 << 20
+#: Tokens and texts that a round takes at once.
+AT_ONCE, TEXTS = 500_000, 2000
 
 
 @dataclass
@@ -104,117 +111,142 @@ class Model:
         return at, np.where(tail, 1 + t.tail, own), tail
 
 
-class Lattice:
-    """Segments of texts, the longest first, and the recursions over them."""
+class Segments:
+    """Segments of texts, the longest first, laid out step by step: the tokens of a step stand side by side.
 
-    def __init__(self, classes: np.ndarray, first: np.ndarray, model: Model):
-        self.model, self.classes = model, classes
-        size = np.diff(first)
-        n = -(-size // SEGMENT)
-        doc = np.repeat(np.arange(len(size)), n)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        start = first[:-1][doc] + nth * SEGMENT
-        length = np.minimum(SEGMENT, first[1:][doc] - start)
-        self.order = np.argsort(-length, kind="stable")
-        self.doc, self.nth, self.start, self.length = (x[self.order] for x in (doc, nth, start, length))
-        self.n_docs = len(size)
-        # Segments by their number within the text, for chains.
-        by = np.argsort(self.nth, kind="stable")
-        self.layers = np.split(by, np.cumsum(np.bincount(self.nth))[:-1]) if len(by) else []
+    Arrays are [state, token], in 32-bit floats scaled at every step; logs and sums over tokens are doubles.
+    """
+
+    def __init__(self, classes: np.ndarray, start: np.ndarray, length: np.ndarray, model: Model):
+        self.move, self.n = model.move.astype(np.float32), len(start)
+        self.steps = int(length.max()) if self.n else 0
+        self.active = np.searchsorted(-length, -np.arange(self.steps), side="left")
+        self.at = np.concatenate([[0], np.cumsum(self.active)])
+        place = np.concatenate([start[:k] + t for t, k in enumerate(self.active.tolist())]) if self.n else np.zeros(0, np.int64)
+        self.classes = classes[place]
+        self.emit = np.ascontiguousarray(model.emit[self.classes].T)
+
+    def forward(self, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """From what is expected at the first tokens: states at the ends, the logs of the likelihoods, states at all tokens."""
+        state, logs = state.astype(np.float32), np.zeros(self.n)
+        every = np.empty(self.emit.shape, np.float32) if keep else None
+        for t in range(self.steps):
+            k, at = int(self.active[t]), int(self.at[t])
+            v = (state[:, :k] if t == 0 else self.move.T @ state[:, :k]) * self.emit[:, at : at + k]
+            size = np.maximum(v.sum(axis=0), np.float32(1e-37))
+            v /= size
+            logs[:k] += np.log(size)
+            state[:, :k] = v
+            if keep:
+                every[:, at : at + k] = v
+        return state, logs, every
 
     def transfers(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every segment, rows by entering state, scaled, and the logs of the scales; first segments have row 0 alone."""
-        m, s = self.model, len(self.model.start)
-        rows = np.repeat(np.arange(len(self.nth)), np.where(self.nth == 0, 1, s))
-        begin = np.cumsum(np.where(self.nth == 0, 1, s)) - np.where(self.nth == 0, 1, s)
-        state = np.arange(len(rows)) - begin[rows]
-        alpha = np.where((self.nth[rows] == 0)[:, None], m.start[None], m.move[state]).astype(np.float32)
-        start, length = self.start[rows], self.length[rows]
-        logs = np.zeros(len(rows))
-        move, emit = m.move.astype(np.float32), m.emit
-        steps = int(length[0]) if len(length) else 0
-        active = np.searchsorted(-length, -np.arange(steps), side="left")
-        for t in range(steps):
-            k = int(active[t])
-            a = alpha[:k] if t == 0 else alpha[:k] @ move
-            a = a * emit[self.classes[start[:k] + t]]
-            if t % 8 == 7:
-                peak = np.maximum(a.max(axis=1), np.float32(1e-37))
-                a /= peak[:, None]
-                logs[:k] += np.log(peak)
-            alpha[:k] = a
-        full, scale = np.zeros((len(self.nth), s, s), np.float64), np.full((len(self.nth), s), -np.inf)
-        full[rows, state], scale[rows, state] = alpha, logs
+        """[segment, from, to] from the state before to the one at the end, each row with a largest of 1, and the logs of the scales."""
+        s = len(self.move)
+        full, scale = np.zeros((self.n, s, s)), np.zeros((self.n, s))
+        v = np.repeat(self.move.T[:, :, None], self.n, axis=2)  # [to, from, segment]
+        for t in range(self.steps):
+            k, at = int(self.active[t]), int(self.at[t])
+            if t:
+                v = (self.move.T @ v[:, :, :k].reshape(s, -1)).reshape(s, s, k)
+            v = v[:, :, :k] * self.emit[:, None, at : at + k]
+            size = np.maximum(v.max(axis=0), np.float32(1e-37))
+            v /= size
+            scale[:k] += np.log(size).T
+            after = int(self.active[t + 1]) if t + 1 < self.steps else 0
+            full[after:k] = v[:, :, after:].transpose(2, 1, 0)
         return full, scale
 
-    def chains(self, full: np.ndarray, scale: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """The log likelihood of each text; what enters each segment; with ``back`` what follows it."""
-        s = full.shape[1]
-        value, log = np.zeros((self.n_docs, s)), np.zeros(self.n_docs)
-        enter = np.zeros((len(self.nth), s))
-        for layer, at in enumerate(self.layers):
-            d = self.doc[at]
-            if layer == 0:
-                v, top = full[at, 0], scale[at, 0]
-            else:
-                enter[at] = value[d]
-                top = scale[at].max(axis=1)
-                v = np.einsum("ni,nij->nj", value[d] * np.exp(scale[at] - top[:, None]), full[at])
-            total = np.maximum(v.sum(axis=1), 1e-300)
-            value[d], log[d] = v / total[:, None], log[d] + top + np.log(total)
-        if not back:
-            return log, enter, None
-        after, value = np.ones((len(self.nth), s)), np.ones((self.n_docs, s))
-        for at in self.layers[:0:-1]:
-            d = self.doc[at]
-            after[at] = value[d]
-            top = scale[at].max(axis=1)
-            v = np.exp(scale[at] - top[:, None]) * np.einsum("nij,nj->ni", full[at], value[d])
-            value[d] = v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
-        if self.layers:
-            after[self.layers[0]] = value[self.doc[self.layers[0]]]
-        return log, enter, after
+    def backward(self, every: np.ndarray, enter: np.ndarray | None, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chances of the states at all tokens, and expected moves less the factor ``move``.
+
+        ``enter``: states before the first tokens (None: there are none); ``after``: what follows the last.
+        """
+        beta, gamma, moves = after.astype(np.float32), np.empty(self.emit.shape, np.float32), np.zeros(self.move.shape)
+        for t in range(self.steps - 1, -1, -1):
+            k, at = int(self.active[t]), int(self.at[t])
+            g = every[:, at : at + k] * beta[:, :k]
+            g /= np.maximum(g.sum(axis=0), np.float32(1e-37))
+            gamma[:, at : at + k] = g
+            if t == 0 and enter is None:
+                break
+            out = self.emit[:, at : at + k] * beta[:, :k]
+            back = self.move @ out
+            into = every[:, int(self.at[t - 1]) :][:, :k] if t else enter.astype(np.float32)
+            moves += (into / np.maximum((into * back).sum(axis=0), np.float32(1e-37))) @ out.T
+            beta[:, :k] = back / np.maximum(back.sum(axis=0), np.float32(1e-37))
+        return gamma, moves
+
+
+class Lattice:
+    """The exact recursions over texts, cut in segments: the first of each text, and the others in their order."""
+
+    def __init__(self, classes: np.ndarray, first: np.ndarray, model: Model):
+        self.model, self.classes, self.first = model, classes, first
+        size = np.diff(first)
+        n = -(-size // SEGMENT)
+        self.doc = np.repeat(np.arange(len(size)), n)
+        nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(n) - n, n)
+        start = first[:-1][self.doc] + nth * SEGMENT
+        length = np.minimum(SEGMENT, first[1:][self.doc] - start)
+        order = np.argsort(-length, kind="stable")
+        self.doc, nth, start, length = self.doc[order], nth[order], start[order], length[order]
+        head = nth == 0
+        self.heads, self.head_doc = Segments(classes, start[head], length[head], model), self.doc[head]
+        self.rest, self.rest_doc = Segments(classes, start[~head], length[~head], model), self.doc[~head]
+        # The others by their number within the text.
+        nth = nth[~head]
+        by = np.argsort(nth, kind="stable")
+        self.layers = np.split(by, np.cumsum(np.bincount(nth)[1:])[:-1]) if len(by) else []
+
+    def _forward(self, keep: bool = False):
+        """Logs of likelihoods by text; and of both kinds of segments: states at all tokens, what enters them, what follows."""
+        m, s, docs = self.model, len(self.model.start), len(self.first) - 1
+        log = np.zeros(docs)
+        value, logs, every = self.heads.forward(np.repeat(m.start[:, None], self.heads.n, axis=1), keep)
+        log[self.head_doc] += logs
+        after = [np.ones((s, self.heads.n)), np.ones((s, self.rest.n))]
+        if not self.layers:
+            return log, every, None, None, after
+        full, scale = self.rest.transfers()
+        state, enter = np.zeros((docs, s)), np.zeros((s, self.rest.n))
+        state[self.head_doc] = value.T
+        weight = np.exp(scale - scale.max(axis=1, keepdims=True))
+        for at in self.layers:
+            d = self.rest_doc[at]
+            enter[:, at] = state[d].T
+            v = np.einsum("ni,nij->nj", state[d] * weight[at], full[at])
+            state[d] = v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
+        _, logs, more = self.rest.forward(m.move.T @ enter, keep)
+        np.add.at(log, self.rest_doc, logs)
+        if keep:
+            follows = np.ones((docs, s))
+            for at in self.layers[::-1]:
+                d = self.rest_doc[at]
+                after[1][:, at] = follows[d].T
+                v = weight[at] * np.einsum("nij,nj->ni", full[at], follows[d])
+                follows[d] = v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
+            after[0] = follows[self.head_doc].T
+        return log, every, more, enter, after
 
     def likelihood(self) -> np.ndarray:
         """Natural logarithms, one for each text."""
-        log = self.chains(*self.transfers())[0]
-        doc_sum = np.zeros(self.n_docs)
-        np.add.at(doc_sum, self.doc, np.add.reduceat(np.log(self.model.prior)[self.classes], np.sort(self.start))[np.argsort(np.argsort(self.start))] if len(self.start) else 0)
-        return log + doc_sum
+        prior = np.concatenate([[0.0], np.cumsum(np.log(self.model.prior)[self.classes])])
+        return self._forward()[0] + prior[self.first[1:]] - prior[self.first[:-1]]
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts: of starts, moves, and emissions [state, class]; and the log likelihood over the prior's."""
-        m, s = self.model, len(self.model.start)
-        log, enter, after = self.chains(*self.transfers(), back=True)
-        move = m.move
-        alpha = np.zeros((len(self.classes), s))
-        steps = int(self.length[0]) if len(self.length) else 0
-        active = np.searchsorted(-self.length, -np.arange(steps), side="left")
-        state = np.where((self.nth == 0)[:, None], m.start[None], enter @ move)
-        for t in range(steps):
-            k = int(active[t])
-            at = self.start[:k] + t
-            v = (state[:k] if t == 0 else state[:k] @ move) * m.emit[self.classes[at]]
-            v /= np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
-            state[:k] = v
-            alpha[at] = v
-        moves, beta = np.zeros((s, s)), after.copy()
-        gamma = np.zeros((len(self.classes), s))
-        for t in range(steps - 1, -1, -1):
-            k = int(active[t])
-            at = self.start[:k] + t
-            g = alpha[at] * beta[:k]
-            gamma[at] = g / np.maximum(g.sum(axis=1, keepdims=True), 1e-300)
-            out = m.emit[self.classes[at]] * beta[:k]
-            into = enter[:k] if t == 0 else alpha[at - 1]
-            back = out @ move.T
-            z = (into * back).sum(axis=1, keepdims=True)
-            some = z[:, 0] > 0
-            moves += (into[some] / z[some]).T @ out[some]
-            beta[:k] = back / np.maximum(back.sum(axis=1, keepdims=True), 1e-300)
-        emits = np.stack([np.bincount(self.classes, gamma[:, j], minlength=len(m.prior)) for j in range(s)])
-        head = gamma[self.start[self.nth == 0]].sum(axis=0)
-        return head, moves * move, emits, log.sum(keepdims=True)
+        log, every, more, enter, after = self._forward(True)
+        classes = len(self.model.prior)
+        gamma, moves = self.heads.backward(every, None, after[0])
+        head = gamma[:, : self.heads.n].sum(axis=1, dtype=np.float64)
+        emits = np.stack([np.bincount(self.heads.classes, g, classes) for g in gamma])
+        if self.layers:
+            gamma, others = self.rest.backward(more, enter, after[1])
+            moves += others
+            emits += np.stack([np.bincount(self.rest.classes, g, classes) for g in gamma])
+        return head, moves * self.model.move, emits, log.sum(keepdims=True)
 
 
 def refit(model: Model, head: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Model:
@@ -224,36 +256,95 @@ def refit(model: Model, head: np.ndarray, moves: np.ndarray, emits: np.ndarray)
     return Model(model.known, model.log_count, model.own, model.tail_log, model.prior, (emit / model.prior[None]).T.astype(np.float32), (moves + 1 / s) / (moves.sum(axis=1, keepdims=True) + 1), (head + 1 / s) / (head.sum() + 1))
 
 
-def placed(model: Model, texts: pa.Array, states: int, rounds: int) -> Model:
-    """States from a sample: texts are dealt to states by a mixture of their classes, then Baum-Welch goes on."""
-    read = tokens(texts)
-    classes, first = model.lookup(read)[1], read.first
-    n, size = len(texts), len(model.prior)
-    table = np.stack([np.bincount(classes[a:b], minlength=size) for a, b in zip(first[:-1], first[1:], strict=True)]).astype(np.float32)
-    # Farthest-first seeds among damped profiles.
-    flat = np.log1p(table) / np.maximum(np.linalg.norm(np.log1p(table), axis=1, keepdims=True), 1e-9)
-    seeds = [int(np.argmax(table.sum(axis=1)))]
-    while len(seeds) < min(states, n):
+def _code(model: Model):
+    """The classes of the tokens of each text: what rounds read in place of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.chunks(batches, limit=CHUNK):
+            t = tokens(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(t.first.astype(np.int32)), pa.array(model.lookup(t)[1].astype(np.int32)))], ["classes"])
+
+    return run
+
+
+def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and offsets of some texts at a time."""
+    for batch in batches:
+        lists = batch.column("classes")
+        flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        at, n = 0, len(lists)
+        while at < n:
+            to = min(n, at + TEXTS, max(at + 1, int(np.searchsorted(offs, offs[at] + AT_ONCE, side="right")) - 1))
+            yield flat[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
+            at = to
+
+
+def clusters(table: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """Sums of the rows of counts that are alike: at most ``n`` rows, by spherical k-means over damped counts."""
+    flat = np.log1p(table)
+    flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)
+    seeds = [int(table.sum(axis=1).argmax())]
+    while len(seeds) < min(n, len(table)):
         seeds.append(int((flat @ flat[seeds].T).max(axis=1).argmin()))
-    deal = (flat @ flat[seeds].T).argmax(axis=1)
+    centre = flat[seeds]
+    for k in range(rounds + 1):
+        deal = (flat @ centre.T).argmax(axis=1)
+        if k < rounds:
+            centre = np.stack([flat[deal == j].sum(axis=0) if (deal == j).any() else c for j, c in enumerate(centre)])
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    made = np.stack([table[deal == j].sum(axis=0) for j in range(len(centre))])
+    return made[made.any(axis=1)]
+
+
+def _rows(table: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.astype(np.float32).tobytes() for r in table], pa.binary())], ["counts"])
+
+
+def _table(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of counts, in an order that is theirs."""
+    return np.frombuffer(b"".join(sorted(column.to_pylist())), np.float32).reshape(-1, width)
+
+
+def _clustered(rank: np.ndarray, width: int):
+    """The clusters of a task's texts; ``rank``: the column of each class, -1: none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, width), np.float32)
+        for classes, first in _coded(batches):
+            doc, column = np.repeat(np.arange(len(first) - 1), np.diff(first)), rank[classes]
+            some = column >= 0
+            table = np.bincount(doc[some] * width + column[some], minlength=(len(first) - 1) * width).astype(np.float32).reshape(-1, width)
+            held = np.concatenate([held, clusters(table, CLUSTERS)])
+            if len(held) > 4 * CLUSTERS:
+                held = clusters(held, CLUSTERS)
+        if held.any():
+            yield _rows(clusters(held, CLUSTERS))
+
+    return run
+
+
+def guessed(model: Model, coded: DataFrame) -> Model:
+    """States from clusters of all texts: tasks' own, merged in groups of a bounded number until the driver can deal them."""
+    states, width = len(model.start), min(TOP, len(model.prior))
+    top = np.argsort(-model.prior, kind="stable")[:width]
+    rank = np.full(len(model.prior), -1)
+    rank[top] = np.arange(width)
+    found = written(coded.mapInArrow(_clustered(rank, width), "counts binary"), "clusters")
+    while (n := found.count()) > MERGED:
+        merge = lambda t: pa.Table.from_batches([_rows(clusters(_table(t.column("counts"), width), CLUSTERS))])
+        found = written(found.groupBy(F.pmod(F.xxhash64("counts"), F.lit(-(-n // MERGED)))).applyInArrow(merge, "counts binary"), "clusters")
+    rows = _table(found.toArrow().column("counts"), width).astype(np.float64)
+    if not len(rows):
+        return model
+    prior, emits = model.prior[top] / model.prior[top].sum(), clusters(rows, states)
     for _ in range(6):
-        emits = np.stack([table[deal == j].sum(axis=0) for j in range(states)])
-        log = np.log((emits + PRIOR * model.prior) / (emits.sum(axis=1, keepdims=True) + PRIOR))
-        deal = (table @ log.T.astype(np.float32)).argmax(axis=1)
-    emits = np.stack([table[deal == j].sum(axis=0) for j in range(states)])
-    model = refit(model, np.bincount(deal, minlength=states).astype(float), np.eye(states) * 20 + 1.0, emits)
-    for _ in range(rounds):
-        model = refit(model, *_gathered(model, [pa.RecordBatch.from_arrays([texts], ["text"])])[:3])
-    return model
-
-
-def _gathered(model: Model, batches: Iterable[pa.RecordBatch]) -> list[np.ndarray] | None:
-    total: list[np.ndarray] | None = None
-    for part in _text.chunks(batches, limit=CHUNK):
-        t = tokens(part.column("text"))
-        found = Lattice(model.lookup(t)[1], t.first, model).expected()
-        total = list(found) if total is None else [a + b for a, b in zip(total, found, strict=True)]
-    return total
+        shares = (emits + PRIOR * prior) / (emits.sum(axis=1, keepdims=True) + PRIOR)
+        deal = (rows @ np.log(shares).T).argmax(axis=1)
+        emits = np.stack([rows[deal == j].sum(axis=0) for j in range(states)])
+    emit = np.ones((len(model.prior), states), np.float32)
+    emit[top] = ((emits + PRIOR * prior) / (emits.sum(axis=1, keepdims=True) + PRIOR) / prior).T
+    start = emits.sum(axis=1) + 1
+    return replace(model, emit=emit, move=np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), start=start / start.sum())
 
 
 def _expect(model: Model):
@@ -263,7 +354,10 @@ def _expect(model: Model):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = _gathered(model, batches)
+        total: list[np.ndarray] | None = None
+        for classes, first in _coded(batches):
+            found = Lattice(classes, first, model).expected()
+            total = list(found) if total is None else [a + b for a, b in zip(total, found, strict=True)]
         if total:
             head, moves, emits, log = total
             gain = np.zeros((len(head), 1))
@@ -275,10 +369,13 @@ def _expect(model: Model):
     return run
 
 
-def expected(model: Model, docs: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+def expected(model: Model, coded: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """The log likelihood over the prior's of all the texts, and their Baum-Welch counts."""
     states = len(model.start)
-    rows = docs.select("text").mapInArrow(_expect(model), "state int, cell int, value double").groupBy("state", "cell").agg(F.sum("value").alias("value")).toPandas()
+    # Tasks need no words, only classes.
+    none = np.zeros(0)
+    rows = coded.mapInArrow(_expect(replace(model, known=none, log_count=none, own=none)), "state int, cell int, value double")
+    rows = rows.groupBy("state", "cell").agg(F.sum("value").alias("value")).toPandas()
     whole = np.zeros((states, states + 2 + len(model.prior)))
     whole[rows["state"], rows["cell"] + states + 2] = rows["value"]
     return float(whole[0, 0]), whole[:, states + 1], whole[:, 1 : states + 1][:, ::-1], whole[:, states + 2 :]
@@ -297,50 +394,53 @@ def _threshold(counts: DataFrame, most: int) -> int:
     return least if least is not None else 1 << 62
 
 
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """(classes) of each text, written."""
+    return written(docs.select("text").mapInArrow(_code(model), "classes array<int>"), "classes")
+
+
 def fit(docs: DataFrame, states: int = STATES, gain: float = GAIN) -> tuple[Model, DataFrame, int, int]:
     """A model of the texts of ``docs`` (doc_id, text), the table of counts (hash, tail, n), its tokens and words.
 
-    Null texts are empty: one end. Without any text the model has no word and every class the same share.
+    Null texts are empty: one end. Repeated rows count as often as they are there. Words of equal counts either all
+    have a class of their own or none has. Texts of any length are counted whole; other columns are not read. Without
+    any text the model has no word and every class the same share.
     """
     counts = written(docs.select("text").mapInArrow(_count, "hash bigint, tail int, n bigint").groupBy("hash").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "counts")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = _threshold(counts, FREQUENT)
+    least = max(OWN_LEAST, OWN_SHARE * n_tokens)
     # The end is always among them, however many words are as frequent.
-    often = counts.where((F.col("hash") == int(END)) | (F.col("n") >= least)).toPandas()
+    often = counts.where((F.col("hash") == int(END)) | (F.col("n") >= min(_threshold(counts, FREQUENT), least))).toPandas()
     h, n, tail = often["hash"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64), often["tail"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     h, n, tail = h[order], n[order], tail[order]
-    rank = np.lexsort((h, -n))
-    top = rank[h[rank] != END][:OWN]
+    top = np.flatnonzero((n >= least) & (h != END))
     own = np.full(len(h), -1)
     own[top] = 1 + TAILS + np.arange(len(top))
     # Tokens and words of each tail: all of the corpus less the words with a class of their own.
     tails = np.zeros((TAILS, 2))
-    for r in counts.where(F.col("hash") != int(END)).groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
+    for r in counts.where((F.col("hash") != int(END)) & (F.col("n") < least)).groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
         tails[r["tail"]] = r["n"], r["k"]
-    np.subtract.at(tails, tail[top], np.stack([n[top], np.ones(len(top))], axis=1))
     end = int(n[h == END].sum())
     share = np.concatenate([[end], tails[:, 0], n[top]]) + 1.0
     prior = share / share.sum()
     model = Model(h, np.log10(n + 1.0), own, np.log10(tails.sum(axis=1) + 1), prior, np.ones((len(prior), states), np.float32), np.full((states, states), 1 / states), np.full(states, 1 / states))
-    drawn = F.pmod(F.xxhash64(F.lit("hidden"), "doc_id"), F.lit(1 << 40)) <= min(1.0, SAMPLE / max(1, end)) * (1 << 40)
-    sample = docs.where(drawn).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).limit(2 * SAMPLE).toArrow().combine_chunks()
-    if sample.num_rows:
-        model = placed(model, sample.sort_by("doc_id").column("text").combine_chunks(), states, FIRST_ROUNDS)
-        last = -np.inf
-        while True:
-            log, head, moves, emits = expected(model, docs)
-            # The likelihood is that of the model before this round's counts.
-            model = refit(model, head, moves, emits)
-            if not log - last > gain * abs(log):
-                break
-            last = log
-    return model, counts, int(n_tokens), int(n_words)
+    if not end:
+        return model, counts, int(n_tokens), int(n_words)
+    texts, last = coded(docs, model), -np.inf
+    model = guessed(model, texts)
+    while True:
+        # The likelihood is that of the model before this round's counts.
+        log, *found = expected(model, texts)
+        model = refit(model, *found)
+        if log - last <= gain * abs(log):
+            dropped(texts)
+            return model, counts, int(n_tokens), int(n_words)
+        last = log
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng()  # row numbers only have to differ
         for part in _text.chunks(batches, limit=CHUNK):
             t = tokens(part.column("text"))
             at, classes, tail = model.lookup(t)
@@ -355,7 +455,7 @@ def _score(model: Model):
             ends = np.concatenate([[0], np.cumsum(per(rare).astype(np.int64))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(t.hash[rare].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rng.integers(-(2**63), 2**63 - 1, len(n))), part.column("doc_id"), pa.array(n), pa.array(per(at >= 0).astype(np.int64)), pa.array(per(logs)), pa.array(forward + per(within)), lists],
+                [part.column("row"), part.column("doc_id"), pa.array(n), pa.array(per(at >= 0).astype(np.int64)), pa.array(per(logs)), pa.array(forward + per(within)), lists],
                 ["row", "doc_id", "n_tokens", "known", "logs", "model", "rare"],
             )
 
@@ -365,11 +465,12 @@ def _score(model: Model):
 def likelihoods(docs: DataFrame, fitted: tuple[Model, DataFrame, int, int]) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, text).
 
-    Null and empty texts are one end. Repeated rows get equal scores; scores are sums of whole texts.
+    Null and empty texts are one end. Repeated rows get equal scores; scores are sums of whole texts, however long. Other
+    columns are left out, whatever their names; an empty table gives none.
     """
     model, counts, n_tokens, n_words = fitted
     schema = "row bigint, doc_id bigint, n_tokens bigint, known bigint, logs double, model double, rare array<bigint>"
-    scored = written(docs.select("doc_id", "text").mapInArrow(_score(model), schema), "scored")
+    scored = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_score(model), schema), "scored")
     # Words too rare for every task to know their counts meet them in a join.
     rare = scored.select("row", F.explode("rare").alias("hash")).join(counts.select("hash", "n"), "hash")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))

@@ -562,18 +562,60 @@ def test_hidden_markov(spark, docs, odd, none):
 
 
 def test_rounds_go_on_until_nothing_is_gained(spark, docs):
-    """Over all training texts, though the first guess is made from a few of them, and in few rounds."""
-    old = hidden_markov.SAMPLE, hidden_markov.FIRST_ROUNDS
-    hidden_markov.SAMPLE, hidden_markov.FIRST_ROUNDS = 30, 1
-    try:
-        model = hidden_markov.fit(docs)[0]
-    finally:
-        hidden_markov.SAMPLE, hidden_markov.FIRST_ROUNDS = old
-    log, *counts = hidden_markov.expected(model, docs)
-    more = hidden_markov.expected(hidden_markov.refit(model, *counts), docs)[0]
+    model, *_ = hidden_markov.fit(docs)
+    texts = hidden_markov.coded(docs, model)
+    log, *counts = hidden_markov.expected(model, texts)
+    more = hidden_markov.expected(hidden_markov.refit(model, *counts), texts)[0]
     assert log > 0 and more - log < 2 * hidden_markov.GAIN * log
 
 
+def test_first_guess_follows_all_texts(spark, monkeypatch):
+    """Texts of two vocabularies get states of their own, one of them in few texts; also where clusters are merged in levels."""
+    rows = [(i, " ".join(f"{'a' if i % 40 else 'b'}{(i * 7 + j * 13) % 50}" for j in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    base = hidden_markov.fit(docs, 2, gain=1e9)[0]
+    texts = hidden_markov.coded(docs, base)
+    made = [hidden_markov.guessed(base, texts)]
+    monkeypatch.setattr(hidden_markov, "MERGED", 3)
+    monkeypatch.setattr(hidden_markov, "CLUSTERS", 2)
+    made.append(hidden_markov.guessed(base, texts))
+    for m in made:
+        fit = [hidden_markov.Lattice(m.lookup(t)[1], t.first, m)._forward(True)[1] for t in (hidden_markov.tokens(pa.array([rows[0][1]])), hidden_markov.tokens(pa.array([rows[1][1]])))]
+        assert fit[0][:, 5].argmax() != fit[1][:, 5].argmax()
+
+
+def test_score_against_plain_recursion(spark, docs):
+    """op10's score of each text: every word's class and share, and the forward recursion one token at a time in doubles."""
+    sample = docs.where("doc_id < 60 and length(text) < 6000").union(spark.createDataFrame([(None, None, "en", "a", 0), (-1, "", "en", "a", 0), (-2, "never seen before", "en", "a", 0)], docs.schema))
+    model, counts, n_tokens, n_words = hidden_markov.fit(docs)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["score"]) for r in hidden_markov.likelihoods(sample, (model, counts, n_tokens, n_words)).collect())
+    n = collections.Counter(w for r in docs.collect() for w in [*words(r["text"], True), None])
+    least = max(hidden_markov.OWN_LEAST, hidden_markov.OWN_SHARE * n_tokens)
+    tail = lambda w: (w.encode()[-1] * 37 + (w.encode()[-2] if len(w.encode()) > 1 else 0) * 101) % hidden_markov.TAILS
+    size = collections.Counter()
+    for w, k in n.items():
+        if w is not None and k < least:
+            size[tail(w)] += k + 1
+    hashed = lambda w: int(hidden_markov.tokens(pa.array([w])).hash[0])
+    place = {int(h): int(c) for h, c in zip(model.known, model.own)}
+    move, emit = model.move, model.emit.astype(float) * model.prior[:, None]
+    want = []
+    for r in sample.collect():
+        log, state = 0.0, None
+        for w in [*words(r["text"], True), None]:
+            if w is None:
+                c, inside = 0, 1.0
+            elif n[w] >= least:
+                c, inside = place[hashed(w)], 1.0
+            else:
+                c, inside = 1 + tail(w), (n[w] + 1) / (size[tail(w)] + 1)
+            state = (model.start if state is None else state @ move) * emit[c]
+            log += math.log10(state.sum()) + math.log10(inside)
+            state = state / state.sum()
+        want.append((r["doc_id"] is not None, r["doc_id"] or 0, log))
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 + 1e-5 * abs(b[2]) for a, b in zip(got, sorted(want)))
+
+
 def test_rare_words_join(spark, docs):
     """With few words known to every task, the rest meet their counts in the join: sums stay the same."""
     want = {r["doc_id"]: r for r in registry.QUERIES["op10_hidden_markov"](spark, DATA).collect()}
