@@ -65,8 +65,8 @@ def views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offs - offs[0]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of at most ``limit`` bytes of text, or one row."""
+def chunks(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = CHUNK, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of at most ``limit`` bytes of text and ``rows`` rows, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -74,7 +74,7 @@ def chunks(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = C
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1
-            to = min(batch.num_rows, max(at + 1, to))
+            to = min(batch.num_rows, at + rows, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
 

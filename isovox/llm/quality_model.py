@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from isovox.llm import _text
 from isovox.llm.language_id import fold
+from isovox.store import spare
 
 BITS = 18
 #: Labelled texts that the model is fitted on, drawn by a hash of their ids.
@@ -125,27 +126,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """A model from texts (doc_id, text) and labels (doc_id, quality), on about ``sample`` rows drawn by hash.
 
     Rows without a label, with a null id or a null label are left out; of labels that disagree on an id the
-    highest holds; a null text is empty. Without labelled rows there is no model.
+    highest holds; a null text is empty. Rows that repeat an id all count, in order of draw and n-grams up to
+    2 * ``sample``, which bounds what the driver gets: a row has 2**18 n-grams at most, however long its text. Without
+    labelled rows there is no model.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id"))
     share = sample / max(1, known.count())
     drawn = known.where(F.pmod("draw", F.lit(1 << 40)) <= min(1.0, share) * (1 << 40)).limit(2 * sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), "draw")
-    got = rows.mapInArrow(sparse, "quality int, draw bigint, ids array<int>, shares array<float>").toArrow().sort_by("draw").combine_chunks()
+    made = rows.mapInArrow(sparse, "quality int, draw bigint, ids array<int>, shares array<float>")
+    # Rows of equal draw go by what they hold, so that a fit is the same again.
+    got = made.orderBy("draw", F.xxhash64("ids", "shares")).limit(2 * sample).toArrow().combine_chunks()
     if not got.num_rows:
         return None
     vectors = list(zip(*([x.values.to_numpy()[a:b] for a, b in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:])] for x in (got.column(c).combine_chunks() for c in ("ids", "shares"))), strict=True))
     return ftrl(vectors, got.column("quality").to_numpy())
 
 
-def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFrame:
-    """``docs`` without its text, with the probability of label 1 (0.5 for all without a model).
+def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` without its text, and last the probability of label 1 (0.5 for all without a model).
 
-    A column of ``docs`` with the name of the new one is replaced. Null and empty texts have no n-gram and get the model's bias. Equal texts get equal scores.
+    That is ``score``, with as many underscores before it as keep it apart from the columns of ``docs`` in any case of
+    letters; all of those stay. Null and empty texts have no n-gram and get the model's bias. Equal texts get equal
+    scores; texts of any length are read whole; an empty table gives none.
     """
-    keep = [c for c in docs.columns if c not in ("text", score)]
-    schema = StructType([*(docs.schema[c] for c in keep), StructField(score, DoubleType())])
+    rest = docs.drop("text")
+    keep, score = rest.columns, spare(rest, "score")
+    schema = StructType([*rest.schema.fields, StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.chunks(batches):

@@ -12,7 +12,7 @@ import pytest
 from isovox.llm import fingerprints, hidden_markov, language_id, mixing, near_dedup, packing, quality_model, quality_rules, registry, substring_dedup, surrogates
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import DATA, SCHEMA, words
+from tests.llm.conftest import DATA, LOWER, SCHEMA, words
 
 
 def crc(i, n):
@@ -158,11 +158,13 @@ def test_quality_model(spark, docs, odd, none):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.95
     labels = odd.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).union(spark.createDataFrame([(None, 1), (9, None), (4, 0)], "doc_id bigint, quality int"))
     model = quality_model.train(odd, labels)
-    rows = quality_model.scored(odd.select("doc_id", "text", "score", "label"), model).collect()
-    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
-    assert len({r["score"] for r in rows if r["doc_id"] in (1, 2, 3)}) == 1 and len({r["score"] for r in rows if r["doc_id"] in (4, 5)}) == 1
+    for df, score in ((odd, "_score"), (odd.withColumnRenamed("score", "Score"), "_score"), (odd.drop("score"), "score")):
+        made = quality_model.scored(df, model)
+        rows = made.collect()
+        assert made.columns == [*df.drop("text").columns, score] and len(rows) == odd.count() and all(0 <= r[score] <= 1 for r in rows)
+        assert len({r[score] for r in rows if r["doc_id"] in (1, 2, 3)}) == 1 and len({r[score] for r in rows if r["doc_id"] in (4, 5)}) == 1
     assert quality_model.train(none, labels) is None and quality_model.train(odd, labels.limit(0)) is None
-    assert {r["score"] for r in quality_model.scored(odd, None).collect()} == {0.5}
+    assert {r["_score"] for r in quality_model.scored(odd, None).collect()} == {0.5}
     assert quality_model.scored(none, model).count() == 0
 
 
@@ -178,6 +180,49 @@ def test_ftrl():
     assert (model.weights[:50].sum() < 0 < model.weights[50:100].sum()) and not model.weights[100:].any()
 
 
+def test_ftrl_against_a_plain_loop():
+    """The same updates one coordinate at a time, and scores as plain sums over n-grams."""
+    rng, bits = np.random.default_rng(3), 5
+    rows = [(np.sort(rng.choice(32, rng.integers(1, 9), replace=False)), rng.random(8).astype(np.float32)) for _ in range(60)]
+    rows = [(i, x[: len(i)]) for i, x in rows]
+    labels = rng.integers(0, 2, 60)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 1.0
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for (ids, values), y in zip(rows, labels):
+            x = {int(i): float(v) for i, v in zip(ids, values)} | {32: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    model = quality_model.ftrl(rows, labels, bits, alpha, beta, l1, l2, 3)
+    assert np.allclose(model.weights, [weight(i) for i in range(32)], atol=1e-6) and abs(model.bias - weight(32)) < 1e-9
+
+
+def test_quality_scores_are_sparse_dot_products(spark, docs):
+    rng = np.random.default_rng(1)
+    model = quality_model.Model(rng.normal(0, 1, 1 << quality_model.BITS).astype(np.float32), 0.25)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    one = pa.array(["The the quick! ABC 12 #tag quick quick"])
+    doc, ids, n = quality_model.ngrams(one)
+    k = len(words(one[0].as_py()))
+    # Words, their forms, and pairs and runs of both.
+    assert n.tolist() == [k + k + (k - 1) + (k - 1) + (k - 2)] and len(ids) == n[0]
+    same = quality_model.ngrams(pa.array(["the THE Quick! abc"]))[1]
+    assert same[0] == same[1] == ids[0] == ids[1]
+    for r in quality_model.scored(docs.select("doc_id", "text"), model).where("doc_id < 40").collect():
+        _, ids, n = quality_model.ngrams(pa.array([texts[r["doc_id"]]]))
+        dot = sum(float(model.weights[i]) for i in ids.tolist()) / max(1, int(n[0])) * quality_model.SCALE
+        assert abs(r["score"] - 1 / (1 + math.exp(-dot - 0.25))) < 1e-5
+
+
 # 4
 
 
@@ -465,13 +510,56 @@ def test_language(spark, odd, none):
     assert all(r["held_out"] == (crc(r["doc_id"], 5) == 0) for r in made)
     assert np.mean([r["lang_pred"] == r["lang"] for r in made if r["held_out"]]) > 0.97
     model = language_id.train(odd.select("doc_id", "text", "lang"))
-    rows = language_id.identified(odd.drop("lang"), model).collect()
-    assert len(rows) == odd.count()
-    for r in rows:
-        assert 0 <= r["score"] <= 1 and r["lang_pred"] in (*model.languages, "und")
-    assert {r["doc_id"] for r in rows if r["lang_pred"] == "und"} == {1, 2, 3, 8}
+    assert language_id.train(odd.union(odd).repartition(3)).languages == model.languages
+    for df in (odd, odd.withColumnRenamed("lang_pred", "Lang_Pred")):
+        found = language_id.identified(df, model)
+        rows = found.collect()
+        assert len(rows) == odd.count() and found.columns == [*df.drop("text").columns, "_lang_pred", "_score", "rejected"]
+        for r in rows:
+            assert 0 <= r["_score"] <= 1 and r["_lang_pred"] in (*model.languages, "und")
+        assert {r["doc_id"] for r in rows if r["_lang_pred"] == "und"} == {1, 2, 3, 8}
     assert language_id.train(none) is None and language_id.identified(none, model).count() == 0
-    assert {r["lang_pred"] for r in language_id.identified(odd, None).collect()} == {"und"}
+    assert {r["_lang_pred"] for r in language_id.identified(odd, None).collect()} == {"und"}
+
+
+def _ngrams(text):
+    """Plain n-grams of letters in bytes, others as one blank, hashed as the method says."""
+    b = [c if c >= 128 or 97 <= c <= 122 else 32 for c in text.translate(LOWER).encode()]
+    count = collections.Counter()
+    for x, y in zip(b, b[1:]):
+        if (x, y) != (32, 32):
+            count[(((x * 257 + y) * 2654435769) % 2**32 >> 16) % language_id.DIMS] += 1
+    for x, y, z in zip(b, b[1:], b[2:]):
+        if (x, y, z) != (32, 32, 32):
+            count[((((x * 257 + y) * 257 + z) * 2246822519) % 2**32 >> 16) % language_id.DIMS] += 1
+    return {i: 1 + math.log(n) for i, n in count.items()}
+
+
+def test_language_against_plain_cosines(spark, docs):
+    """TF-IDF, centroids and cosines once more, a text and an n-gram at a time, by plain dictionaries."""
+    rows = [r for r in docs.collect() if r["text"] and r["lang"]]
+    model = language_id.train(docs)
+    df = collections.Counter(i for r in rows for i in _ngrams(r["text"]))
+    idf = [math.log((1 + len({(r["doc_id"], r["text"]) for r in rows})) / (1 + df[i])) + 0.1 for i in range(language_id.DIMS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5) and collections.Counter(model.owner.tolist()) == {i: language_id.CENTROIDS for i in range(len(model.languages))}
+    unit, plain = {}, {}
+    for r in rows:
+        v = {i: x * idf[i] for i, x in _ngrams(r["text"]).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        unit[r["doc_id"]] = {i: x / size for i, x in v.items()} if size else {}
+        plain[r["doc_id"]] = [sum(x * float(c[i]) for i, x in unit[r["doc_id"]].items()) for c in model.centroids]
+    # A centroid is the mean direction of the training texts that are nearest to it among their language's.
+    for j, c in enumerate(model.centroids):
+        own = [r["doc_id"] for r in rows if model.languages[model.owner[j]] == r["lang"] and max((k for k in range(len(model.owner)) if model.owner[k] == model.owner[j]), key=lambda k: plain[r["doc_id"]][k]) == j]
+        total = np.zeros(language_id.DIMS)
+        for d in own:
+            total[list(unit[d])] += list(unit[d].values())
+        assert total @ c / np.linalg.norm(total) > 0.98
+    for r in language_id.identified(docs.select("doc_id", "text"), model).collect():
+        if r["doc_id"] in plain and r["lang_pred"] != "und":
+            best = max(plain[r["doc_id"]])
+            assert abs(r["score"] - min(1, max(0, best))) < 1e-4 and plain[r["doc_id"]][model.languages.index(r["lang_pred"]) * language_id.CENTROIDS :][: language_id.CENTROIDS] and best - max(p for p, o in zip(plain[r["doc_id"]], model.owner) if model.languages[o] == r["lang_pred"]) < 1e-4
 
 
 # 9
