@@ -11,6 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from isovox.store import partitions
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -138,3 +142,9 @@ def inside_doc(first: np.ndarray, k: int) -> np.ndarray:
     np.add.at(ok, first[:-1][full], 1)
     np.add.at(ok, first[1:][full] - k + 1, -1)
     return np.flatnonzero(np.cumsum(ok[:n]) > 0)
+
+
+def parts_of(docs: DataFrame, size: int, name: str = "text") -> int:
+    """The session's shuffle partitions, or more, so that a part has about ``size`` bytes of the texts."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()[0]
+    return max(partitions(docs.sparkSession), -(-int(total) // size))

@@ -6,7 +6,11 @@ the cover, and hashes of 4 in 13 places find every candidate. A shared anchor is
 around it are compared by 80 bits of hash, and all but the first in (doc_id, start) are covered words to remove.
 
 What is compared goes to buckets by hash, one packed blob for each task and bucket; a task sends an anchor or a
-window once, however often it has it, so a passage that every document holds is no hot bucket.
+window once, however often it has it, so a passage that every document holds is no hot bucket. Parts and buckets are
+as many as the texts' bytes ask for.
+
+A document is a pair of an id and a text, known by a 64-bit key of both; in order they go by id, then by a hash of the
+text.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isovox.llm import _text
-from isovox.store import partitions
 
 WINDOW = 20
 PERIOD = 13
@@ -30,7 +34,10 @@ COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Anchors a task holds before it packs them.
 HELD = 3_000_000
+#: What stands for a null id, which comes before all others.
 LEAST = -(2**63)
+#: Bytes of text to a part.
+PART = 128 << 20
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _BLOBS = "bucket bigint, known boolean, blob binary"
@@ -57,8 +64,19 @@ def unpack(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
     return [np.concatenate(a) for a in out]
 
 
-def part_of(doc: np.ndarray, n: int) -> np.ndarray:
-    return (_text.mixed(doc.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+def key_of(doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The keys of documents, from their ids and the hashes of their texts."""
+    return _text.mixed(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _text.mixed(text))
+
+
+def text_hashes(column: pa.Array) -> np.ndarray:
+    data, offs = _text.views(column)
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), np.uint64, len(column))
+
+
+def part_of(key: np.ndarray, n: int) -> np.ndarray:
+    return (key % np.uint64(n)).astype(np.int64)
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -74,10 +92,10 @@ def _split(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield int(key[a]), pack(*(x[a:b] for x in arrays))
 
 
-def _told(doc: np.ndarray, pos: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-    part = part_of(doc, n)
-    order = np.lexsort((pos, doc, part))
-    yield from _split(part[order], doc[order], pos[order])
+def _told(key: np.ndarray, pos: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+    part = part_of(key, n)
+    order = np.lexsort((pos, key, part))
+    yield from _split(part[order], key[order], pos[order])
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -90,17 +108,17 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def anchors(n: int):
-    """Packed (hash, doc, place) of the anchors of all texts, each hash once for a task; the rest are known to be shared."""
+    """Packed (hash, key, place) of the anchors of all texts, each hash once for a task; the rest are known to be shared."""
 
     def pour(held: list[tuple]) -> pa.RecordBatch:
-        h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
+        h, key, pos = h[order], key[order], pos[order]
         again = np.concatenate([[False], h[1:] == h[:-1]])
         shared = again | np.append(again[1:], False)
         one = ~again
-        rows = [(b, False, x) for b, x in _split(bucket_of(h[one], n), h[one] & np.uint64(0xFFFFFFFFFFFF), doc[one], pos[one])]
-        return _blobs(rows + [(p, True, x) for p, x in _told(doc[shared], pos[shared], n)])
+        rows = [(b, False, x) for b, x in _split(bucket_of(h[one], n), h[one] & np.uint64(0xFFFFFFFFFFFF), key[one], pos[one])]
+        return _blobs(rows + [(p, True, x) for p, x in _told(key[shared], pos[shared], n)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -113,7 +131,8 @@ def anchors(n: int):
             long = w.counts[doc] >= WINDOW
             at, doc = at[long], doc[long]
             if len(at):
-                held.append((_text.runs(w.hashes(), ANCHOR)[at], part.column("doc_id").to_numpy()[doc], place[at].astype(np.uint32)))
+                key = key_of(part.column("doc_id").to_numpy(), text_hashes(part.column("text")))
+                held.append((_text.runs(w.hashes(), ANCHOR)[at], key[doc], place[at].astype(np.uint32)))
                 size += len(at)
             if size > HELD:
                 yield pour(held)
@@ -130,24 +149,24 @@ def _shared(n: int):
     def run(table: pa.Table) -> pa.Table:
         known = table.column("known").to_numpy()
         blobs = table.column("blob").to_pylist()
-        h, doc, pos = unpack([b for b, k in zip(blobs, known, strict=True) if not k], np.uint64, np.int64, np.uint32)
+        h, key, pos = unpack([b for b, k in zip(blobs, known, strict=True) if not k], np.uint64, np.uint64, np.uint32)
         order = np.argsort(h, kind="stable")
         h = h[order]
         again = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
         mine = order[again | np.append(again[1:], False)[: len(h)]]
-        rows = list(_told(doc[mine], pos[mine], n))
+        rows = list(_told(key[mine], pos[mine], n))
         rows += [(b, x) for b, x, k in zip(table.column("bucket").to_pylist(), blobs, known, strict=True) if k]
         return pa.Table.from_batches([_batch(rows, ["part", "blob"], [pa.int64(), pa.binary()])])
 
     return run
 
 
-def _marks(docs: np.ndarray, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted places told of documents, and for each of ``docs`` where its own begin and end."""
-    doc, pos = unpack(told.column("blob").to_pylist(), np.int64, np.uint32)
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order].astype(np.int64)
-    return pos, np.searchsorted(doc, docs), np.searchsorted(doc, docs, side="right")
+def _marks(keys: np.ndarray, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted places told of documents, and for each of ``keys`` where its own begin and end."""
+    key, pos = unpack(told.column("blob").to_pylist(), np.uint64, np.uint32)
+    order = np.lexsort((pos, key))
+    key, pos = key[order], pos[order].astype(np.int64)
+    return pos, np.searchsorted(key, keys), np.searchsorted(key, keys, side="right")
 
 
 def _covered(first: np.ndarray, owner: np.ndarray, pos: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -160,11 +179,11 @@ def _covered(first: np.ndarray, owner: np.ndarray, pos: np.ndarray, before: int,
 
 
 def _extend(n: int):
-    """Around shared anchors: packed (hash, more hash, doc, start) of the windows, each hash once; the rest are known to repeat."""
+    """Around shared anchors: packed (hash, more hash, id, text hash, start) of the windows, each hash once; the rest are known to repeat."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        docs = texts.column("doc_id").to_numpy()
-        pos, lo, hi = _marks(docs, told)
+        docs, sums = texts.column("doc_id").to_numpy(), texts.column("hash").to_numpy().view(np.uint64)
+        pos, lo, hi = _marks(key_of(docs, sums), told)
         rows, held = np.flatnonzero(hi > lo), []
         free, blobs = zstandard.ZstdDecompressor(), texts.column("blob")
         for k in range(0, len(rows), 512):
@@ -177,27 +196,26 @@ def _extend(n: int):
             at = at[near[at]]
             if len(at):
                 h, doc = w.hashes(), w.doc()[at]
-                held.append((_text.runs(h, WINDOW)[at], (_text.runs(_text.mixed(h), WINDOW)[at] & np.uint64(0xFFFF)).astype(np.uint16), docs[own][doc], (at - w.first[doc]).astype(np.uint32)))
+                held.append((_text.runs(h, WINDOW)[at], (_text.runs(_text.mixed(h), WINDOW)[at] & np.uint64(0xFFFF)).astype(np.uint16), docs[own][doc], sums[own][doc], (at - w.first[doc]).astype(np.uint32)))
         if not held:
             return pa.Table.from_batches([_blobs([])])
-        h, more, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, more, doc, pos, again = _in_order(h, more, doc, pos)
+        *window, again = _in_order(*(np.concatenate(x) for x in zip(*held, strict=True)))
         one = ~again
-        rows = [(b, False, x) for b, x in _split(bucket_of(h[one], n), h[one], more[one], doc[one], pos[one])]
-        return pa.Table.from_batches([_blobs(rows + [(p, True, x) for p, x in _told(doc[again], pos[again], n)])])
+        rows = [(b, False, x) for b, x in _split(bucket_of(window[0][one], n), *(x[one] for x in window))]
+        return pa.Table.from_batches([_blobs(rows + [(p, True, x) for p, x in _told(key_of(window[2][again], window[3][again]), window[4][again], n)])])
 
     return run
 
 
-def _in_order(h: np.ndarray, more: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+def _in_order(h: np.ndarray, more: np.ndarray, doc: np.ndarray, text: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows in order, and which of them have an earlier equal one. Repeats of one place are one window."""
-    order = np.lexsort((pos, doc, more, h))
-    h, more, doc, pos = h[order], more[order], doc[order], pos[order]
-    same = np.concatenate([[False], (h[1:] == h[:-1]) & (more[1:] == more[:-1])])[: len(h)]
-    twin = same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])])[: len(h)]
-    if twin.any():
-        return _in_order(h[~twin], more[~twin], doc[~twin], pos[~twin])
-    return h, more, doc, pos, same
+    order = np.lexsort((pos, text, doc, more, h))
+    h, more, doc, text, pos = (x[order] for x in (h, more, doc, text, pos))
+    if not len(h):
+        return h, more, doc, text, pos, np.zeros(0, bool)
+    same = np.concatenate([[False], (h[1:] == h[:-1]) & (more[1:] == more[:-1])])
+    one = ~(same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (pos[1:] == pos[:-1])]))
+    return h[one], more[one], doc[one], text[one], pos[one], same[one]
 
 
 def _later(n: int):
@@ -206,8 +224,8 @@ def _later(n: int):
     def run(table: pa.Table) -> pa.Table:
         known = table.column("known").to_numpy()
         blobs = table.column("blob").to_pylist()
-        _, _, doc, pos, again = _in_order(*unpack([b for b, k in zip(blobs, known, strict=True) if not k], np.uint64, np.uint16, np.int64, np.uint32))
-        rows = list(_told(doc[again], pos[again], n))
+        _, _, doc, text, pos, again = _in_order(*unpack([b for b, k in zip(blobs, known, strict=True) if not k], np.uint64, np.uint16, np.int64, np.uint64, np.uint32))
+        rows = list(_told(key_of(doc[again], text[again]), pos[again], n))
         rows += [(b, x) for b, x, k in zip(table.column("bucket").to_pylist(), blobs, known, strict=True) if k]
         return pa.Table.from_batches([_batch(rows, ["part", "blob"], [pa.int64(), pa.binary()])])
 
@@ -216,7 +234,7 @@ def _later(n: int):
 
 def _remove(texts: pa.Table, told: pa.Table) -> pa.Table:
     docs = texts.column("doc_id").to_numpy()
-    pos, lo, hi = _marks(docs, told)
+    pos, lo, hi = _marks(key_of(docs, texts.column("hash").to_numpy().view(np.uint64)), told)
     free, rows = zstandard.ZstdDecompressor(), []
     for i, blob in enumerate(texts.column("blob")):
         # bytes.split() parts at 0x20 and 0x09-0x0D, just as words are.
@@ -241,8 +259,8 @@ def _press(n: int):
             data, offs = _text.views(part.column("text"))
             raw = data.tobytes()
             blobs = [press.compress(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            ids = part.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, n)), pa.array(ids), pa.array(blobs, pa.binary())], ["part", "doc_id", "blob"])
+            ids, sums = part.column("doc_id").to_numpy(), text_hashes(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(key_of(ids, sums), n)), pa.array(ids), pa.array(sums.view(np.int64)), pa.array(blobs, pa.binary())], ["part", "doc_id", "hash", "blob"])
 
     return run
 
@@ -251,13 +269,14 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words of each text less those in a repeat of an earlier window, as bytes.
 
     The words are joined by one space (``digest``: the SHA-256 of that). Null and empty texts have no words; texts
-    under 20 words lose none. A null id counts as the least. Rows of one id are one document and must repeat one
-    text: none is a repeat of the other. The first of overlapping repeats within a text stays.
+    under 20 words lose none; texts of any length are read whole. A null id counts as the least. Rows of one id, or
+    without any, and one text are one document, and none is a repeat of the other; with other texts they are documents
+    of their own, in order of a hash of the text. The first of overlapping repeats within a text stays. Other columns
+    are left out; an empty table gives none.
     """
-    # As many parts and buckets as a shuffle has partitions: their blobs are no more than a shuffle's blocks.
-    n = partitions(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "text")
-    texts = docs.mapInArrow(_press(n), "part bigint, doc_id bigint, blob binary")
+    n = _text.parts_of(docs, PART)
+    texts = docs.mapInArrow(_press(n), "part bigint, doc_id bigint, hash bigint, blob binary")
     shared = docs.mapInArrow(anchors(n), _BLOBS).groupBy("bucket").applyInArrow(_shared(n), _TOLD)
     windows = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_extend(n), _BLOBS)
     later = windows.groupBy("bucket").applyInArrow(_later(n), _TOLD)

@@ -588,6 +588,20 @@ def test_substrings(spark, docs, odd, none):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def test_substrings_of_null_and_equal_ids(spark, monkeypatch):
+    """Rows of one id, or of none, with other texts: nothing goes but what stands in another document too."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, f"{b} tail of this"), (7, f"{c} {a}"), (8, c), (None, None), (7, "")]
+    monkeypatch.setattr(substring_dedup, "PART", 300)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = collections.Counter(map(tuple, substring_dedup.without_repeats(df, digest=True).select("doc_id", "n_words", "n_removed").collect()))
+    first = min((c, f"{c} {a}"), key=lambda t: int(substring_dedup.text_hashes(pa.array([t]))[0]))
+    # Of c the first of the two documents of id 7 that begin with it keeps it; of a and b the rows without an id do.
+    want = [(None, 60, 0)] * 3 + [(None, 0, 0), (7, 0, 0), (7, 63, 60), (8, 60, 60)]
+    want += [(7, 60, 0), (7, 120, 120)] if first == c else [(7, 60, 60), (7, 120, 60)]
+    assert made == collections.Counter(want)
+
+
 def test_cover():
     for i in range(13):
         for j in range(13):
