@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isovox.llm import _text
-from isovox.store import partitions
 
 WINDOW = 64
 #: Points that make a window a feature.
@@ -31,6 +31,10 @@ HASHES = 5
 FILTER = 160
 #: Entropy of a window in thousandths of the most there can be; below, windows are repetitive and say nothing.
 FLOOR = 100
+#: Bytes of text to a block.
+BLOCK = 32 << 20
+#: What stands for a null id, and the least hash.
+LEAST = -(2**63)
 
 _N = np.arange(WINDOW + 1, dtype=np.float64)
 _PART = np.where(_N > 0, _N * np.log2(np.maximum(_N, 1)), 0.0)
@@ -154,42 +158,62 @@ def of_text(text: str | None) -> str:
 
 
 def in_line(docs: DataFrame) -> DataFrame:
-    """Blocks of rows in ascending doc_id, each with the first row of the next (``guest``), the last with the first of all.
+    """Blocks of rows in order of (doc_id, a hash of the text), each with the first rows of the next (``guest``).
 
-    Bounds come from the ids alone and each text is shuffled once; ids are null first, equal ids stand together
-    in order of text. The number of blocks follows the session's shuffle partitions.
+    The last block's guests are the first rows of all; ids are null first. Bounds come from the ids alone, and each
+    text is shuffled once, to the task of its block. There are as many blocks as the texts' bytes ask for; an id that
+    would fill several (all rows without one, say) is split among them by the hash.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    n = partitions(docs.sparkSession)
-    bounds = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    cuts = [int(b) for b in bounds]
-    block = _search(key, cuts)
-    placed = docs.withColumns({"_id": key, "_block": block.cast("int")})
-    firsts = sorted((r["_block"], r["first"]) for r in placed.groupBy("_block").agg(F.min("_id").alias("first")).collect())
+    ids = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("id"))
+    n = _text.parts_of(docs, BLOCK)
+    at = ids.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    # A bound that comes m times is an id of m blocks or more: m equal ranges of the hash.
+    cuts = [(int(i), LEAST + j * (2**64 // m)) for i, m in sorted(Counter(at).items()) for j in range(m)]
+    placed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(LEAST)), "_hash": F.xxhash64("text")})
+    placed = placed.withColumn("_block", _search(F.col("_id"), F.col("_hash"), cuts))
+    firsts = sorted(tuple(r) for r in placed.groupBy("_block").agg(F.min(F.struct("_id", "_hash")).alias("f")).select("_block", "f._id", "f._hash").collect())
     if not firsts:
         return placed.withColumn("guest", F.lit(False))
-    before = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}
-    pairs = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    host = F.element_at(pairs, F.col("_id"))
-    seats = F.when(host.isNull(), F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("guest")), F.struct(host.alias("block"), F.lit(True).alias("guest"))))
-    line = placed.select("*", F.explode(seats).alias("_seat")).select(*docs.columns, "_id", F.col("_seat.block").alias("_block"), F.col("_seat.guest").alias("guest"))
-    return line.repartition(n, "_block").sortWithinPartitions("_block", "guest", "_id", "text")
-
-
-def _search(key, cuts: list[int]):
-    """A balanced tree of comparisons: the number of cuts at or below the key."""
+    # Of each block: its first row, and the block before it, whose guest that is.
+    first_id, first_hash, host = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for i, (block, id_, hash_) in enumerate(firsts):
+        first_id[block], first_hash[block], host[block] = id_, hash_, firsts[i - 1][0]
+    of = lambda values: F.element_at(_array(values), F.col("_block") + 1)
+    leads = (F.col("_id") == of(first_id)) & (F.col("_hash") == of(first_hash))
+    seat = lambda block, guest: F.struct(block.cast("int").alias("block"), F.lit(guest).alias("guest"))
+    own = seat(F.col("_block"), False)
+    seats = F.when(leads, F.array(own, seat(of(host), True))).otherwise(F.array(own))
+    line = placed.select(*docs.columns, "_id", "_hash", F.explode(seats).alias("_seat")).select(*docs.columns, "_id", "_hash", F.col("_seat.block").alias("_block"), F.col("_seat.guest").alias("guest"))
+    return line.repartitionById(len(cuts) + 1, F.col("_block")).sortWithinPartitions("_block", "guest", "_id", "_hash", "text")
+
+
+def _array(values: list[int]) -> Column:
+    """One literal, however many values."""
+    return F.lit(np.array(values, np.int64))
+
+
+def _search(key: Column, more: Column, cuts: list[tuple[int, int]]) -> Column:
+    """The number of cuts at or below (key, more), by halving: work and size of the expression follow the log of the cuts."""
     if not cuts:
         return F.lit(0)
-    mid = len(cuts) // 2
-    return F.when(key >= F.lit(cuts[mid]), _search(key, cuts[mid + 1 :]) + F.lit(mid + 1)).otherwise(_search(key, cuts[:mid]))
+    ids, hashes = (_array(list(c)) for c in zip(*cuts, strict=True))
+    steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+
+    def on(below: Column, step: Column) -> Column:
+        to = below + step
+        at, sub = F.try_element_at(ids, to), F.try_element_at(hashes, to)
+        return F.when((to <= len(cuts)) & ((at < key) | ((at == key) & (sub <= more))), to).otherwise(below)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), on)
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of (doc_id, text).
 
-    The next row is that of the next id, of the same id next in order of text, or after the last the first; a
-    single row is its own next. A null text is empty, its fingerprint the empty string.
+    The next row is that of the next id, of the same id next in order of a hash of the text, or after the last the
+    first; a single row is its own next. A null text is empty, its fingerprint the empty string. Whole texts are
+    read, however long; repeated rows give as many rows; other columns are left out, whatever their names; an empty
+    table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +232,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
+    docs = docs.select("doc_id", "text")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_line(docs.select("doc_id", "text")).select("doc_id", "text", "_block", "guest").mapInArrow(run, schema)
+    return in_line(docs).select("doc_id", "text", "_block", "guest").mapInArrow(run, schema)
 
 
 def _own(text: str) -> tuple:

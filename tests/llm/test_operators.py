@@ -59,6 +59,70 @@ def test_fingerprints(spark, docs, odd, none):
     assert fingerprints.fingerprinted(odd.where("doc_id = 4")).first()["near_next"] == 1.0
 
 
+def _plain_features(b):
+    """Features by their definition, a window at a time."""
+    n = len(b)
+    if n < 64:
+        return [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")] if n else []
+    entropy, rank = [], []
+    for i in range(n - 63):
+        sums = sum(round(k * math.log2(k) * 2**20) for k in collections.Counter(b[i : i + 64]).values())
+        e = (6 * 64 * 2**20 - sums) * 1000 // (6 * 64 * 2**20)
+        entropy.append(e)
+        rank.append(1 << 20 if e < fingerprints.FLOOR else (1000 - abs(e - fingerprints.USUAL)) * 256 + (b[i] * 31 + b[i + 7] * 17 + b[i + 23]) * 167 % 256)
+    width = min(64, len(rank))
+    best = [min(range(i, i + width), key=lambda j: (rank[j], j)) for i in range(len(rank) - width + 1)]
+    points = collections.Counter(best)
+    at = [i for i in range(len(rank)) if points[i] >= fingerprints.POINTS and entropy[i] >= fingerprints.FLOOR] or [best[0]]
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    out = []
+    for i in at:
+        h = 0
+        for j in range(8):
+            h = mix(((h ^ int.from_bytes(b[i + 8 * j : i + 8 * j + 8], "little")) + j + 1) % 2**64)
+        out.append(h)
+    return out
+
+
+def test_features_by_definition(docs):
+    texts = [r["text"] or "" for r in docs.where("doc_id < 40 and length(text) < 4000").collect()]
+    for text in [*texts, "", "short", "x" * 64, "ab" * 200, "é日本" * 60, texts[0][:64], texts[0][:127], texts[0][:128]]:
+        b = text.encode()
+        want = _plain_features(b)
+        assert fingerprints.features(np.frombuffer(b, np.uint8)).tolist() == want
+        # Filters of 160 distinct features in order, five bits of each.
+        seen = list(dict.fromkeys(want))
+        links = [seen[i : i + fingerprints.FILTER] for i in range(0, len(seen), fingerprints.FILTER)]
+        rows, sizes = fingerprints.decode(fingerprints.of_text(text))
+        assert sizes.tolist() == [len(x) for x in links]
+        for row, link in zip(rows, links):
+            assert set(np.flatnonzero(np.unpackbits(row)).tolist()) == {(h >> 11 * j) % 2048 for h in link for j in range(5)}
+
+
+def test_line_of_null_and_equal_ids(spark, monkeypatch):
+    """The next row in a total order, though one id fills several blocks."""
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, " ".join(f"w{x}" for x in rng.integers(0, 99, 40)) if i % 7 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    line = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"] or "") for r in df.select("*", F.xxhash64("text").alias("h")).collect())
+    want = []
+    for i, (there, d, _, t) in enumerate(line):
+        edited = t[: len(t) - len(t) // 4] + line[(i + 1) % len(line)][3][: len(t) // 4]
+        want.append((there, d, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    for size in (1 << 20, 1000, 100):
+        monkeypatch.setattr(fingerprints, "BLOCK", size)
+        made = fingerprints.fingerprinted(df).collect()
+        assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in made) == sorted(want)
+    assert fingerprints.in_line(df).rdd.getNumPartitions() > 30
+
+
 # 2
 
 
