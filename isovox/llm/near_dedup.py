@@ -15,18 +15,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isovox.llm import _text
 from isovox.operators.components import components
-from isovox.store import fresh, written
+from isovox.store import columns, dropped, fresh, written
 
 #: Half keys in each of the two collections: a pair at the threshold shares no table with a chance of about 1e-5.
 BANDS = 10
-#: Classes in a block, where a bucket is compared in blocks.
-BLOCK = 256
+#: Classes in a block, where a bucket is compared in blocks, and shingles in one of long texts.
+BLOCK, SHINGLES = 256, 1 << 20
+
+
+def key_of() -> Column:
+    """What names a row: its id and its text."""
+    return F.xxhash64("doc_id", "text")
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +69,7 @@ def minhashes(sets: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, node, check, halves): ``node`` and ``check`` name the set; ``halves`` are null if it is empty."""
+    """(key, doc_id, n_shingles, node, check, halves): ``node`` and ``check`` name the set; ``halves`` are none if it is empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.chunks(batches):
@@ -80,19 +85,19 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
             half = _text.mixed(m[:, 0::2] * _text._STEP + _text.mixed(m[:, 1::2])).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(full, 2 * bands, 0))]).astype(np.int32)
             halves = pa.ListArray.from_arrays(pa.array(ends), pa.array(half.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), halves], ["doc_id", "n_shingles", "node", "check", "halves"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(sizes), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), halves], ["key", "doc_id", "n_shingles", "node", "check", "halves"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, node bigint, check bigint, halves array<bigint>")
+    return docs.select(key_of().alias("key"), "doc_id", "text").mapInArrow(sign, "key bigint, doc_id bigint, n_shingles bigint, node bigint, check bigint, halves array<bigint>")
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstandard blobs: what is shuffled is less than half as large."""
+    """Texts as zstandard blobs: what goes on is less than half as large."""
     press = zstandard.ZstdCompressor(level=1)
     for part in _text.chunks(batches):
         data, offs = _text.views(part.column("text"))
         raw = data.tobytes()
         blobs = [press.compress(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+        yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(blobs, pa.binary())], ["node", "blob"])
 
 
 def _sets(blobs: list[bytes], k: int) -> list[np.ndarray]:
@@ -160,30 +165,31 @@ def _block(k: int, percent: int):
 
 
 def _cross_links(members: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between different components among the members (main, node, label) of each main component's buckets.
+    """Links between different components among the members (main, node, label, size) of each main component's buckets.
 
     Blocks of those in the main component meet blocks of the others, and blocks of the others each other.
     """
     side = F.col("label") == F.col("main")
-    n = members.groupBy("main").agg(F.ceil(F.sum(side.cast("int")) / BLOCK).cast("int").alias("mains"), F.ceil(F.sum((~side).cast("int")) / BLOCK).cast("int").alias("others"))
+    blocks = lambda mine: F.ceil(F.greatest(F.sum(mine.cast("int")) / BLOCK, F.sum(F.when(mine, F.col("size")).otherwise(0)) / SHINGLES)).cast("int")
+    n = members.groupBy("main").agg(blocks(side).alias("mains"), blocks(~side).alias("others"))
     # Written, so that the join below has a shuffle of its own, whose large partitions can be split.
     n = written(n, "mains")
     seats = members.join(n, "main").withColumn("own", F.when(side, F.pmod(F.xxhash64("node", F.lit("block")), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node", F.lit("block")), "others")).cast("int"))
     seats = seats.withColumn("with", F.explode(F.sequence(F.when(side, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
     seats = seats.select("main", "node", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(blobs, "node")
-    return seats.groupBy("main", "i", "j").applyInArrow(_block(k, percent), "u bigint, v bigint").distinct()
+    links = written(seats.groupBy("main", "i", "j").applyInArrow(_block(k, percent), "u bigint, v bigint").distinct(), "cross-links")
+    dropped(n)
+    return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text and any others).
+def _classes(docs: DataFrame, k: int, percent: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (key, doc_id, n_shingles, node, check, ...) of each row, and (node, check, label) of each set.
 
-    A null, empty or blank text has no shingle and links with nothing; its component is its own id. Equal sets
-    are linked, so repeated rows are in one component. Rows of one id with other texts stand each alone.
-    An empty table gives an empty table.
+    ``label`` is that of the set's component. ``key`` names a row by its id and its text, so that rows without an id
+    take part as all others do.
     """
-    docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, k, bands), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
+    classes = signed.where("n_shingles > 0").groupBy("node", "check").agg(F.min("key").alias("rep"), F.first("halves").alias("halves"), F.first("n_shingles").alias("size"))
     classes = written(classes, "classes")
     # Halves that more than one class has: only they can make a key that is shared.
     halves = classes.select("node", F.posexplode("halves").alias("slot", "half"))
@@ -195,54 +201,58 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     keys = written(keys, "keys")
     lead = keys.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = written(keys.join(lead, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "pairs")
-    # Texts of the classes that are in a pair, shuffled compressed.
-    wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node").join(classes.select("node", "rep"), "node")
-    blobs = docs.mapInArrow(_squeeze, "doc_id bigint, blob binary").join(wanted, F.col("doc_id") == F.col("rep"))
-    blobs = written(blobs.select("node", "blob").mapInArrow(_own(k), "node bigint, blob binary"), "blobs")
+    # Texts of the classes that are in a pair. What is wanted is written, so that Spark knows its size before it joins:
+    # up to its broadcast threshold no other text leaves its task.
+    wanted = written(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node").join(classes.select("node", F.col("rep").alias("key")), "node"), "wanted")
+    texts = docs.select(key_of().alias("key"), "text").join(wanted, "key").select("node", "text")
+    blobs = written(texts.mapInArrow(_squeeze, "node bigint, blob binary").dropDuplicates(["node"]), "blobs")
     u, v = blobs.select(F.col("node").alias("u"), F.col("blob").alias("ublob")), blobs.select(F.col("node").alias("v"), F.col("blob").alias("vblob"))
     links = written(pairs.join(v, "v").join(u, "u").mapInArrow(_verify(k, percent), "u bigint, v bigint"), "links")
     label = written(components(links), "labels")
     # Buckets still in more than one component: all of those with one main component are compared together, once.
     told = keys.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = told.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(told.join(mixed.select("key", "main"), "key").select("main", "node", "label").distinct(), "members")
+    members = written(told.join(mixed.select("key", "main"), "key").select("main", "node", "label").distinct().join(classes.select("node", "size"), "node"), "members")
     if not members.isEmpty():
-        links = written(links.union(_cross_links(members, blobs, k, percent)), "links")
-        label = written(components(links), "labels")
-    reps = classes.join(label, "node", "left").select("node", "check", "rep", F.coalesce("label", "node").alias("label"))
-    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = reps.join(least, "label").select("node", "check", "component_id")
-    full = signed.select("doc_id", "n_shingles", "node", "check").join(of, ["node", "check"], "left")
-    return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
+        more = _cross_links(members, blobs, k, percent)
+        dropped(label)
+        label = written(components(links.union(more)), "labels")
+        dropped(more)
+    of = written(classes.join(label, "node", "left").select("node", "check", F.coalesce("label", "node").alias("label")), "components")
+    for table in (classes, keys, pairs, wanted, blobs, links, label, members):
+        dropped(table)
+    return signed, of
 
-def _own(k: int):
-    """Drops the rows whose text isn't the class's (an id may have several) and repeats of one class in a batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column("node").to_numpy()
-            sets = _sets(batch.column("blob").to_pylist(), k)
-            name = np.array([_text.mixed(np.array([np.add.reduce(_text.mixed(s)) + np.uint64(len(s))], np.uint64))[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            keep = np.flatnonzero(name == node)
-            keep = keep[np.unique(node[keep], return_index=True)[1]]
-            yield batch.take(pa.array(keep))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text and any others).
 
-    return run
+    A null, empty or blank text has no shingle and links with nothing; its component is its own id. Equal sets are
+    linked, so repeated rows are in one component. Rows without an id link as others do, and a component of such rows
+    alone has none; rows of one id with other texts stand each for itself. Texts of any length are compared whole.
+    Other columns are left out; an empty table gives none.
+    """
+    signed, of = _classes(docs, k, percent, bands)
+    # The least id of each component, written: a component of a third of all rows is then split in the join.
+    least = written(signed.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("id")).join(of, ["node", "check"]).groupBy("label").agg(F.min("id").alias("component_id")), "least")
+    named = written(of.join(least, "label").select("node", "check", "component_id"), "named")
+    full = signed.select("doc_id", "n_shingles", "node", "check").join(named, ["node", "check"], "left")
+    return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 12) -> DataFrame:
-    """``docs`` with one row of each component, that of its least id (of rows with that id, the first in order of text).
+    """``docs`` with one row of each component: that of its least id (null last), of several the first by a hash.
 
-    Rows without an id can't be named as copies and stay.
+    Of rows that repeat both id and text one stays. Null, empty and blank texts are no copies of others and stay. All
+    columns stay as they are; an empty table gives none.
     """
+    signed, of = _classes(docs, k, percent, bands)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")
+    chosen = signed.where("n_shingles > 0").groupBy("node", "check").agg(F.min(first).alias("first")).join(of, ["node", "check"]).groupBy("label").agg(F.min("first").alias("first")).select("first.key")
     p = fresh(docs, "dedup")
-    kept = near_duplicates(docs, k, percent, bands).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(p + "id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == F.col(p + "id"), "left_semi")
-    rows = rows.withColumn(p + "n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where(F.col(p + "n") == 1).select(*docs.columns)
-    return rows.union(docs.where(F.col("doc_id").isNull()))
+    kept = written(chosen.union(signed.where("n_shingles = 0").select("key").distinct()).withColumnRenamed("key", p + "key"), "kept")
+    rows = docs.withColumn(p + "key", key_of()).join(kept, p + "key", "left_semi")
+    return rows.withColumn(p + "n", F.row_number().over(W.partitionBy(p + "key").orderBy("doc_id"))).where(F.col(p + "n") == 1).select(*columns(docs))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -497,6 +497,18 @@ def test_near_duplicates(spark, docs, odd, none):
     assert near_dedup.deduplicated(none).count() == 0
 
 
+def test_near_copies_without_an_id(spark):
+    """Rows without an id, or of one id, link by their texts as all others do."""
+    rng = np.random.default_rng(8)
+    a, b, c = ([f"{x}{i}" for i in rng.integers(0, 10**6, 200)] for x in "abc")
+    edit = lambda w: " ".join([*w[:100], "other", *w[101:]])
+    rows = [(3, " ".join(a)), (None, edit(a)), (None, " ".join(b)), (None, edit(b)), (9, " ".join(c)), (9, edit(b)), (9, edit(b)), (None, None), (None, " "), (4, edit(c))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert _sorted(map(tuple, near_dedup.near_duplicates(df, 3, 85).collect())) == _sorted(components(rows, 3, 85))
+    kept = [tuple(r) for r in near_dedup.deduplicated(df, 3, 85).collect()]
+    assert _sorted(kept) == _sorted([(3, " ".join(a)), (9, edit(b)), (4, edit(c)), (None, None), (None, " ")])
+
+
 def test_chained_copies(spark):
     """Copies of copies: neighbours are alike, the ends aren't; with blocks of a few classes."""
     rng = np.random.default_rng(3)
