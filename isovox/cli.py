@@ -6,6 +6,8 @@ import argparse
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 from isovox.operators import detect, filters, reconstruct
 from isovox.plans import export
 from isovox.session import session
@@ -30,7 +32,7 @@ def _inspect(spark, args) -> int:
 
 
 def _volume(spark, args):
-    slices = written(export.one_series(dicom.read_slices(spark, args.files, "FAILFAST")), "slices")
+    slices = reconstruct.require_slices(written(export.one_series(dicom.read_slices(spark, args.files, "FAILFAST")), "slices"))
     return slices, written(reconstruct.reconstruct(slices), "blocks")
 
 
@@ -71,7 +73,7 @@ def _filters(spark, args) -> int:
         if filters.max_abs_diff(volumes.to_voxels(a), b).first()["max_abs_diff"] >= 0.1:
             print("results differ: no times", file=sys.stderr)
             return 1
-    blocks = written(volumes.to_blocks(volumes.gradient(spark)), "gradient")
+    blocks = written(volumes.to_blocks(volumes.gradient(spark, args.size, args.size, args.depth)), "gradient")
     for name, made in (("gaussian", filters.gaussian_blur(blocks, 2.0)), ("sobel", filters.sobel_edge(blocks)), ("equalize", filters.histogram_equalize(blocks))):
         t = time.time()
         made.write.format("noop").mode("overwrite").save()
@@ -80,18 +82,25 @@ def _filters(spark, args) -> int:
 
 
 def _parallel(spark, args) -> int:
-    """Times detection in one piece and in slabs, once the findings are the same."""
-    cube = written(volumes.to_blocks(volumes.nodules(spark)), "nodules")
+    """Times stacking in 1 to 16 partitions and detection in one piece and in slabs, once results are the same."""
     limits = detect.Thresholds(100, 500, 5)
-    want = None
-    for slabs in (None, 1, 2, 4, 8, 16):
-        t = time.time()
-        rows = detect.detect_blocks(cube, limits, slabs).orderBy("id").collect()
-        want = want or rows
-        if rows != want:
-            print("results differ: no times", file=sys.stderr)
-            return 1
-        print(f"slabs {slabs}: {time.time() - t:.3f} s, {len(rows)} findings")
+    series = written(volumes.series(spark, args.depth, 2 * args.size, 2 * args.size), "series")
+    cube = written(volumes.to_blocks(volumes.nodules(spark, args.size, args.size // 4, max(1, args.size // 25))), "nodules")
+    digest = lambda blocks: blocks.select("z", "width", "height", F.hash("data").alias("data")).orderBy("z").collect()
+    runs = [
+        ("reconstruction, partitions", (1, 2, 4, 8, 16), lambda n: digest(reconstruct.reconstruct(series.repartition(n)))),
+        ("detection, slabs", (None, 1, 2, 4, 8, 16), lambda n: detect.detect_blocks(cube, limits, n).orderBy("id").collect()),
+    ]
+    for name, ways, make in runs:
+        want = None
+        for n in ways:
+            t = time.time()
+            rows = make(n)
+            want = want or rows
+            if rows != want:
+                print("results differ: no times", file=sys.stderr)
+                return 1
+            print(f"{name} {n}: {time.time() - t:.3f} s, {len(rows)} rows")
     return 0
 
 
@@ -116,8 +125,10 @@ def main(argv: list[str] | None = None) -> int:
     p = command("export", _export, limits=True)
     p.add_argument("--out", required=True)
     p.add_argument("--fhir", action="store_true")
-    command("time-filters", _filters, files=False)
-    command("time-parallel", _parallel, files=False)
+    for name, run, size, depth in (("time-filters", _filters, 256, 32), ("time-parallel", _parallel, 128, 60)):
+        p = command(name, run, files=False)
+        p.add_argument("--size", type=int, default=size)
+        p.add_argument("--depth", type=int, default=depth)
     args = parser.parse_args(argv)
     try:
         return args.run(session(), args)

@@ -4,9 +4,9 @@ Masked voxels are packed into runs along x; runs in neighbouring rows touch if t
 Statistics are additive, so runs carry them. A component's label is its least linear index, which puts findings in
 raster order of their first voxels.
 
-Two ways to join runs give the same labels: one task a volume over its links (the default; links are few), or
+Two ways to join runs give the same labels: one task a volume over its runs (the default; a scanner bounds them), or
 slabs of slices labelled side by side and joined at their boundaries by a distributed closure, for volumes whose
-links are too many for one task.
+runs are too many for one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,41 +55,53 @@ def runs(mask: DataFrame, size: DataFrame) -> DataFrame:
 RUNS = "volume_id string, run bigint, z int, y int, x0 int, x1 int, n bigint, sx bigint, sv double, svv double"
 
 
+def _plane_runs(v: np.ndarray, low: np.float32, high: np.float32) -> list[np.ndarray]:
+    """y, x0, x1, sum and sum of squares of the runs of a slice."""
+    h, w = v.shape
+    inside = np.zeros((h, w + 2), np.int8)
+    np.logical_and(v >= low, v <= high, out=inside[:, 1:-1].view(bool))
+    if not inside.any():
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
+    # Where a run begins or ends in the slice laid flat, in turn: every row has a place before and after it.
+    y, x = np.divmod(np.flatnonzero(np.diff(inside.ravel())), w + 2)
+    y, x0, x1 = y[::2], x[::2], x[1::2] - 1
+    # Sums of each run: those over [start, end) pairs of the slice laid flat, every second of them.
+    edges = np.stack([y * w + x0, y * w + x1 + 1], axis=1).ravel()
+    flat = np.append(v.ravel().astype(np.float64), 0.0)
+    return [y, x0, x1, np.add.reduceat(flat, edges)[::2], np.add.reduceat(flat * flat, edges)[::2]]
+
+
 def runs_of_blocks(blocks: DataFrame, hu_min: float, hu_max: float) -> DataFrame:
     """The same runs from whole slices: voxels never become rows."""
     low, high = np.float32(hu_min), np.float32(hu_max)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                w, h, z = (batch.column(c)[i].as_py() for c in ("width", "height", "z"))
-                v = batch.column("data")[i].values.to_numpy().reshape(h, w)
-                inside = np.zeros((h, w + 2), np.int8)
-                inside[:, 1:-1] = (v >= low) & (v <= high)
-                steps = np.diff(inside, axis=1)
-                y, x0 = np.nonzero(steps > 0)
-                if not len(y):
-                    continue
-                x1 = np.nonzero(steps < 0)[1] - 1
-                n = x1 - x0 + 1
-                # Sums of each run: those over [start, end) pairs of the slice laid flat, every second of them.
-                flat = np.append(v.ravel().astype(np.float64), 0.0)
-                edges = np.stack([y * w + x0, y * w + x1 + 1], axis=1).ravel()
-                sv, svv = (np.add.reduceat(f, edges)[::2] for f in (flat, flat * flat))
-                run_id = (np.int64(z) * h + y) * w + x0
-                small = lambda a: a.astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("volume_id")[i].as_py()] * len(y), pa.string()), *map(pa.array, (run_id, np.full(len(y), z, np.int32), small(y), small(x0), small(x1), n, (x0 + x1) * n // 2, sv, svv))],
-                    [c.split()[0] for c in RUNS.split(", ")],
-                )
+            w, h, z = (batch.column(c).to_numpy().astype(np.int64) for c in ("width", "height", "z"))
+            flat, offs = batch.column("data").values.to_numpy(), batch.column("data").offsets.to_numpy()
+            found = [_plane_runs(flat[offs[i] : offs[i + 1]].reshape(h[i], w[i]), low, high) for i in range(batch.num_rows)]
+            at = np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found])
+            if not len(at):
+                continue
+            y, x0, x1, sv, svv = (np.concatenate(c) for c in zip(*found, strict=True))
+            n = x1 - x0 + 1
+            small = lambda a: pa.array(a.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("volume_id").take(pa.array(at)), pa.array((z[at] * h[at] + y) * w[at] + x0), small(z[at]), small(y), small(x0), small(x1), *map(pa.array, (n, (x0 + x1) * n // 2, sv, svv))],
+                [c.split()[0] for c in RUNS.split(", ")],
+            )
 
     return blocks.select("volume_id", "z", "width", "height", "data").mapInArrow(run, RUNS)
 
 
-def links(found: DataFrame) -> DataFrame:
-    """(volume_id, a, b) for every two runs that touch; each run looks at the four rows ahead of its own."""
+def links(found: DataFrame, which: Column | None = None) -> DataFrame:
+    """(volume_id, a, b) for every two runs that touch; each run looks at the four rows ahead of its own.
+
+    ``which``: a condition on the steps ``s`` (dz, dy), where not all of them count.
+    """
     steps = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in FORWARD])
     a = found.select("volume_id", F.col("run").alias("a"), "z", "y", "x0", "x1", F.explode(steps).alias("s"))
+    a = a if which is None else a.where(which)
     a = a.select("volume_id", "a", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     b = found.select("volume_id", F.col("run").alias("b"), "z", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
     return a.join(b, ["volume_id", "z", "y"]).where((F.col("a0") <= F.col("b1") + 1) & (F.col("a1") >= F.col("b0") - 1)).select("volume_id", "a", "b")
@@ -111,14 +123,65 @@ def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
+def touching(z: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of every two runs that touch, of runs sorted by (z, y, x0): ``links`` for those of one task."""
+    if not len(z):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Two rows of slack for neighbours outside, two places for ends one beyond.
+    high, wide = int(y.max()) + 3, int(x1.max()) + 4
+    row = z.astype(np.int64) * high + y + 1
+    begin, end = row * wide + x0 + 1, row * wide + x1 + 1
+    us, vs = [], []
+    for dz, dy in FORWARD:
+        other = (row + dz * high + dy) * wide + 1
+        lo, hi = np.searchsorted(end, other + x0 - 1), np.searchsorted(begin, other + x1 + 1, side="right")
+        n = np.maximum(hi - lo, 0)
+        us.append(np.repeat(np.arange(len(z)), n))
+        vs.append(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _labelled(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The runs of one group in order, and the label of each among them."""
+    table = table.sort_by([("z", "ascending"), ("y", "ascending"), ("x0", "ascending")]).combine_chunks()
+    run = table.column("run").to_numpy()
+    a, b = touching(*(table.column(c).to_numpy() for c in ("z", "y", "x0", "x1")))
+    label = run.copy()
+    if len(a):
+        nodes, least = least_labels(a, b)
+        label[nodes] = run[least]
+    return table, label
+
+
 def _closed(table: pa.Table) -> pa.Table:
-    nodes, label = least_labels(table.column("a").to_numpy(), table.column("b").to_numpy())
-    return pa.table({"volume_id": pa.array([table.column("volume_id")[0].as_py()] * len(nodes), pa.string()), "run": nodes, "label": label})
+    table, label = _labelled(table)
+    return table.select(["volume_id", "run"]).append_column("label", pa.array(label))
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """The statistics of a volume's components, from its runs."""
+    table, label = _labelled(table)
+    names, at = np.unique(label, return_inverse=True)
+    z, y, x0, x1, n, sx, sv, svv = (table.column(c).to_numpy() for c in ("z", "y", "x0", "x1", "n", "sx", "sv", "svv"))
+    whole = lambda x: np.bincount(at, x, len(names)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    begin = np.searchsorted(at[order], np.arange(len(names)))
+    least, most = (lambda x: np.minimum.reduceat(x[order], begin)), (lambda x: np.maximum.reduceat(x[order], begin))
+    made = [names, whole(n), whole(sx), whole(n * y), whole(n * z), np.bincount(at, sv, len(names)), np.bincount(at, svv, len(names)), least(x0), least(y), least(z), most(x1), most(y), most(z)]
+    return pa.Table.from_arrays([pa.array([table.column("volume_id")[0].as_py()] * len(names), pa.string()), *map(pa.array, made)], [c.split()[0] for c in STATS.split(", ")])
+
+
+STATS = "volume_id string, label bigint, voxel_count bigint, sx bigint, sy bigint, sz bigint, sv double, svv double, min_x int, min_y int, min_z int, max_x int, max_y int, max_z int"
+
+
+def stats_by_volume(found: DataFrame) -> DataFrame:
+    """``component_stats`` of runs, each volume's in one task: runs are shuffled once, and nothing is written."""
+    return found.groupBy("volume_id").applyInArrow(_counted, STATS)
 
 
 def labels_by_volume(found: DataFrame) -> DataFrame:
-    """(volume_id, run, label) of the runs that touch another."""
-    return links(found).groupBy("volume_id").applyInArrow(_closed, "volume_id string, run bigint, label bigint")
+    """(volume_id, run, label) of all runs."""
+    return found.groupBy("volume_id").applyInArrow(_closed, "volume_id string, run bigint, label bigint")
 
 
 def slab_of(z, depth, slabs: int):
@@ -129,25 +192,37 @@ def slab_of(z, depth, slabs: int):
 
 
 def labels_by_slab(found: DataFrame, slabs: int = 8) -> DataFrame:
-    """The same labels from slabs: links within a slab are closed in its task, the rest join the slabs' components."""
+    """The same labels from slabs: each is closed in its task, and only runs beside another slab are joined.
+
+    ``found`` is read twice, so it should be a written table.
+    """
     depth = found.groupBy("volume_id").agg((F.max("z") + 1).alias("depth"))
     placed = found.join(depth, "volume_id").withColumn("slab", slab_of(F.col("z"), F.col("depth"), slabs))
-    every = links(found).join(placed.select("volume_id", F.col("run").alias("a"), F.col("slab").alias("sa")), ["volume_id", "a"]).join(placed.select("volume_id", F.col("run").alias("b"), F.col("slab").alias("sb")), ["volume_id", "b"])
-    every = written(every.select("volume_id", "a", "b", "sa", "sb"), "run-links")
-    local = every.where("sa = sb").groupBy("volume_id", "sa").applyInArrow(_closed, "volume_id string, run bigint, label bigint")
+    # The first and last slice with runs of each slab, whose runs alone can touch another slab.
+    ends = placed.groupBy("volume_id", "slab").agg(F.min("z").alias("top"), F.max("z").alias("bottom"))
+    placed = placed.join(ends, ["volume_id", "slab"])
+
+    def close(table: pa.Table) -> pa.Table:
+        table, label = _labelled(table)
+        z = table.column("z").to_numpy()
+        edge = (z == table.column("top").to_numpy()) | (z == table.column("bottom").to_numpy())
+        return table.select(["volume_id", "slab", "run", "z", "y", "x0", "x1"]).append_column("part", pa.array(label)).append_column("edge", pa.array(edge))
+
+    local = placed.groupBy("volume_id", "slab").applyInArrow(close, "volume_id string, slab int, run bigint, z int, y int, x0 int, x1 int, part bigint, edge boolean")
     local = written(local, "slab-labels")
-    own = lambda c: local.select("volume_id", F.col("run").alias(c), F.col("label").alias("l" + c))
-    cross = every.where("sa <> sb").join(own("a"), ["volume_id", "a"], "left").join(own("b"), ["volume_id", "b"], "left")
-    cross = cross.select("volume_id", F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
+    edges = local.where("edge")
+    own = lambda c: edges.select("volume_id", F.col("run").alias(c), F.col("part").alias("p" + c), F.col("slab").alias("s" + c))
+    cross = links(edges, F.col("s.dz") == 1).join(own("a"), ["volume_id", "a"]).join(own("b"), ["volume_id", "b"]).where("sa <> sb")
     # Nodes of all volumes in one table of links: a hash of volume and label, told apart again by a join.
     node = lambda c: F.xxhash64("volume_id", c)
-    cross = written(cross.select("volume_id", "a", "b", node("a").alias("u"), node("b").alias("v")), "slab-links")
-    names = cross.select("volume_id", F.col("a").alias("part"), F.col("u").alias("node")).union(cross.select("volume_id", "b", "v")).distinct()
+    cross = written(cross.select("volume_id", "pa", "pb", node("pa").alias("u"), node("pb").alias("v")).distinct(), "slab-links")
+    if cross.isEmpty():
+        return local.select("volume_id", "run", F.col("part").alias("label"))
+    names = cross.select("volume_id", F.col("pa").alias("part"), F.col("u").alias("node")).union(cross.select("volume_id", "pb", "v")).distinct()
     joined = names.join(components(cross.select("u", "v")), "node")
     least = joined.groupBy("volume_id", F.col("label").alias("whole")).agg(F.min("part").alias("label"))
     parts = joined.withColumnRenamed("label", "whole").join(least, ["volume_id", "whole"]).select("volume_id", "part", "label")
-    ends = local.select("volume_id", "run", F.col("label").alias("part")).union(parts.select("volume_id", F.col("part").alias("run"), "part")).distinct()
-    return ends.join(parts, ["volume_id", "part"], "left").groupBy("volume_id", "run").agg(F.min(F.coalesce("label", "part")).alias("label"))
+    return local.select("volume_id", "run", "part").join(parts, ["volume_id", "part"], "left").select("volume_id", "run", F.coalesce("label", "part").alias("label"))
 
 
 def volume_sizes(voxels: DataFrame) -> DataFrame:
@@ -162,7 +237,7 @@ def labelled(found: DataFrame, slabs: int | None = None) -> DataFrame:
     """Runs with their component's label."""
     found = written(found, "runs")
     label = labels_by_volume(found) if slabs is None else labels_by_slab(found, slabs)
-    return found.join(label, ["volume_id", "run"], "left").withColumn("label", F.coalesce("label", "run"))
+    return found.join(label, ["volume_id", "run"])
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -193,13 +268,15 @@ def finished(stats: DataFrame) -> DataFrame:
 
 def detect(voxels: DataFrame, thresholds: Thresholds, slabs: int | None = None, size: DataFrame | None = None) -> DataFrame:
     """Findings of each volume. With ``slabs`` the volume is labelled in slabs; findings are the same."""
-    stats = component_stats(labelled_runs(voxels, thresholds.hu_min, thresholds.hu_max, slabs, size))
+    found = runs(masked(voxels, thresholds.hu_min, thresholds.hu_max), volume_sizes(voxels) if size is None else size)
+    stats = stats_by_volume(found) if slabs is None else component_stats(labelled(found, slabs))
     return finished(sized(stats, thresholds.min_voxels, thresholds.max_voxels))
 
 
 def detect_blocks(blocks: DataFrame, thresholds: Thresholds, slabs: int | None = None) -> DataFrame:
     """Findings of volumes in blocks: the way for large volumes, as only runs are rows."""
-    stats = component_stats(labelled(runs_of_blocks(blocks, thresholds.hu_min, thresholds.hu_max), slabs))
+    found = runs_of_blocks(blocks, thresholds.hu_min, thresholds.hu_max)
+    stats = stats_by_volume(found) if slabs is None else component_stats(labelled(found, slabs))
     return finished(sized(stats, thresholds.min_voxels, thresholds.max_voxels))
 
 

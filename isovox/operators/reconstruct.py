@@ -1,8 +1,8 @@
 """Stacking a series of slices into an isotropic volume.
 
-Geometry is one aggregate row a series. A slice is resampled along x and y where it lies (no shuffle); output slices
-then find the one or two planes they lie between by equi-joins, and are blended. The three passes do what sampling
-at eight corners does, in the same order, in doubles, with one cast to float at the end.
+Geometry is one aggregate row a series. Slices are ordered by height, resampled along x and y, and blended with the one
+before along z. The three passes do what sampling at eight corners does, in the same order, in doubles, with one cast to
+float at the end.
 """
 
 from __future__ import annotations
@@ -16,23 +16,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isovox.functions.values import modality
+from isovox.sources.volumes import BLOCKS
+
+
+NO_SLICES = "Cannot reconstruct a volume from zero slices"
 
 
 class ReconstructionError(ValueError):
     """The slices don't make a volume."""
 
 
+def input_order(slices: DataFrame) -> Column:
+    """What slices are ordered by as they were given: their place, then their path if they have one."""
+    return F.struct("ordinal", "path") if "path" in slices.columns else F.struct("ordinal")
+
+
 def positive(c: Column) -> Column:
     return F.when(c > 0, c).otherwise(F.lit(1.0))
 
 
 def geometry(slices: DataFrame, target_mm: float = -1.0) -> DataFrame:
     """One row a series: native grid and spacing, output spacing and size, the modality of the lowest slice."""
-    low = lambda c: F.min_by(c, F.struct("image_position_z", "ordinal"))
+    order = input_order(slices)
+    low = lambda c: F.min_by(c, F.struct("image_position_z", order))
     rows = slices.groupBy("series_id").agg(
         F.count(F.lit(1)).cast("int").alias("depth"),
-        F.min_by("rows", "ordinal").alias("height"),
-        F.min_by("columns", "ordinal").alias("width"),
+        F.min_by("rows", order).alias("height"),
+        F.min_by("columns", order).alias("width"),
         F.min(F.struct("rows", "columns")).alias("least"),
         F.max(F.struct("rows", "columns")).alias("most"),
         low("pixel_spacing_col_mm").alias("col_mm"),
@@ -54,7 +64,7 @@ def geometry(slices: DataFrame, target_mm: float = -1.0) -> DataFrame:
 
 def stacked(slices: DataFrame) -> DataFrame:
     """``slices`` with z_index, their place from the lowest; of equal heights the earlier in the input is first."""
-    return slices.withColumn("z_index", F.row_number().over(W.partitionBy("series_id").orderBy("image_position_z", "ordinal")) - 1)
+    return slices.withColumn("z_index", F.row_number().over(W.partitionBy("series_id").orderBy("image_position_z", input_order(slices))) - 1)
 
 
 def corners(n_out: int, spacing: float, native: float, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,21 +75,55 @@ def corners(n_out: int, spacing: float, native: float, n: int) -> tuple[np.ndarr
     return a, b, np.where(a == b, 0.0, f - a)
 
 
-def _planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices in Hounsfield units (32-bit floats), resampled along x, then y, in doubles."""
+def _resampled(r: dict, pixels: np.ndarray) -> np.ndarray:
+    """A slice in Hounsfield units (32-bit floats), resampled along x, then y, in doubles."""
+    w, h = r["width"], r["height"]
+    if len(pixels) != w * h:
+        raise ReconstructionError(f"a slice of {h}x{w} has {len(pixels)} pixels")
+    grid = (pixels.astype(np.float64) * r["rescale_slope"] + r["rescale_intercept"]).astype(np.float32).reshape(h, w).astype(np.float64)
+    # Rows and columns that are where they were stay as they are: a share of 0 of what follows adds nothing.
+    a, b, t = corners(r["out_width"], r["voxel_spacing_mm"], r["dx"], w)
+    if t.any() or not np.array_equal(a, np.arange(w)):
+        grid = grid[:, a] * (1 - t) + grid[:, b] * t
+    a, b, t = corners(r["out_height"], r["voxel_spacing_mm"], r["dy"], h)
+    if t.any() or not np.array_equal(a, np.arange(h)):
+        grid = grid[a] * (1 - t)[:, None] + grid[b] * t[:, None]
+    return grid
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "pixels"}
-            w, h = r["width"], r["height"]
-            pixels = batch.column("pixels")[i].values.to_numpy()
-            if len(pixels) != w * h:
-                raise ReconstructionError(f"a slice of {h}x{w} has {len(pixels)} pixels")
-            grid = (pixels.astype(np.float64) * r["rescale_slope"] + r["rescale_intercept"]).astype(np.float32).reshape(h, w).astype(np.float64)
-            a, b, t = corners(r["out_width"], r["voxel_spacing_mm"], r["dx"], w)
-            grid = grid[:, a] * (1 - t) + grid[:, b] * t
-            a, b, t = corners(r["out_height"], r["voxel_spacing_mm"], r["dy"], h)
-            grid = grid[a] * (1 - t)[:, None] + grid[b] * t[:, None]
-            yield pa.RecordBatch.from_pydict({"series_id": [r["series_id"]], "z_index": pa.array([r["z_index"]], pa.int32()), "plane": pa.array([grid.ravel()], pa.list_(pa.float64()))})
+        small = batch.drop_columns(["pixels"]).to_pylist()
+        flat, offs = batch.column("pixels").values.to_numpy(), batch.column("pixels").offsets.to_numpy()
+        for i, r in enumerate(small):
+            yield r, flat[offs[i] : offs[i + 1]]
+
+
+def _planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for r, pixels in _slices(batches):
+        yield pa.RecordBatch.from_pydict({"series_id": [r["series_id"]], "z_index": pa.array([r["z_index"]], pa.int32()), "plane": pa.array([_resampled(r, pixels).ravel()], pa.list_(pa.float64()))})
+
+
+def _stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each series from its slices, which come in order of height: two planes are held at a time."""
+    series, z, plane, low = None, 0, None, None
+    for r, pixels in _slices(batches):
+        if r["z_index"] == 0:
+            series, z, plane = r["series_id"], 0, None
+            at, above, t = corners(r["out_depth"], r["voxel_spacing_mm"], r["dz"], r["depth"])
+        elif r["series_id"] != series or r["z_index"] != k + 1:
+            raise ReconstructionError(f"slices of {r['series_id']} out of order")
+        k, low, plane = r["z_index"], plane, _resampled(r, pixels)
+        # All output slices whose upper plane is this one.
+        out = []
+        while z < len(at) and above[z] <= k:
+            out.append((plane if at[z] == k else low * (1 - t[z]) + plane * t[z]).astype(np.float32).ravel())
+            z += 1
+        if out:
+            n, size = len(out), r["out_width"] * r["out_height"]
+            data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(np.concatenate(out)))
+            same = lambda x: pa.array(np.full(n, x, np.int32))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([series] * n, pa.string()), pa.array(np.arange(z - n, z, dtype=np.int32)), same(r["out_width"]), same(r["out_height"]), data], ["volume_id", "z", "width", "height", "data"])
 
 
 def _blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +136,19 @@ def _blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("volume_id", "z", "width", "height")), pa.array([data], pa.list_(pa.float32()))], ["volume_id", "z", "width", "height", "data"])
 
 
+def _in_order(slices: DataFrame, geo: DataFrame) -> DataFrame:
+    """Slices with their series' geometry, those of a series in one task and in order of z_index.
+
+    The window comes last, as it is what sorts them.
+    """
+    names = [c for c in ("series_id", "ordinal", "path", "image_position_z", "rescale_slope", "rescale_intercept", "pixels") if c in slices.columns]
+    rows = stacked(slices.select(*names).join(geo.drop("modality"), "series_id"))
+    return rows.select("series_id", "z_index", "rescale_slope", "rescale_intercept", "width", "height", "depth", "dx", "dy", "dz", "voxel_spacing_mm", "out_width", "out_height", "out_depth", "pixels")
+
+
 def planes(slices: DataFrame, target_mm: float = -1.0) -> DataFrame:
     """(series_id, z_index, plane): native slices on the output's x and y."""
-    geo = geometry(slices, target_mm)
-    rows = stacked(slices).select("series_id", "z_index", "rescale_slope", "rescale_intercept", "pixels")
-    return rows.join(geo, "series_id").select("series_id", "z_index", "rescale_slope", "rescale_intercept", "width", "height", "dx", "dy", "voxel_spacing_mm", "out_width", "out_height", "pixels").mapInArrow(_planes, "series_id string, z_index int, plane array<double>")
+    return _in_order(slices, geometry(slices, target_mm)).mapInArrow(_planes, "series_id string, z_index int, plane array<double>")
 
 
 def output_slices(geo: DataFrame) -> DataFrame:
@@ -108,24 +160,34 @@ def output_slices(geo: DataFrame) -> DataFrame:
     return rows.select(F.col("series_id").alias("volume_id"), "z", "z0", "z1", F.when(F.col("z0") == F.col("z1"), 0.0).otherwise(F.col("f") - F.col("z0")).alias("t"), F.col("out_width").alias("width"), F.col("out_height").alias("height"))
 
 
-def reconstruct(slices: DataFrame, target_mm: float = -1.0) -> DataFrame:
-    """Blocks of the isotropic volume of each series; no slice, no volume.
+def reconstruct(slices: DataFrame, target_mm: float = -1.0, by_slice: bool = False) -> DataFrame:
+    """Blocks of the isotropic volume of each series. Without any slice at all the job fails.
 
     Slices: (series_id, ordinal, modality, rows, columns, rescale_slope, rescale_intercept, image_position_z,
     pixel_spacing_row_mm, pixel_spacing_col_mm, slice_thickness_mm, pixels).
+
+    A series is stacked in one task, as its slices come in order, with one shuffle and two planes in memory.
+    ``by_slice`` spreads the output slices of each series instead, which meet their planes in two joins: for a few very
+    large series. Both give the same voxels.
     """
-    flat = planes(slices, target_mm)
-    out = output_slices(geometry(slices, target_mm))
-    low = flat.select(F.col("series_id").alias("volume_id"), F.col("z_index").alias("z0"), F.col("plane").alias("low"))
-    high = flat.select(F.col("series_id").alias("volume_id"), F.col("z_index").alias("z1"), F.col("plane").alias("high"))
-    rows = out.join(low, ["volume_id", "z0"]).join(high, ["volume_id", "z1"]).select("volume_id", "z", "width", "height", "t", "low", "high")
-    return rows.mapInArrow(_blend, "volume_id string, z int, width int, height int, data array<float>")
+    geo = geometry(slices, target_mm)
+    if by_slice:
+        flat, out = planes(slices, target_mm), output_slices(geo)
+        low = flat.select(F.col("series_id").alias("volume_id"), F.col("z_index").alias("z0"), F.col("plane").alias("low"))
+        high = flat.select(F.col("series_id").alias("volume_id"), F.col("z_index").alias("z1"), F.col("plane").alias("high"))
+        rows = out.join(low, ["volume_id", "z0"]).join(high, ["volume_id", "z1"]).select("volume_id", "z", "width", "height", "t", "low", "high")
+        made = rows.mapInArrow(_blend, BLOCKS)
+    else:
+        made = _in_order(slices, geo).mapInArrow(_stack, BLOCKS)
+    # One more row where there is no series, which cannot be made.
+    none = geo.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.raise_error(F.lit(NO_SLICES)).cast("string").alias("volume_id"), *(F.lit(None).cast(made.schema[c].dataType).alias(c) for c in made.columns[1:]))
+    return made.union(none)
 
 
 def require_slices(slices: DataFrame) -> DataFrame:
-    """``slices``, or an error if there is none."""
+    """``slices``, or an error at once if there is none."""
     if slices.isEmpty():
-        raise ReconstructionError("Cannot reconstruct a volume from zero slices")
+        raise ReconstructionError(NO_SLICES)
     return slices
 
 

@@ -6,6 +6,11 @@ the value, rounded down. Doubles are rounded to seven places where sums could di
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +20,7 @@ from isovox.operators import detect, filters, reconstruct
 from isovox.plans import export
 from isovox.sinks import png, report
 from isovox.sources import dicom, volumes
-from isovox.store import written
+from isovox.store import saved, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -228,7 +233,12 @@ _PX = "px AS (SELECT n.z, n.y, ax.x, n.hu::DOUBLE * (1 - tx) + m.hu::DOUBLE * tx
 _PY = "py AS (SELECT a.z, ay.y, a.x, a.v * (1 - ty) + b.v * ty AS v FROM ay JOIN px a ON a.y = ay.y0 JOIN px b ON b.y = ay.y1 AND b.z = a.z AND b.x = a.x)"
 
 
-@query(f"WITH {_A}, {_PX}, {_PY} SELECT z, y, x, CASE WHEN round(v, 7) = 0 THEN 0.0::DOUBLE ELSE round(v, 7) END AS v FROM py")
+def _steps(sql: str) -> str:
+    """The tables of a WITH clause, each made once."""
+    return re.sub(r"(?m)((?:^|, ?|\n)\w+) AS \(", r"\1 AS MATERIALIZED (", sql)
+
+
+@query(f"WITH {_steps(_A)}, {_steps(_PX)}, {_steps(_PY)} SELECT z, y, x, CASE WHEN round(v, 7) = 0 THEN 0.0::DOUBLE ELSE round(v, 7) END AS v FROM py")
 def resample_xy(spark, sf_dir):
     slices = _series(spark, sf_dir)
     rows = reconstruct.planes(slices).join(reconstruct.geometry(slices).select("series_id", "out_width"), "series_id")
@@ -308,11 +318,15 @@ def filter_max_abs_diff(spark, sf_dir):
     return made.select(_rounded("max_abs_diff").alias("max_abs_diff"))
 
 
-@query()
+@query(f"""WITH {_V}, gx AS (SELECT z, y, x, {_GX} FROM v {_GXW}), gy AS (SELECT z, y, x, {_GY} FROM gx {_GYW}), {_S}, {_H}
+SELECT 'gaussian' AS filter, count(*) AS voxels, true AS close, round(avg(v))::BIGINT AS mean FROM gy
+UNION ALL SELECT 'sobel', count(*), true, round(avg(sqrt(((p02 - p00) + 2 * (p12 - p10) + (p22 - p20)) ^ 2 + ((p20 - p00) + 2 * (p21 - p01) + (p22 - p02)) ^ 2)))::BIGINT FROM s
+UNION ALL SELECT 'equalize', count(*), true, round(avg(low + cdf * span) / 100)::BIGINT FROM b JOIN d USING (z, bin)""")
 def block_filters(spark, sf_dir):
     """The block forms, in 32-bit floats, against the window forms: no voxel is off by 0.1 or more.
 
-    Of equalized ones a twentieth may be: whole values often lie on a bin's edge, and 32 bits put them on its other side.
+    Of equalized ones a twentieth may be: whole values often lie on a bin's edge, and 32 bits put them on its other
+    side. The means are those of the block forms, of equalized voxels in hundreds.
     """
     voxels = written(_voxels(spark, sf_dir), "voxels")
     blocks = volumes.to_blocks(voxels)
@@ -321,7 +335,8 @@ def block_filters(spark, sf_dir):
     for name, (a, b) in pairs.items():
         both = volumes.to_voxels(a).join(b.withColumnRenamed("v", "w"), ["volume_id", "z", "y", "x"])
         off = F.count_if(F.abs(F.col("v") - F.col("w")) >= 0.1)
-        made.append(both.agg(F.lit(name).alias("filter"), F.count(F.lit(1)).alias("voxels"), (off * 20 <= (F.count(F.lit(1)) if name == "equalize" else F.lit(0))).alias("close")))
+        mean = F.round(F.avg(F.col("v").cast("double")) / (100 if name == "equalize" else 1)).cast("bigint")
+        made.append(both.agg(F.lit(name).alias("filter"), F.count(F.lit(1)).alias("voxels"), (off * 20 <= (F.count(F.lit(1)) if name == "equalize" else F.lit(0))).alias("close"), mean.alias("mean")))
     return made[0].union(made[1]).union(made[2])
 
 
@@ -430,13 +445,23 @@ def _report(spark, sf_dir):
     return findings, size, series
 
 
-@query()
+_G6 = "printf('%.6g', {}::DOUBLE)"
+_FINDING = f"""string_agg('{{"id":' || id || ',"centroid":[' || cx || ',' || cy || ',' || cz || '],"boundingBox":{{"min":[' || min_x || ',' || min_y || ',' || min_z || '],"max":[' || max_x || ',' || max_y || ',' || max_z ||
+  ']}},"voxelCount":' || n || ',"meanHU":' || {_G6.format("mean")} || ',"stddevHU":' || {_G6.format("sd")} || '}}', ',' ORDER BY id)"""
+_OBSERVATION = f"""string_agg('{{"resource":{{"resourceType":"Observation","id":"finding-' || id || '","status":"preliminary","code":{{"text":"Density anomaly (region growing)"}},"subject":{{"reference":"Patient/P\\"1"}},"valueQuantity":{{"value":' || {_G6.format("mean")} ||
+  ',"unit":"HU"}},"component":[{{"code":{{"text":"voxelCount"}},"valueInteger":' || n || '}},{{"code":{{"text":"stddevHU"}},"valueQuantity":{{"value":' || {_G6.format("sd")} || '}}}}]}}}}', '' ORDER BY id)"""
+
+
+@query(f"""WITH RECURSIVE {_V}, {_C}, {_STATS}, {_FOUND}, a AS (SELECT count(*) AS k, coalesce({_FINDING}, '') AS list FROM f), t AS (SELECT max(z) + 1 AS depth FROM v)
+SELECT 'embeddings' AS volume_id, '{{"patientId":"P\\"1","modality":"CT","studyDate":"20260101","sliceCount":' || depth || ',"volumeDimensions":{{"width":64,"height":50,"depth":' || depth || ',"voxelSpacingMM":0.902344}},"findingCount":' || k || ',"findings":[' || list || ']}}' AS json FROM a, t""")
 def findings_json(spark, sf_dir):
     findings, size, series = _report(spark, sf_dir)
     return report.findings_json(findings, size, series)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, {_C}, {_STATS}, {_FOUND}, a AS (SELECT count(*) AS k, coalesce({_OBSERVATION.replace("string_agg('", "string_agg(',")}, '') AS list FROM f)
+SELECT 'embeddings' AS volume_id, '{{"resourceType":"Bundle","type":"collection","entry":[{{"resource":{{"resourceType":"DiagnosticReport","status":"preliminary","code":{{"text":"Automated density anomaly screening"}},"subject":{{"reference":"Patient/P\\"1"}},"effectiveDateTime":"20260101","conclusion":"Detected ' || k ||
+  ' candidate density anomal' || CASE WHEN k = 1 THEN 'y' ELSE 'ies' END || ' on CT series."}}}}' || list || ']}}' AS json FROM a""")
 def fhir_bundle(spark, sf_dir):
     findings, _, series = _report(spark, sf_dir)
     return report.fhir_bundle(findings, series)
@@ -464,10 +489,21 @@ def png_encode(spark, sf_dir):
     return png.gray(volumes.to_blocks(_voxels(spark, sf_dir))).mapInArrow(back, "z int, n bigint, gray bigint")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, {_C}, {_STATS}, {_FOUND},
+o AS (SELECT DISTINCT v.z, v.y, v.x FROM f JOIN v ON v.z BETWEEN f.min_z AND f.max_z AND v.x BETWEEN f.min_x AND f.max_x AND v.y BETWEEN f.min_y AND f.max_y WHERE v.x IN (f.min_x, f.max_x) OR v.y IN (f.min_y, f.max_y)),
+g AS (SELECT v.*, floor(least(greatest((pixel + 1000.0::DOUBLE) / 2000, 0), 1) * 255 + 0.5) AS gray, o.z IS NOT NULL AS boxed FROM v LEFT JOIN o USING (z, y, x))
+SELECT z, count(*) AS n, count_if(boxed)::BIGINT AS boxed, sum(CASE WHEN boxed THEN 255 + 40 + 40 ELSE 3 * gray END)::BIGINT AS total FROM g GROUP BY z""")
 def png_annotated(spark, sf_dir):
+    """Slices with boxes, encoded and decoded again: pixels, those of a box's colour, and the sum of all three colours."""
+
+    def back(batches):
+        for batch in batches:
+            images = [png.decode(x.as_py()) for x in batch.column("png")]
+            boxed = [int((i == png.BOX).all(axis=2).sum()) for i in images]
+            yield pa.RecordBatch.from_arrays([batch.column("z"), *(pa.array(c, pa.int64()) for c in ([i.shape[0] * i.shape[1] for i in images], boxed, [int(i.sum()) for i in images]))], ["z", "n", "boxed", "total"])
+
     voxels = _voxels(spark, sf_dir)
-    return png.annotated(volumes.to_blocks(voxels), detect.detect(voxels, LIMITS)).select("z", F.length("png").alias("bytes"))
+    return png.annotated(volumes.to_blocks(voxels), detect.detect(voxels, LIMITS)).mapInArrow(back, "z int, n bigint, boxed bigint, total bigint")
 
 
 def _files(spark, sf_dir) -> DataFrame:
@@ -499,10 +535,240 @@ def dicom_permissive(spark, sf_dir):
     return rows.agg(F.count_if(F.col("error").isNull()).alias("readable"), F.count("error").alias("failed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, {_C}, {_STATS}, {_FOUND}, a AS (SELECT count(*) AS findings, sum(n)::BIGINT AS voxels, sum(id * (cx + 7 * cy + 31 * cz))::BIGINT AS places FROM f)
+SELECT slabs::INT AS slabs, findings, voxels, places, 0::BIGINT AS differing FROM a, unnest([1, 2, 3]) AS t(slabs)""")
 def slab_partitions_agree(spark, sf_dir):
     """Findings by slabs of any number are those of the whole."""
     voxels = written(_voxels(spark, sf_dir), "voxels")
     want = written(_flat(detect.detect(voxels, LIMITS)), "findings")
-    made = [_flat(detect.detect(voxels, LIMITS, slabs=n)).exceptAll(want).agg(F.lit(n).alias("slabs"), F.count(F.lit(1)).alias("differing")) for n in (1, 2, 3)]
-    return made[0].union(made[1]).union(made[2])
+    made = None
+    for n in (1, 2, 3):
+        found = written(_flat(detect.detect(voxels, LIMITS, slabs=n)), "findings")
+        off = found.exceptAll(want).agg(F.count(F.lit(1)).alias("differing"))
+        place = F.sum(F.col("id") * (F.col("cx") + 7 * F.col("cy") + 31 * F.col("cz")))
+        row = found.agg(F.lit(n).alias("slabs"), F.count(F.lit(1)).alias("findings"), F.sum("voxel_count").alias("voxels"), place.alias("places")).crossJoin(off)
+        made = made.union(row) if made else row
+    return made
+
+
+# Files of every encoding, files with faults, and files written and read
+
+
+_SYNTAXES = (dicom.IMPLICIT_LE, dicom.EXPLICIT_LE, dicom.EXPLICIT_BE)
+
+
+def _encoded(row: dict, syntax: str, bits: int, signed: bool, extra: tuple = ()) -> bytes:
+    """A slice in a transfer syntax, its pixels cut to so many bits; ``extra``: raw bytes ahead of the pixels."""
+    e, explicit, big = (">" if syntax == dicom.EXPLICIT_BE else "<"), syntax != dicom.IMPLICIT_LE, syntax == dicom.EXPLICIT_BE
+    pixels = (row["pixels"] & (1 << bits) - 1).astype(f"{e}u{bits // 8}").tobytes()
+    fields = [
+        ("Modality", "CS", b"CT"), ("PatientID", "LO", b"P1"), ("ImagePositionPatient", "DS", dicom.even("0\\0\\%.6g" % row["z"])),
+        *((n, "US", np.array([x], f"{e}u2").tobytes()) for n, x in (("Rows", row["height"]), ("Columns", row["width"]), ("BitsAllocated", bits), ("PixelRepresentation", int(signed)))),
+        ("PixelData", "OW", dicom.even(pixels, b"\0")),
+    ]
+    body = [dicom.element(dicom.TAGS[n], c, v, explicit, big) for n, c, v in fields]
+    return dicom.build([], syntax) + b"".join([*body[:-1], *extra, body[-1]])
+
+
+def _sequence(syntax: str, undefined: bool) -> bytes:
+    """A sequence of one item, of a length that is told or not; implicit files cannot tell one by its code."""
+    if syntax == dicom.IMPLICIT_LE:
+        return b""
+    e = ">" if syntax == dicom.EXPLICIT_BE else "<"
+    number = lambda kind, *x: b"".join(np.array([v], e + kind).tobytes() for v in x)
+    item = number("u2", *dicom.ITEM) + number("u4", 4) + b"abcd" + (number("u2", *dicom.SEQUENCE_END) + number("u4", 0) if undefined else b"")
+    return number("u2", 0x0008, 0x1140) + b"SQ\0\0" + number("u4", dicom.UNDEFINED if undefined else len(item)) + item
+
+
+def _variants(spark, sf_dir, make) -> DataFrame:
+    """(path, content, given) of the files that ``make`` gives for each slice as (name, content)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("z", "width", "height")} | {"pixels": batch.column("data")[i].values.to_numpy().astype("int64")}
+                names, contents = zip(*make(row), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary()), pa.array([row["z"]] * len(names), pa.int32())], ["path", "content", "given"])
+
+    return volumes.to_blocks(_voxels(spark, sf_dir)).mapInArrow(run, "path string, content binary, given int")
+
+
+@query(f"""WITH {_V}, k AS (SELECT * FROM (VALUES ('{_SYNTAXES[0]}'), ('{_SYNTAXES[1]}'), ('{_SYNTAXES[2]}')) AS s(syntax), (VALUES (8), (16)) AS b(bits), (VALUES (true), (false)) AS g(is_signed)),
+p AS (SELECT z, syntax, bits, is_signed, CASE WHEN is_signed AND (pixel & ((1 << bits) - 1)) >= (1 << (bits - 1)) THEN (pixel & ((1 << bits) - 1)) - (1 << bits) ELSE pixel & ((1 << bits) - 1) END AS v FROM v, k)
+SELECT z, syntax, bits, is_signed, 50 AS "rows", 64 AS "columns", z::DOUBLE AS z_mm, 1.0::DOUBLE AS slope, count(*) AS n, sum(v)::BIGINT AS total, min(v)::INT AS low, max(v)::INT AS high FROM p GROUP BY ALL""")
+def dicom_encodings(spark, sf_dir):
+    """Slices in every transfer syntax, width and sign, with sequences of told and of untold length to skip."""
+
+    def make(row):
+        for syntax in _SYNTAXES:
+            for bits in (8, 16):
+                for signed in (True, False):
+                    yield f"{syntax}/{bits}/{int(signed)}", _encoded(row, syntax, bits, signed, (_sequence(syntax, False), _sequence(syntax, True)))
+
+    rows = dicom.decoded(_variants(spark, sf_dir, make), "FAILFAST")
+    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return rows.select(
+        F.col("ordinal").alias("z"), F.split_part("path", F.lit("/"), F.lit(1)).alias("syntax"), F.col("bits_allocated").alias("bits"), F.col("pixel_signed").alias("is_signed"), "rows", "columns", F.col("image_position_z").alias("z_mm"), F.col("rescale_slope").alias("slope"),
+        F.size("pixels").cast("bigint").alias("n"), total.alias("total"), F.array_min("pixels").alias("low"), F.array_max("pixels").alias("high"),
+    )
+
+
+# What is said of each fault.
+_FAULTS = {
+    "bits": "Unsupported BitsAllocated value (only 8 and 16 are handled)",
+    "compressed": "Unsupported transfer syntax: 1.2.840.10008.1.2.4.50",
+    "cut": "Truncated file while reading element value",
+    "item": "Items of undefined length are not supported",
+    "magic": "Not a Part 10 DICOM file (missing 'DICM' magic) in: magic",
+    "meta": "Expected FileMetaGroupLength (0002,0000) as first element",
+    "none": None,
+    "pixels": "No PixelData (7FE0,0010) element found in: pixels",
+    "sequence": "Malformed sequence: expected Item or SequenceDelimitation tag",
+    "short": "PixelData shorter than Rows*Columns*2 bytes implies for 16-bit data",
+    "short8": "PixelData shorter than Rows*Columns bytes implies for 8-bit data",
+    "surplus": None,
+    "syntax": "File Meta Info is missing TransferSyntaxUID (0002,0010)",
+    "undefined": "Unexpected undefined length on a non-sequence element",
+}
+_FAULT_SQL = ", ".join("('{}', {})".format(k, "NULL" if v is None else "'" + v.replace("'", "''") + "'") for k, v in _FAULTS.items())
+
+
+def _faulty(row: dict):
+    le, short = dicom.EXPLICIT_LE, lambda *x: np.array(x, "<u2").tobytes()
+    whole, fewer = _encoded(row, le, 16, True), row | {"pixels": row["pixels"][:-1]}
+    untold = lambda tag, code, then: short(*tag) + code + b"\0\0\xff\xff\xff\xff" + then
+    bits = dicom.element(dicom.TAGS["BitsAllocated"], "US", short(12))
+    yield from {
+        "bits": _encoded(row, le, 16, True, (bits,)), "compressed": dicom.build([], "1.2.840.10008.1.2.4.50"), "cut": whole[:-2], "item": _encoded(row, le, 16, True, (untold((8, 0x1140), b"SQ", short(*dicom.ITEM) + b"\xff" * 4),)),
+        "magic": whole[:128] + b"MCID" + whole[132:], "meta": whole[:132] + dicom.element((2, 0x10), "UI", b"1.2 "), "none": whole, "pixels": _without_pixels(row),
+        "sequence": _encoded(row, le, 16, True, (untold((8, 0x1140), b"SQ", short(8, 8) + b"\0" * 4),)), "short": _encoded(fewer, le, 16, True), "short8": _encoded(row | {"pixels": row["pixels"][:-2]}, le, 8, True), "surplus": _encoded(row | {"pixels": np.append(row["pixels"], [1, 2])}, le, 16, True),
+        "syntax": bytes(128) + dicom.MAGIC + dicom.element((2, 0), "UL", b"\0" * 4), "undefined": _encoded(row, le, 16, True, (untold((9, 9), b"OB", b""),)),
+    }.items()
+
+
+def _without_pixels(row: dict) -> bytes:
+    return dicom.build([(dicom.TAGS["Rows"], "US", np.array([row["height"]], "<u2").tobytes())])
+
+
+@query(f"""WITH s AS (SELECT count(DISTINCT vec_id // 50) AS slices FROM embeddings), f AS (SELECT * FROM (VALUES {_FAULT_SQL}) AS t(fault, error))
+SELECT fault, error, slices::BIGINT AS files, (CASE WHEN error IS NULL THEN slices * 3200 ELSE 0 END)::BIGINT AS pixels FROM f, s""")
+def dicom_faults(spark, sf_dir):
+    """Every slice with every fault a file can have, and with none: what is said, and the pixels that are still read."""
+    rows = dicom.decoded(_variants(spark, sf_dir, _faulty))
+    said = F.regexp_replace("error", " at offset \\d+$", "")
+    return rows.groupBy(F.col("path").alias("fault"), said.alias("error")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.size("pixels")), F.lit(0)).cast("bigint").alias("pixels"))
+
+
+@query(f"""SELECT DISTINCT (vec_id // 50)::INT AS z, 18::BIGINT AS tags, '5031' AS patient, 'CT' AS modality, 64::INT AS "columns", NULL::VARCHAR AS absent FROM embeddings""")
+def dataset_find(spark, sf_dir):
+    """Values of each file's tags: how many there are, raw bytes, text, a number, and a tag that isn't there."""
+    elements = dicom.elements_of(_files(spark, sf_dir))
+    found = dicom.last_values(elements)
+    get = lambda tag: F.max(F.when((F.col("group") == dicom.TAGS[tag][0]) & (F.col("element") == dicom.TAGS[tag][1]), F.col("value")))
+    rows = found.groupBy("path").agg(F.count_distinct("group", "element").alias("tags"), get("PatientID").alias("patient"), get("Modality").alias("modality"), get("Columns").alias("columns"), get("TransferSyntaxUID").alias("absent"))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.dcm", 1).cast("int").alias("z"), "tags", F.hex("patient").alias("patient"), values.trimmed(F.col("modality")).alias("modality"), values.uint16(F.col("columns"), False).alias("columns"), F.hex("absent").alias("absent"))
+
+
+@query(f"WITH {_V} SELECT z, 'slice_' || lpad(z::VARCHAR, 3, '0') || '.dcm' AS name, z AS ordinal, count(*) AS n, sum(pixel)::BIGINT AS total FROM v GROUP BY z")
+def file_roundtrip(spark, sf_dir):
+    """Slices as files of a folder that all executors share, named by number, and the folder read again."""
+    found = _files(spark, sf_dir).select(F.format_string("slice_%03d.dcm", "given").alias("name"), "content")
+    rows = dicom.read_slices(spark, saved(found, "slices"), "FAILFAST")
+    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return rows.select(F.col("image_position_z").cast("int").alias("z"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), "ordinal", F.size("pixels").cast("bigint").alias("n"), total.alias("total"))
+
+
+# Checks, generators and the command line
+
+
+def _said(f) -> str:
+    """What an action fails with, or what it returns."""
+    try:
+        return str(f())
+    except Exception as e:
+        found = re.search("Inconsistent[^\\n]*grid|Cannot reconstruct[^\\n]*slices|z out of range|no files|Not a Part 10 DICOM file|the window's end[^\\n]*start|sigma must be over 0", str(e))
+        return found[0] if found else str(e)
+
+
+@query("""SELECT * FROM (VALUES ('dimensions', 'Inconsistent slice dimensions: expected 50x64 but found 49x64 -- all slices in a series must share the same in-plane grid'), ('empty', 'Cannot reconstruct a volume from zero slices'),
+('no files', 'no files'), ('z below', 'z out of range'), ('z beyond', 'z out of range'), ('no depth', '0'), ('fail fast', 'Not a Part 10 DICOM file'), ('window', 'the window''s end must be above its start'), ('sigma', 'sigma must be over 0')) AS t(input, said)""")
+def input_checks(spark, sf_dir):
+    """Inputs that can't be worked on: what the job, or the call, fails with. A volume without slices has no finding."""
+    voxels = written(_voxels(spark, sf_dir), "voxels")
+    blocks, slices = volumes.to_blocks(voxels), _series(spark, sf_dir)
+    other = slices.orderBy("ordinal").limit(1).withColumns({"ordinal": F.lit(1000), "rows": F.lit(49)})
+    depth = voxels.agg(F.max("z") + 1).first()[0]
+    bad = spark.createDataFrame([("/bad/magic", bytes(200), 0)], "path string, content binary, given int")
+    said = {
+        "dimensions": lambda: reconstruct.reconstruct(slices.union(other)).count(), "empty": lambda: reconstruct.reconstruct(slices.limit(0)).count(), "no files": lambda: dicom.read_slices(spark, []), "z below": lambda: png.one(blocks, -1).count(),
+        "z beyond": lambda: png.one(blocks, depth).collect(), "no depth": lambda: detect.detect(voxels.limit(0), LIMITS).count(), "fail fast": lambda: dicom.decoded(bad, "FAILFAST").collect(), "window": lambda: png.window_plane(np.zeros((1, 1)), 5, 5), "sigma": lambda: filters.gaussian_kernel(0),
+    }
+    return spark.createDataFrame([(k, _said(f)) for k, f in said.items()], "input string, said string")
+
+
+_BALL = "(x - {x}) * (x - {x}) + (y - {y}) * (y - {y}) + (z - {z}) * (z - {z}) <= {r} * {r}"
+_CELLS = "unnest(range({0})) AS a(x), unnest(range({0})) AS b(y), unnest(range({0})) AS c(z)"
+
+
+@query(f"""SELECT 'spheres' AS kind, count(*) AS voxels, count_if({_BALL.format(x=10, y=10, z=10, r=4)} OR {_BALL.format(x=30, y=25, z=20, r=6)})::BIGINT AS inside, true AS as_told FROM {_CELLS.format(40)}
+UNION ALL SELECT 'nodules', count(*), count_if(least(x % 16, 16 - x % 16) ** 2 + least(y % 16, 16 - y % 16) ** 2 + least(z % 16, 16 - z % 16) ** 2 <= 9 AND x BETWEEN 13 AND 35 AND y BETWEEN 13 AND 35 AND z BETWEEN 13 AND 35)::BIGINT, true FROM {_CELLS.format(48)}
+UNION ALL SELECT 'gradient', 64 * 32 * 4, 64 * 32 * 4, true UNION ALL SELECT 'series', 12 * 24 * 16, 12, true UNION ALL SELECT 'cube', 1000, 27, true""")
+def synthetic_volumes(spark, sf_dir):
+    """The generators: how many voxels are inside what is planted, and whether noise keeps to its bounds."""
+    n, inside = F.count(F.lit(1)).alias("voxels"), F.count_if(F.col("v") == 300).alias("inside")
+    lit = lambda name: F.lit(name).alias("kind")
+    balls = volumes.spheres(spark, 40, [(10, 10, 10, 4), (30, 25, 20, 6)]).select("v").agg(lit("spheres"), n, inside, F.lit(True).alias("as_told"))
+    lattice = volumes.nodules(spark, 48, 16, 3).agg(lit("nodules"), n, inside, F.lit(True).alias("as_told"))
+    off = F.abs(F.col("v") + 1000 - 2000 * F.col("x") / 64)
+    slope = volumes.gradient(spark, 64, 32, 4).agg(lit("gradient"), n, F.count_if(off <= 50.001).alias("inside"), ((F.max(off) > 45) & (F.min("x") == 0)).alias("as_told"))
+    stack = volumes.series(spark, 12, 24, 16).select("ordinal", "image_position_z", F.size("pixels").alias("n"), F.array_min("pixels").alias("low"), F.array_max("pixels").alias("high"))
+    stack = stack.agg(lit("series"), F.sum("n").alias("voxels"), F.count_distinct("image_position_z").alias("inside"), ((F.min("low") >= -100) & (F.max("high") <= 150) & (F.max("high") - F.min("low") > 150)).alias("as_told"))
+    value = lambda z, y, x: F.when(F.greatest(F.abs(x - 5), F.abs(y - 5), F.abs(z - 5)) <= 1, 300).otherwise(-800)
+    cube = volumes.grid(spark, "cube", 10, 10, 10, value).agg(lit("cube"), n, inside, F.lit(True).alias("as_told"))
+    return balls.union(lattice).union(slope).union(stack).union(cube)
+
+
+@query(f"""WITH RECURSIVE {_V}, {_C}, {_STATS}, {_FOUND}, t AS (SELECT max(z) + 1 AS depth, min(pixel) AS low, max(pixel) AS high FROM v), k AS (SELECT count(*) AS n FROM f)
+SELECT 'inspect' AS command, 1::INT AS code, depth || ' files, rows: 50, columns: 64, 1 failed' AS said FROM t
+UNION ALL SELECT 'reconstruct', 0, 'Input slices: ' || depth || ', Dimensions (WxHxD): 64 x 50 x ' || depth || ', Value range: [' || {_G6.format("low")} || ', ' || {_G6.format("high")} || '] HU' FROM t
+UNION ALL SELECT 'detect', 0, 'HU threshold: [400, 2000], Findings: ' || n || ' anomal' || CASE WHEN n = 1 THEN 'y' ELSE 'ies' END FROM k
+UNION ALL SELECT 'export', 0, n || ' findings, ' || depth || ' slices, bundle' FROM k, t
+UNION ALL SELECT 'time-filters', 0, 'gaussian sobel equalize' UNION ALL SELECT 'time-parallel', 0, 'reconstruction x 5, detection x 6' UNION ALL SELECT 'reconstruct bad', 1, 'Not a Part 10 DICOM file'""")
+def command_line(spark, sf_dir):
+    """The commands over the slices as files: exit codes, and what the lines printed say."""
+    import os
+
+    from isovox import cli
+
+    found = _files(spark, sf_dir).select(F.format_string("slice_%03d.dcm", "given").alias("name"), "content")
+    folder = saved(found, "slices")
+    bad = saved(spark.createDataFrame([("bad.dcm", b"x")], "name string, content binary"), "bad")
+    out = saved(found.limit(0), "export").removeprefix("file://").removeprefix("file:")
+    depth = found.count()
+    files = [f"{folder}/slice_{i:03d}.dcm" for i in range(depth)]
+
+    def run(*args: str) -> tuple[int, str, str]:
+        printed, errors = io.StringIO(), io.StringIO()
+        with contextlib.redirect_stdout(printed), contextlib.redirect_stderr(errors):
+            code = cli.main(list(args))
+        return code, printed.getvalue(), errors.getvalue()
+
+    line = lambda text, start: next(x for x in text.splitlines() if x.startswith(start))
+    limits = ["--hu-min", "400", "--hu-max", "2000", "--min-voxels", "3"]
+    rows = []
+    code, text, errors = run("inspect", *files, f"{bad}/bad.dcm")
+    rows.append(("inspect", code, f"{text.count('===') // 2} files, {line(text, 'rows')}, {line(text, 'columns')}, {errors.count('Failed to parse')} failed"))
+    code, text, _ = run("reconstruct", *files)
+    rows.append(("reconstruct", code, ", ".join(line(text, x) for x in ("Input slices", "Dimensions", "Value range"))))
+    code, text, _ = run("detect", *limits, *files)
+    rows.append(("detect", code, ", ".join(line(text, x) for x in ("HU threshold", "Findings"))))
+    code, text, _ = run("export", *limits, "--fhir", "--out", out, *files)
+    there = sorted(os.listdir(out))
+    rows.append(("export", code, f"{text.split(',')[0]}, {len(os.listdir(os.path.join(out, 'slices')))} slices, {'bundle' if there == ['annotated.dcm', 'findings.json', 'findings_fhir.json', 'slices'] else there}"))
+    code, text, _ = run("time-filters", "--size", "64", "--depth", "4")
+    rows.append(("time-filters", code, " ".join(x.split(":")[0] for x in text.splitlines())))
+    code, text, _ = run("time-parallel", "--size", "40", "--depth", "6")
+    rows.append(("time-parallel", code, f"reconstruction x {text.count('reconstruction')}, detection x {text.count('detection')}"))
+    code, _, errors = run("reconstruct", f"{bad}/bad.dcm")
+    rows.append(("reconstruct bad", code, "Not a Part 10 DICOM file" if "Not a Part 10 DICOM file" in errors else errors))
+    return spark.createDataFrame(rows, "command string, code int, said string")

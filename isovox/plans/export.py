@@ -20,9 +20,9 @@ def series_info(slices: DataFrame) -> DataFrame:
     latest counts. A series without any patient id is ANONYMOUS.
     """
     named = F.col("patient_id").isNotNull()
-    blank = F.col("patient_id") == ""
+    blank, order = F.col("patient_id") == "", reconstruct.input_order(slices)
     picked = slices.where(named).groupBy("series_id").agg(
-        F.coalesce(F.min_by(F.struct("patient_id", "study_date"), F.when(~blank, F.col("ordinal"))), F.max_by(F.struct("patient_id", "study_date"), "ordinal")).alias("who")
+        F.coalesce(F.min_by(F.struct("patient_id", "study_date"), F.when(~blank, order)), F.max_by(F.struct("patient_id", "study_date"), order)).alias("who")
     )
     counts = slices.groupBy("series_id").agg(F.count(F.lit(1)).cast("int").alias("slice_count"))
     kinds = reconstruct.geometry(slices).select("series_id", "modality")
@@ -49,15 +49,15 @@ def export(spark: SparkSession, paths: list[str], out: str, thresholds: detect.T
     if not paths:
         raise ValueError("no files")
     os.makedirs(os.path.join(out, "slices"), exist_ok=True)
-    slices = written(one_series(dicom.read_slices(spark, paths, "FAILFAST")), "slices")
+    slices = reconstruct.require_slices(written(one_series(dicom.read_slices(spark, paths, "FAILFAST")), "slices"))
     volumes, series = volumes_of(slices), series_info(slices)
     blocks = written(reconstruct.reconstruct(slices), "blocks")
     findings = written(findings_of(blocks, thresholds), "findings")
-    png.write(png.annotated(blocks, findings), os.path.abspath(out)).count()
+    png.write(png.annotated(blocks, findings), os.path.abspath(out), by_volume=False).count()
     report.write_file(os.path.join(out, "findings.json"), report.findings_json(findings, volumes, series).first()["json"])
     if fhir:
         report.write_file(os.path.join(out, "findings_fhir.json"), report.fhir_bundle(findings, series).first()["json"])
-    first = slices.orderBy("ordinal").limit(1).collect()[0].asDict()
+    first = slices.orderBy(reconstruct.input_order(slices)).limit(1).collect()[0].asDict()
     rows = [r.asDict() for r in findings.orderBy("id").collect()]
     report.write_file(os.path.join(out, "annotated.dcm"), dicom.annotated(first, report.brief_json(rows)))
     return findings

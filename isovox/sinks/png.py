@@ -92,16 +92,20 @@ def one(blocks: DataFrame, z: int) -> DataFrame:
     return blocks.join(depth.select("volume_id", fine.alias("z")), ["volume_id", "z"])
 
 
-def write(images: DataFrame, folder: str) -> DataFrame:
-    """Writes slices/slice_%03d.png below a folder that all executors reach; (volume_id, z, path) of what was written."""
+def write(images: DataFrame, folder: str, by_volume: bool = True) -> DataFrame:
+    """Writes slices/slice_%03d.png below a folder that all executors reach; (volume_id, z, path) of what was written.
+
+    Each volume has a folder of its own, by its quoted id; without ``by_volume`` the images must be of one volume.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pathlib import Path
+        from urllib.parse import quote
 
         for batch in batches:
             paths = []
             for volume, z, data in zip(*(batch.column(c).to_pylist() for c in ("volume_id", "z", "png")), strict=True):
-                to = Path(folder) / "slices" / ("slice_%03d.png" % z)
+                to = Path(folder, *([quote(volume, safe="")] if by_volume else []), "slices", "slice_%03d.png" % z)
                 to.parent.mkdir(parents=True, exist_ok=True)
                 to.write_bytes(data)
                 paths.append(str(to))

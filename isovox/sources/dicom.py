@@ -13,13 +13,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isovox.functions import values
 
 IMPLICIT_LE, EXPLICIT_LE, EXPLICIT_BE = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2"
 ITEM, SEQUENCE_END = (0xFFFE, 0xE000), (0xFFFE, 0xE0DD)
-UNDEFINED = 0xFFFFFFFF
+UNDEFINED, MAGIC = 0xFFFFFFFF, b"DICM"
 
 # Tags by name, and the codes that implicit files don't carry.
 TAGS = {
@@ -55,6 +56,9 @@ SLICE_COLUMNS = (
     "series_id string, path string, ordinal int, modality string, patient_id string, study_date string, rows int, columns int, bits_allocated int, pixel_signed boolean, "
     "rescale_slope double, rescale_intercept double, image_position_z double, pixel_spacing_row_mm double, pixel_spacing_col_mm double, slice_thickness_mm double, pixels array<int>, error string"
 )
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+#: SLICE_COLUMNS for Arrow, made without a session, so that data sources can use it too.
+SLICE_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in SLICE_COLUMNS.split(", "))])
 
 
 class ParseError(ValueError):
@@ -123,7 +127,7 @@ class Parsed:
 
 def parse(data: bytes, name: str = "") -> Parsed:
     """The elements of a file's data set, in order; sequences are left out."""
-    if len(data) < 132 or data[128:132] != b"DICM":
+    if len(data) < 132 or data[128:132] != MAGIC:
         raise ParseError(f"Not a Part 10 DICOM file (missing 'DICM' magic) in: {name}")
     c = Cursor(data, 132)
     tag, _, length = _header(c, True, False)
@@ -210,43 +214,65 @@ def slice_of(parsed: Parsed, name: str = "", pixels: bool = True) -> dict:
     return row
 
 
+#: Files up to which their places go to every task; more meet their rows in a join.
+TOLD = 1_000_000
+
+
+def _given(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """(path, place) of what is there of the paths given (files, folders or patterns), under the names Spark reads them by."""
+    context = spark.sparkContext
+    out: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        path = context._jvm.org.apache.hadoop.fs.Path(p)
+        for status in path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []:
+            out.setdefault(status.getPath().toString(), i)
+    return list(out.items())
+
+
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, content, ordinal): the order is that of the paths given, or of the paths found."""
+    """(path, content, given): ``given`` is a file's place from 0.
+
+    Files given in a list go in its order, those of one folder in it by path. Files below a single path go by path
+    within their folder. Places are found from the paths alone; contents are not shuffled for them.
+    """
+    if not paths:
+        raise ValueError("no files")
     found = spark.read.format("binaryFile").load(paths)
+    names = found.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
     if isinstance(paths, str):
-        return found.select("path", "content", F.lit(0).alias("given"))
-    given = F.coalesce(*[F.when(F.endswith(F.col("path"), F.lit(p)), i) for i, p in enumerate(paths)], F.lit(len(paths)))
-    return found.select("path", "content", given.alias("given"))
+        place = F.row_number().over(W.partitionBy("folder").orderBy("path"))
+    else:
+        given = spark.createDataFrame(_given(spark, paths), "name string, at int")
+        own, above = (F.broadcast(given.select(F.col("name").alias(c), F.col("at").alias(f"at_{c}"))) for c in ("path", "folder"))
+        names = names.join(own, "path", "left").join(above, "folder", "left")
+        place = F.row_number().over(W.orderBy(F.coalesce("at_path", "at_folder", F.lit(len(paths))), "path"))
+    places = names.select("path", (place - 1).alias("given"))
+    return found.select("path", "content").join(F.broadcast(places) if names.count() <= TOLD else places, "path")
 
 
 def decoded(found: DataFrame, mode: str = "PERMISSIVE", pixels: bool = True) -> DataFrame:
     """One row a file (path, content, given). PERMISSIVE: a file that can't be read has its error; FAILFAST: it fails the job.
 
-    A file without the magic is told from its bytes alone, before any is decoded.
+    A file without the magic is told by an expression: its bytes are not handed on to be decoded.
     """
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError(f"no such mode: {mode}")
-    names = [c.split()[0] for c in SLICE_COLUMNS.split(", ")]
-    schema = SLICE_COLUMNS
+    found = found.select("path", F.when(F.substring("content", 129, 4) == F.lit(MAGIC), F.col("content")).alias("content"), "given")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, given in zip(*(batch.column(c) for c in ("path", "content", "given")), strict=True):
-                row = dict.fromkeys(names) | {"path": path.as_py(), "ordinal": given.as_py()}
+                row = dict.fromkeys(SLICE_SCHEMA.names) | {"path": path.as_py(), "ordinal": given.as_py()}
                 row["series_id"] = row["path"].rpartition("/")[0].rpartition("/")[2]
                 try:
-                    row |= slice_of(parse(content.as_py(), row["path"]), row["path"], pixels)
+                    row |= slice_of(parse(content.as_py() or b"", row["path"]), row["path"], pixels)
                 except ParseError as e:
                     if mode == "FAILFAST":
                         raise
                     row["error"] = str(e)
-                yield pa.RecordBatch.from_pylist([row], schema=target)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+                yield pa.RecordBatch.from_pylist([row], schema=SLICE_SCHEMA)
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, SLICE_COLUMNS)
 
 
 def read_slices(spark: SparkSession, paths: str | list[str], mode: str = "PERMISSIVE", pixels: bool = True) -> DataFrame:
@@ -254,7 +280,11 @@ def read_slices(spark: SparkSession, paths: str | list[str], mode: str = "PERMIS
 
 
 def read_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, ordinal, group, element, vr, value) of every element of every readable file, in order."""
+    return elements_of(files(spark, paths))
+
+
+def elements_of(found: DataFrame) -> DataFrame:
+    """(path, ordinal, group, element, vr, value) of every element of every readable file (path, content), in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +297,7 @@ def read_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     g, e, vr, v = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(g)), pa.array(range(len(g)), pa.int32()), pa.array(g, pa.int32()), pa.array(e, pa.int32()), pa.array(vr), pa.array(v, pa.binary())], ["path", "ordinal", "group", "element", "vr", "value"])
 
-    return files(spark, paths).select("path", "content").mapInArrow(run, "path string, ordinal int, group int, element int, vr string, value binary")
+    return found.select("path", "content").mapInArrow(run, "path string, ordinal int, group int, element int, vr string, value binary")
 
 
 def last_values(elements: DataFrame) -> DataFrame:
@@ -307,7 +337,7 @@ def build(elements: list[tuple[tuple[int, int], str, bytes]], syntax: str = EXPL
     """A whole file from elements in order; its meta group is the transfer syntax alone."""
     meta = element(TAGS["TransferSyntaxUID"], "UI", even(syntax, b"\0"))
     head = element(TAGS["FileMetaGroupLength"], "UL", struct.pack("<I", len(meta)))
-    return bytes(128) + b"DICM" + head + meta + b"".join(element(t, c, v, syntax != IMPLICIT_LE, syntax == EXPLICIT_BE) for t, c, v in elements)
+    return bytes(128) + MAGIC + head + meta + b"".join(element(t, c, v, syntax != IMPLICIT_LE, syntax == EXPLICIT_BE) for t, c, v in elements)
 
 
 def annotated(row: dict, findings_json: str, creator: str = "ISOVOX") -> bytes:

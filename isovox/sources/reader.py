@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from isovox.sources.dicom import SLICE_COLUMNS, ParseError, parse, slice_of
+from isovox.sources.dicom import SLICE_COLUMNS, SLICE_SCHEMA, ParseError, parse, slice_of
 
 
-class _File(InputPartition):
-    def __init__(self, ordinal: int, path: str):
-        self.ordinal, self.path = ordinal, path
+#: Bytes of files that one partition reads.
+PART = 64 << 20
+
+
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[int, str]]):
+        self.files = files
 
 
 class _Reader(DataSourceReader):
@@ -22,21 +27,28 @@ class _Reader(DataSourceReader):
     def partitions(self):
         root = Path(self.options["path"])
         found = sorted(p for p in root.rglob("*") if p.is_file()) if root.is_dir() else [root]
-        return [_File(i, str(p)) for i, p in enumerate(found)]
+        parts, size = [[]], 0
+        for i, p in enumerate(found):
+            n = p.stat().st_size
+            if parts[-1] and size + n > PART:
+                parts.append([])
+                size = 0
+            parts[-1].append((i, str(p)))
+            size += n
+        return [_Files(x) for x in parts]
 
     def read(self, partition):
-        names = [c.split()[0] for c in SLICE_COLUMNS.split(", ")]
-        path = partition.path
-        row = dict.fromkeys(names) | {"path": path, "ordinal": partition.ordinal, "series_id": Path(path).parent.name}
-        try:
-            row |= slice_of(parse(Path(path).read_bytes(), path), path, self.options.get("pixels", "true").lower() == "true")
-        except ParseError as e:
-            if self.options.get("mode", "PERMISSIVE").upper() == "FAILFAST":
-                raise
-            row["error"] = str(e)
-        if row["pixels"] is not None:
-            row["pixels"] = row["pixels"].tolist()
-        yield tuple(row[n] for n in names)
+        """Arrow batches, a file each; pixels stay arrays."""
+        pixels, fast = self.options.get("pixels", "true").lower() == "true", self.options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        for ordinal, path in partition.files:
+            row = dict.fromkeys(SLICE_SCHEMA.names) | {"path": path, "ordinal": ordinal, "series_id": Path(path).parent.name}
+            try:
+                row |= slice_of(parse(Path(path).read_bytes(), path), path, pixels)
+            except ParseError as e:
+                if fast:
+                    raise
+                row["error"] = str(e)
+            yield pa.RecordBatch.from_pylist([row], schema=SLICE_SCHEMA)
 
 
 class DicomSource(DataSource):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def saved(df: DataFrame, name: str) -> str:
+    """A folder of its own in the shared one, with the files (name, content) of ``df``, written by the tasks that have them."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    folder = fs.makeQualified(path).toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                target, at = pa.fs.FileSystem.from_uri(f"{folder}/{file}" if "://" in folder else f"{folder.replace('file:', 'file://', 1)}/{file}")
+                with target.open_output_stream(at) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
+
+    df.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

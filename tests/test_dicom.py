@@ -101,6 +101,30 @@ def test_reader(spark, tmp_path):
     assert spark.read.format("dicom").load(str(tmp_path / "s")).where("error is null").count() == 3
 
 
+def test_order_of_files(spark, tmp_path):
+    """The order of a list is its own, whatever its names end with; in a folder it is that of the paths."""
+    for folder, names in (("s", ["1.dcm", "11.dcm", "111.dcm"]), ("t", ["b.dcm", "a.dcm", "c d.dcm"])):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_bytes(made())
+    at = lambda paths: {r["path"].rpartition("/")[2]: r["ordinal"] for r in dicom.read_slices(spark, paths).select("path", "ordinal").collect()}
+    s, t = str(tmp_path / "s"), str(tmp_path / "t")
+    assert at([f"{s}/11.dcm", f"{s}/1.dcm", f"{s}/111.dcm"]) == {"11.dcm": 0, "1.dcm": 1, "111.dcm": 2}
+    assert at([f"{s}/1.dcm", f"{s}/11.dcm"]) == {"1.dcm": 0, "11.dcm": 1}
+    assert at(t) == {"a.dcm": 0, "b.dcm": 1, "c d.dcm": 2}
+    assert at([f"{t}/c*.dcm", s, f"{t}/b.dcm"]) == {"c d.dcm": 0, "1.dcm": 1, "11.dcm": 2, "111.dcm": 3, "b.dcm": 4}
+    with pytest.raises(ValueError, match="no files"):
+        dicom.read_slices(spark, [])
+
+
+def test_files_without_the_magic_stay_in_the_jvm(spark, tmp_path):
+    (tmp_path / "x.dcm").write_bytes(bytes(5000))
+    (tmp_path / "y.dcm").write_bytes(b"short")
+    rows = dicom.read_slices(spark, str(tmp_path))
+    assert "substring(content" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["error"].startswith("Not a Part 10 DICOM file") for r in rows.collect()] == [True, True]
+
+
 def test_annotated():
     for bits in (8, 16):
         for signed in (True, False):

@@ -104,6 +104,34 @@ def test_export(spark, tmp_path):
     assert json.loads((tmp_path / "out/findings_fhir.json").read_text())["entry"][0]["resource"]["subject"]["reference"] == "Patient/P4"
 
 
+def test_no_slices(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    with pytest.raises(ValueError, match="no files"):
+        export.export(spark, [], str(tmp_path / "out"), detect.Thresholds(100, 1500))
+    with pytest.raises(ValueError, match="zero slices"):
+        export.export(spark, [str(tmp_path / "in")], str(tmp_path / "out"), detect.Thresholds(100, 1500))
+    assert cli.main(["reconstruct", str(tmp_path / "in")]) == 1
+    assert "zero slices" in capsys.readouterr().err
+
+
+def test_first_file_given(spark, tmp_path):
+    """Patient, date and the annotated slice are those of the first file given, though another's name ends with its."""
+    paths = _files(tmp_path / "in", 3, patients=["P0", "P1", "P2"])
+    for old, new in ((2, "11"), (1, "1")):
+        (tmp_path / f"in/{old}.dcm").rename(tmp_path / f"in/x{new}.dcm")
+    paths = [str(tmp_path / "in/x11.dcm"), str(tmp_path / "in/x1.dcm"), str(tmp_path / "in/0.dcm")]
+    export.export(spark, paths, str(tmp_path / "out"), detect.Thresholds(100, 1500, 1))
+    assert json.loads((tmp_path / "out/findings.json").read_text())["patientId"] == "P2"
+    assert dicom.slice_of(dicom.parse((tmp_path / "out/annotated.dcm").read_bytes()))["image_position_z"] == 2.0
+
+
+def test_pngs_of_two_volumes(spark, cube, tmp_path):
+    blocks = volumes.to_blocks(cube)
+    both = blocks.union(blocks.withColumn("volume_id", F.lit("a/b")))
+    made = png.write(png.gray(both), str(tmp_path)).collect()
+    assert len({r["path"] for r in made}) == 20 and len(list(tmp_path.glob("a%2Fb/slices/*.png"))) == 10
+
+
 def test_cli(spark, tmp_path, capsys):
     paths = _files(tmp_path / "in")
     assert cli.main(["detect", "--min-voxels", "5", *paths]) == 0

@@ -73,7 +73,8 @@ def test_reconstruct_errors(spark):
         reconstruct.reconstruct(slices(spark).union(other)).collect()
     with pytest.raises(reconstruct.ReconstructionError, match="zero slices"):
         reconstruct.require_slices(slices(spark).limit(0))
-    assert reconstruct.reconstruct(slices(spark).limit(0)).count() == 0
+    with pytest.raises(Exception, match="zero slices"):
+        reconstruct.reconstruct(slices(spark).limit(0)).collect()
 
 
 def test_partition_counts_agree(spark):
@@ -81,6 +82,10 @@ def test_partition_counts_agree(spark):
     want = [(r["z"], r["data"]) for r in reconstruct.reconstruct(s).orderBy("z").collect()]
     for n in (1, 2, 8):
         assert [(r["z"], r["data"]) for r in reconstruct.reconstruct(s.repartition(n)).orderBy("z").collect()] == want
+    both = s.union(s.withColumn("series_id", F.lit("other")).where("ordinal < 5"))
+    for target in (-1.0, 0.5, 2.9):
+        made = [sorted(map(tuple, reconstruct.reconstruct(both.repartition(3), target, by_slice).collect())) for by_slice in (False, True)]
+        assert made[0] == made[1] and len({r[0] for r in made[0]}) == 2
 
 
 def brute_blur(p, sigma):
