@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from isovox.llm.quality_rules import WORD
 from isovox.store import fresh, written
@@ -25,9 +26,18 @@ def n_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """The seeded order: an md5 of the seed and the id (null as an empty id)."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def draw(docs: DataFrame, seed: str = SEED) -> Column:
+    """The seeded order: an md5 of the seed and the id; of rows without an id, of all they hold that has a hash.
+
+    So rows without an id, however many, are spread over the shards as others are.
+    """
+    rest = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)])
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), rest.cast("string"))).cast("binary"))
+
+
+def _has_map(kind: DataType) -> bool:
+    """Whether Spark can't hash it."""
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
 def bucket(drawn: Column) -> Column:
@@ -74,12 +84,13 @@ def with_taken(docs: DataFrame, size: Column, share: float = 1.5, weights: tuple
     """``docs`` (doc_id, source and any others) with size, source_size, target and taken under fresh names.
 
     Null sources are one source, the last; a null or empty text has size 0 and takes nothing; repeated rows
-    stand side by side in the seeded order and are taken each alone. A source of size 0 has target 0. An empty
-    table gives an empty table. The order depends on ids alone, so reruns agree.
+    stand side by side in the seeded order and are taken each alone. A source of size 0 has target 0. Texts of any
+    length count whole. An empty table gives an empty table. The order depends on ids alone (on the row's own values
+    where it has none), so reruns agree. Targets are ranked over one row a source, in one task.
     """
     p = fresh(docs, "mix")
     c = lambda x: F.col(p + x)
-    df = docs.withColumn(p + "size", size).withColumn(p + "draw", draw(F.col("doc_id"), seed)).withColumn(p + "bucket", bucket(c("draw")))
+    df = docs.withColumn(p + "size", size).withColumn(p + "draw", draw(docs, seed)).withColumn(p + "bucket", bucket(c("draw")))
     cells = written(df.groupBy(F.col("source"), c("bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(c("size")).alias("size")), "mix-cells")
     goal = targets(cells.groupBy("source").agg(F.sum("size").alias("size")), share, weights, most)
     total = goal.withColumn("blocks", F.greatest(F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block).cast("long"), F.lit(1)))
