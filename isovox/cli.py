@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 import time
 
@@ -104,6 +105,13 @@ def _parallel(spark, args) -> int:
     return 0
 
 
+def _message(e: Exception) -> str:
+    """What went wrong, without the stack: of a failed task its own message."""
+    lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+    own = [m[1] for x in lines if (m := re.match(r"isovox[\w.]*(?:Error|Exception): (.+)", x))]
+    return own[0] if own else lines[0] if lines else type(e).__name__
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="isovox", description=__doc__)
     commands = parser.add_subparsers(required=True)
@@ -133,7 +141,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         return args.run(session(), args)
     except Exception as e:  # a failed job's own message is what the user needs
-        print(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
+        print(f"error: {_message(e)}", file=sys.stderr)
         return 1
 
 

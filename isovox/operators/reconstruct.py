@@ -179,9 +179,9 @@ def reconstruct(slices: DataFrame, target_mm: float = -1.0, by_slice: bool = Fal
         made = rows.mapInArrow(_blend, BLOCKS)
     else:
         made = _in_order(slices, geo).mapInArrow(_stack, BLOCKS)
-    # One more row where there is no series, which cannot be made.
-    none = geo.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.raise_error(F.lit(NO_SLICES)).cast("string").alias("volume_id"), *(F.lit(None).cast(made.schema[c].dataType).alias(c) for c in made.columns[1:]))
-    return made.union(none)
+    # A condition that fails the job where there is no series; it never has a row.
+    none = geo.agg(F.count(F.lit(1)).alias("n")).where(F.when(F.col("n") == 0, F.raise_error(F.lit(NO_SLICES)).cast("boolean")).otherwise(False))
+    return made.union(none.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema.fields)))
 
 
 def require_slices(slices: DataFrame) -> DataFrame:

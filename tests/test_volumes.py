@@ -73,8 +73,9 @@ def test_reconstruct_errors(spark):
         reconstruct.reconstruct(slices(spark).union(other)).collect()
     with pytest.raises(reconstruct.ReconstructionError, match="zero slices"):
         reconstruct.require_slices(slices(spark).limit(0))
-    with pytest.raises(Exception, match="zero slices"):
-        reconstruct.reconstruct(slices(spark).limit(0)).collect()
+    for by_slice in (False, True):
+        with pytest.raises(Exception, match="zero slices"):
+            reconstruct.reconstruct(slices(spark).limit(0), by_slice=by_slice).count()
 
 
 def test_partition_counts_agree(spark):
