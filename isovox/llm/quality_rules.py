@@ -12,6 +12,10 @@ from isovox.store import fresh
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
+#: Words of two or more capitals and no small letter, and what follows the first Latin letter of a word; no search goes
+#: back over what it has read, so that the work follows the text's length.
+CAPITALS = r"(?<![^\x20\x09-\x0D])[^a-zA-Z\x20\x09-\x0D]*+[A-Z][^a-zA-Z\x20\x09-\x0D]*+[A-Z][^a-z\x20\x09-\x0D]*+(?![^\x20\x09-\x0D])"
+LATIN = r"[A-Za-z][^\x20\x09-\x0D]*+"
 #: Common words of English, French, German and Spanish.
 STOP_WORDS = (
     "a and are as at be by for from in is it of on or that the this to was with "
@@ -42,7 +46,8 @@ BASE = (
     Rule("too_short", "n_words", "one", 1, 50, above=False),
     Rule("repeated_words", "n_repeat_words", "n_words", 100, 50),
 )
-#: The method's own thresholds: length, symbol, line, repetition, capital and stop-word ratios, in hundredths.
+#: The method's own thresholds: length, symbol, line, repetition, capital and stop-word ratios, in hundredths. Stop words
+#: are asked for among words with a Latin letter alone: texts in other scripts need none.
 RULES = (
     Rule("long_words", "word_chars", "n_words", 1, 20),
     Rule("short_words", "word_chars", "n_words", 1, 2, above=False),
@@ -50,7 +55,7 @@ RULES = (
     Rule("duplicate_lines", "n_dup_lines", "n_lines", 100, 50),
     Rule("repetitive", "n_repeat_words", "n_words", 100, 30),
     Rule("capitals", "n_capital_words", "n_words", 100, 50),
-    Rule("no_stop_words", "n_stop_words", "n_words", 100, 2, above=False),
+    Rule("no_stop_words", "n_stop_words", "n_latin_words", 100, 2, above=False),
 )
 
 
@@ -59,7 +64,7 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[R
 
     The new columns get a prefix no column of ``docs`` has, so extra or clashing columns do no harm. A null
     or empty text has no words: its measures are 0 and it fails the base. Repeated rows are judged each alone;
-    a ratio exactly at its limit passes. An empty table gives an empty table.
+    a ratio exactly at its limit passes. Texts of any length are read whole. An empty table gives an empty table.
     """
     p = fresh(docs, "quality")
     c = lambda name: F.col(p + name)
@@ -83,9 +88,10 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[R
         F.size(c("lines")).cast("long").alias(p + "n_lines"),
         (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long").alias(p + "n_dup_lines"),
         F.size(F.filter(c("words"), lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias(p + "n_stop_words"),
-        F.size(F.filter(c("words"), lambda w: w.rlike(r"^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))).cast("long").alias(p + "n_capital_words"),
+        F.regexp_count(body, F.lit(CAPITALS)).cast("long").alias(p + "n_capital_words"),
+        F.regexp_count(body, F.lit(LATIN)).cast("long").alias(p + "n_latin_words"),
     )
-    measures = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_capital_words"]
+    measures = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_capital_words", "n_latin_words"]
     of = {m: c(m) for m in measures} | {"one": F.lit(1)}
     failed = F.lit(False)
     for rule in base:
@@ -126,12 +132,13 @@ m AS (
          length(body) - length(regexp_replace(body, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
          len(list_filter(words, lambda x: lower(x) IN ({_LIST}))) AS n_stop_words,
-         len(list_filter(words, lambda x: regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$'))) AS n_capital_words
+         len(list_filter(words, lambda x: regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$'))) AS n_capital_words,
+         len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]'))) AS n_latin_words
   FROM w LEFT JOIN c USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
             OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 100 * n_symbols > 10 * n_words
             OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_repeat_words > 30 * n_words
-            OR 100 * n_capital_words > 50 * n_words OR 100 * n_stop_words < 2 * n_words) AS kept
+            OR 100 * n_capital_words > 50 * n_words OR 100 * n_stop_words < 2 * n_latin_words) AS kept
 FROM m"""

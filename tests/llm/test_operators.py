@@ -572,9 +572,17 @@ def test_rules(spark, odd, none):
         w, lines = words(r["text"]), [x for x in (r["text"] or "").split("\n") if words(x)]
         runs = collections.Counter(zip(w, w[1:], w[2:]))
         hit = {i + j for i in range(len(w) - 2) if runs[w[i], w[i + 1], w[i + 2]] > 1 for j in range(3)}
+        capital = sum(bool(re.fullmatch("[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*", x)) for x in w)
+        assert (r[name["n_capital_words"]], r[name["n_latin_words"]]) == (capital, sum(bool(re.search("[A-Za-z]", x)) for x in w))
         got = [r[name[m]] for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         assert got == [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r["text"] or ""), len(lines) - len(set(lines)), len(hit)]
         assert r[name["base_failed"]] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+    greek = " ".join(f"λέξη{i % 40} και{i}" for i in range(60))
+    rows = [(1, greek), (2, "AB aB A-B ÄB 1A2B3 A1 ABc é AÉB " * 9), (3, "A" * 200_000 + "a"), (4, " ".join(f"verb{i} noun{i}" for i in range(60)))]
+    df, name = quality_rules.with_quality(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    made = {r["doc_id"]: r for r in df.collect()}
+    assert made[1][name["kept"]] and not made[4][name["kept"]]
+    assert made[2][name["n_capital_words"]] == 9 * 4 and made[3][name["n_capital_words"]] == 0
     assert quality_rules.quality_filter(odd).columns == odd.columns and quality_rules.quality_filter(none).count() == 0
 
 

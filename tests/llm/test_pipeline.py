@@ -1,4 +1,5 @@
 import collections
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -18,7 +19,7 @@ def passes(text):
     capital = sum(sum("A" <= c <= "Z" for c in x) >= 2 and not any("a" <= c <= "z" for c in x) for x in w)
     stop = sum(x.lower() in quality_rules.STOP_WORDS for x in w)
     chars, symbols = sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or "")
-    return not (n < 50 or 10 * hit > 3 * n or chars > 20 * n or chars < 2 * n or 10 * symbols > n or 2 * (len(lines) - len(set(lines))) > len(lines) or 2 * capital > n or 50 * stop < n)
+    return not (n < 50 or 10 * hit > 3 * n or chars > 20 * n or chars < 2 * n or 10 * symbols > n or 2 * (len(lines) - len(set(lines))) > len(lines) or 2 * capital > n or 50 * stop < sum(bool(re.search('[A-Za-z]', x)) for x in w))
 
 
 def test_one_number_in_several_documents(spark):
@@ -58,3 +59,23 @@ def test_stages(spark):
     assert by.sum() == want and by.max() <= 2048 and len(by) <= np.ceil(want / 2048) + 1
     key = lambda r: (r["doc_id"], r["piece"], r["ids_crc32"])
     assert sorted(map(key, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(key, packed.collect()))
+
+
+def test_odd_tables(spark, odd, none):
+    """Nulls, empty and very long texts, repeated rows, ties and clashing columns; and no rows at all."""
+    rows = odd.collect()
+    made = dict(zip([n for n, _ in corpus_pipeline.STAGES], [stage(spark, odd, DATA) for _, stage in corpus_pipeline.STAGES]))
+    assert all(df.columns == odd.columns for n, df in made.items() if n != "pack")
+    assert sorted(str(r["doc_id"]) for r in made["quality_rules"].collect()) == sorted(str(r["doc_id"]) for r in rows if passes(r["text"]))
+    near = [(r["doc_id"], r["text"]) for r in made["near_dedup"].collect()]
+    least = {c for _, n, c in components([(r["doc_id"], r["text"]) for r in rows], 5, 80) if n}
+    assert collections.Counter(d for d, t in near if words(t)) == collections.Counter([None, *(c for c in least if c is not None)])
+    assert {d for d, t in near if not words(t)} == {r["doc_id"] for r in rows if not words(r["text"])}
+    private = {(r["doc_id"], r["text"]): r["n_chars"] for r in made["personal_data"].collect()}
+    assert set(private) == {(r["doc_id"], r["text"]) for r in rows} and all(n == (None if t is None else len(t)) for (_, t), n in private.items())
+    mixed = collections.Counter((r["doc_id"], r["text"]) for r in made["mix_sources"].collect())
+    have = collections.Counter((r["doc_id"], r["text"]) for r in rows)
+    assert all(words(k[1]) and n <= 2 * have[k] for k, n in mixed.items())
+    assert made["pack"].where("start = 0").count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, DATA).count() == 0, name
