@@ -7,6 +7,7 @@ import re
 import sys
 import time
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from isovox.operators import detect, filters, reconstruct
@@ -112,7 +113,8 @@ def _message(e: Exception) -> str:
     return own[0] if own else lines[0] if lines else type(e).__name__
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Runs a command and returns its exit code; ``spark``: a session to use as it is."""
     parser = argparse.ArgumentParser(prog="isovox", description=__doc__)
     commands = parser.add_subparsers(required=True)
 
@@ -139,7 +141,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--depth", type=int, default=depth)
     args = parser.parse_args(argv)
     try:
-        return args.run(session(), args)
+        return args.run(spark or session(), args)
     except Exception as e:  # a failed job's own message is what the user needs
         print(f"error: {_message(e)}", file=sys.stderr)
         return 1

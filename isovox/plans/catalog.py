@@ -750,7 +750,7 @@ def command_line(spark, sf_dir):
     def run(*args: str) -> tuple[int, str, str]:
         printed, errors = io.StringIO(), io.StringIO()
         with contextlib.redirect_stdout(printed), contextlib.redirect_stderr(errors):
-            code = cli.main(list(args))
+            code = cli.main(list(args), spark)
         return code, printed.getvalue(), errors.getvalue()
 
     line = lambda text, start: next(x for x in text.splitlines() if x.startswith(start))
