@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -46,10 +47,11 @@ def saved(df: DataFrame, name: str) -> str:
     folder = fs.makeQualified(path).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri = folder if "://" in folder else folder.replace("file:", "file://", 1)
+        target, base = pa.fs.FileSystem.from_uri(quote(uri, safe=":/"))
         for batch in batches:
             for file, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                target, at = pa.fs.FileSystem.from_uri(f"{folder}/{file}" if "://" in folder else f"{folder.replace('file:', 'file://', 1)}/{file}")
-                with target.open_output_stream(at) as out:
+                with target.open_output_stream(f"{base}/{file}") as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
 
