@@ -218,22 +218,23 @@ def slice_of(parsed: Parsed, name: str = "", pixels: bool = True) -> dict:
 TOLD = 1_000_000
 
 
-def _given(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
-    """(path, place) of what is there of the paths given (files, folders or patterns), under the names Spark reads them by."""
+def _given(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, bool]]:
+    """(path, place, empty) of what is there of the paths given (files, folders or patterns), under the names Spark reads them by."""
     context = spark.sparkContext
-    out: dict[str, int] = {}
+    out: dict[str, tuple[int, bool]] = {}
     for i, p in enumerate(paths):
         path = context._jvm.org.apache.hadoop.fs.Path(p)
         for status in path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []:
-            out.setdefault(status.getPath().toString(), i)
-    return list(out.items())
+            out.setdefault(status.getPath().toString(), (i, status.isFile() and status.getLen() == 0))
+    return [(p, *x) for p, x in out.items()]
 
 
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, content, given): ``given`` is a file's place from 0.
 
     Files given in a list go in its order, those of one folder in it by path. Files below a single path go by path
-    within their folder. Places are found from the paths alone; contents are not shuffled for them.
+    within their folder. Places are found from the paths alone; contents are not shuffled for them. Spark's source
+    leaves out files of no bytes; those given in a list are there all the same, for the decoder to tell.
     """
     if not paths:
         raise ValueError("no files")
@@ -242,7 +243,12 @@ def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     if isinstance(paths, str):
         place = F.row_number().over(W.partitionBy("folder").orderBy("path"))
     else:
-        given = spark.createDataFrame(_given(spark, paths), "name string, at int")
+        told = _given(spark, paths)
+        empty = [(p, b"") for p, _, none in told if none]
+        if empty:
+            found = found.select("path", "content").union(spark.createDataFrame(empty, "path string, content binary"))
+            names = names.union(spark.createDataFrame([(p, p.rpartition("/")[0]) for p, _ in empty], "path string, folder string"))
+        given = spark.createDataFrame([(p, i) for p, i, _ in told], "name string, at int")
         own, above = (F.broadcast(given.select(F.col("name").alias(c), F.col("at").alias(f"at_{c}"))) for c in ("path", "folder"))
         names = names.join(own, "path", "left").join(above, "folder", "left")
         place = F.row_number().over(W.orderBy(F.coalesce("at_path", "at_folder", F.lit(len(paths))), "path"))

@@ -113,6 +113,9 @@ def test_order_of_files(spark, tmp_path):
     assert at([f"{s}/1.dcm", f"{s}/11.dcm"]) == {"1.dcm": 0, "11.dcm": 1}
     assert at(t) == {"a.dcm": 0, "b.dcm": 1, "c d.dcm": 2}
     assert at([f"{t}/c*.dcm", s, f"{t}/b.dcm"]) == {"c d.dcm": 0, "1.dcm": 1, "11.dcm": 2, "111.dcm": 3, "b.dcm": 4}
+    (tmp_path / "none.dcm").write_bytes(b"")
+    rows = dicom.read_slices(spark, [f"{s}/1.dcm", str(tmp_path / "none.dcm")]).orderBy("ordinal").collect()
+    assert [r["error"] is None for r in rows] == [True, False]
     with pytest.raises(ValueError, match="no files"):
         dicom.read_slices(spark, [])
 

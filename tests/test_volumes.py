@@ -138,8 +138,8 @@ def test_store(spark):
     odd = spark.range(1).select(F.col("id").alias("Score"), F.col("id").alias("_score"), F.col("id").alias("a.b"))
     assert store.spare(odd, "score") == "__score" and store.spare(odd, "other") == "other" and store.fresh(odd, "x") == "_x_"
     assert odd.select(*store.columns(odd, "Score")).columns == ["_score", "a.b"]
-    files = store.saved(spark.createDataFrame([("x y.bin", b"one"), ("z.bin", b"")], "name string, content binary"), "files")
-    assert {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in spark.read.format("binaryFile").load(files).collect()} == {"x y.bin": b"one", "z.bin": b""}
+    files = store.saved(spark.createDataFrame([("x y.bin", b"one"), ("z.bin", b"two")], "name string, content binary"), "files")
+    assert {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in spark.read.format("binaryFile").load(files).collect()} == {"x y.bin": b"one", "z.bin": b"two"}
     store.dropped(df)
     with pytest.raises(Exception):
         spark.read.parquet(df.written_path)
