@@ -15,12 +15,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isovox.llm import _text
 from isovox.llm.language_id import fold
-from isovox.store import dropped, written
+from isovox.store import dropped, partitions, written
 
 STATES = 8
 #: A word is a class of its own if it makes up this share of the training tokens and occurs so many times at least: a
@@ -42,6 +43,10 @@ END = np.uint64(0)
 CHUNK = 3 << 20
 #: Tokens and texts that a round takes at once.
 AT_ONCE, TEXTS = 500_000, 2000
+#: Classes whose sums go together from task to task.
+WIDE = 512
+#: Steps that expected counts of a task are rounded to, in a token.
+UNIT = 4096
 
 
 @dataclass
@@ -334,6 +339,7 @@ def guessed(model: Model, coded: DataFrame) -> Model:
         merge = lambda t: pa.Table.from_batches([_rows(clusters(_table(t.column("counts"), width), CLUSTERS))])
         found = written(found.groupBy(F.pmod(F.xxhash64("counts"), F.lit(-(-n // MERGED)))).applyInArrow(merge, "counts binary"), "clusters")
     rows = _table(found.toArrow().column("counts"), width).astype(np.float64)
+    dropped(found)
     if not len(rows):
         return model
     prior, emits = model.prior[top] / model.prior[top].sum(), clusters(rows, states)
@@ -347,10 +353,26 @@ def guessed(model: Model, coded: DataFrame) -> Model:
     return replace(model, emit=emit, move=np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), start=start / start.sum())
 
 
+def _packed(whole: np.ndarray) -> pa.RecordBatch:
+    """Columns of a table of whole numbers as blobs of ``WIDE`` columns each, those without a count left out.
+
+    Bytes of the same place stand together, so that the many small counts take little.
+    """
+    press = zstandard.ZstdCompressor(level=1)
+    parts = [(i, np.ascontiguousarray(whole[:, i * WIDE : (i + 1) * WIDE])) for i in range(-(-whole.shape[1] // WIDE))]
+    parts = [(i, press.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes())) for i, x in parts if x.any()]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["part", "sums"])
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view(np.int64).ravel()
+
+
 def _expect(model: Model):
-    """Expected counts of a task as (state, cell, value) rows; cells -1: starts, under 0: moves to state -2 - cell.
+    """A task's expected counts: [state, 1 + moves + starts + classes], where state 0 has the log likelihood first.
 
-    One cell further down, state 0 has the log likelihood.
+    They are whole numbers of ``1 / UNIT`` of a token, so that their sums are the same in any order of tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,23 +384,34 @@ def _expect(model: Model):
             head, moves, emits, log = total
             gain = np.zeros((len(head), 1))
             gain[0] = log
-            whole = np.concatenate([gain, moves[:, ::-1], head[:, None], emits], axis=1)
-            state, cell = np.nonzero(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(state.astype(np.int32)), pa.array((cell - len(head) - 2).astype(np.int32)), pa.array(whole[state, cell])], ["state", "cell", "value"])
+            yield _packed(np.rint(np.concatenate([gain, moves, head[:, None], emits], axis=1) * UNIT).astype(np.int64))
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the blobs of each part, added as they come."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            x = _unpacked(blob)
+            held[part] = held[part] + x if part in held else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "sums"])
+
+
 def expected(model: Model, coded: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """The log likelihood over the prior's of all the texts, and their Baum-Welch counts."""
-    states = len(model.start)
+    """The log likelihood over the prior's of all the texts, and their Baum-Welch counts.
+
+    What a task sends, and the driver gets, is bounded by the number of classes.
+    """
+    states, none = len(model.start), np.zeros(0)
     # Tasks need no words, only classes.
-    none = np.zeros(0)
-    rows = coded.mapInArrow(_expect(replace(model, known=none, log_count=none, own=none)), "state int, cell int, value double")
-    rows = rows.groupBy("state", "cell").agg(F.sum("value").alias("value")).toPandas()
-    whole = np.zeros((states, states + 2 + len(model.prior)))
-    whole[rows["state"], rows["cell"] + states + 2] = rows["value"]
-    return float(whole[0, 0]), whole[:, states + 1], whole[:, 1 : states + 1][:, ::-1], whole[:, states + 2 :]
+    rows = coded.mapInArrow(_expect(replace(model, known=none, log_count=none, own=none)), "part int, sums binary")
+    rows = rows.repartition(partitions(coded.sparkSession), "part").mapInArrow(_summed, "part int, sums binary").toArrow()
+    whole = np.zeros((states, 2 + states + len(model.prior)))
+    for part, blob in zip(rows.column("part").to_pylist(), rows.column("sums").to_pylist(), strict=True):
+        whole[:, part * WIDE : (part + 1) * WIDE] += np.frombuffer(blob, np.int64).reshape(states, -1) / UNIT
+    return float(whole[0, 0]), whole[:, 1 + states], whole[:, 1 : 1 + states], whole[:, 2 + states :]
 
 
 def _threshold(counts: DataFrame, most: int) -> int:
@@ -410,8 +443,9 @@ def fit(docs: DataFrame, states: int = STATES, gain: float = GAIN) -> tuple[Mode
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(OWN_LEAST, OWN_SHARE * n_tokens)
     # The end is always among them, however many words are as frequent.
-    often = counts.where((F.col("hash") == int(END)) | (F.col("n") >= min(_threshold(counts, FREQUENT), least))).toPandas()
-    h, n, tail = often["hash"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64), often["tail"].to_numpy().astype(np.int64)
+    often = counts.where((F.col("hash") == int(END)) | (F.col("n") >= min(_threshold(counts, FREQUENT), least))).toArrow()
+    h, n, tail = (often.column(c).to_numpy().astype(np.int64) for c in ("hash", "n", "tail"))
+    h = h.view(np.uint64)
     order = np.argsort(h)
     h, n, tail = h[order], n[order], tail[order]
     top = np.flatnonzero((n >= least) & (h != END))
