@@ -97,7 +97,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offs = _text.views(part.column("text"))
         raw = data.tobytes()
         blobs = [press.compress(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(blobs, pa.binary())], ["node", "blob"])
+        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(blobs, pa.binary())], ["key", "blob"])
 
 
 def _sets(blobs: list[bytes], k: int) -> list[np.ndarray]:
@@ -201,11 +201,10 @@ def _classes(docs: DataFrame, k: int, percent: int, bands: int) -> tuple[DataFra
     keys = written(keys, "keys")
     lead = keys.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = written(keys.join(lead, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "pairs")
-    # Texts of the classes that are in a pair. What is wanted is written, so that Spark knows its size before it joins:
-    # up to its broadcast threshold no other text leaves its task.
+    # Texts of the classes that are in a pair, shuffled once, compressed; rows that repeat an id and a text meet there.
     wanted = written(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node").join(classes.select("node", F.col("rep").alias("key")), "node"), "wanted")
-    texts = docs.select(key_of().alias("key"), "text").join(wanted, "key").select("node", "text")
-    blobs = written(texts.mapInArrow(_squeeze, "node bigint, blob binary").dropDuplicates(["node"]), "blobs")
+    squeezed = docs.select(key_of().alias("key"), "text").mapInArrow(_squeeze, "key bigint, blob binary")
+    blobs = written(squeezed.join(wanted.hint("merge"), "key").dropDuplicates(["key"]).select("node", "blob"), "blobs")
     u, v = blobs.select(F.col("node").alias("u"), F.col("blob").alias("ublob")), blobs.select(F.col("node").alias("v"), F.col("blob").alias("vblob"))
     links = written(pairs.join(v, "v").join(u, "u").mapInArrow(_verify(k, percent), "u bigint, v bigint"), "links")
     label = written(components(links), "labels")
