@@ -37,7 +37,7 @@ HELD = 3_000_000
 #: What stands for a null id, which comes before all others.
 LEAST = -(2**63)
 #: Bytes of text to a part.
-PART = 128 << 20
+PART = 64 << 20
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _BLOBS = "bucket bigint, known boolean, blob binary"
@@ -75,7 +75,13 @@ def text_hashes(column: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), np.uint64, len(column))
 
 
+def short(key: np.ndarray) -> np.ndarray:
+    """40 bits of a key: enough for anchors, where two documents with the same only get each other's to look at."""
+    return key >> np.uint64(24)
+
+
 def part_of(key: np.ndarray, n: int) -> np.ndarray:
+    """The part of a document, by its short key."""
     return (key % np.uint64(n)).astype(np.int64)
 
 
@@ -92,8 +98,7 @@ def _split(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield int(key[a]), pack(*(x[a:b] for x in arrays))
 
 
-def _told(key: np.ndarray, pos: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-    part = part_of(key, n)
+def _told(key: np.ndarray, pos: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.lexsort((pos, key, part))
     yield from _split(part[order], key[order], pos[order])
 
@@ -118,7 +123,7 @@ def anchors(n: int):
         shared = again | np.append(again[1:], False)
         one = ~again
         rows = [(b, False, x) for b, x in _split(bucket_of(h[one], n), h[one] & np.uint64(0xFFFFFFFFFFFF), key[one], pos[one])]
-        return _blobs(rows + [(p, True, x) for p, x in _told(key[shared], pos[shared], n)])
+        return _blobs(rows + [(p, True, x) for p, x in _told(key[shared], pos[shared], part_of(key[shared], n))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -131,7 +136,7 @@ def anchors(n: int):
             long = w.counts[doc] >= WINDOW
             at, doc = at[long], doc[long]
             if len(at):
-                key = key_of(part.column("doc_id").to_numpy(), text_hashes(part.column("text")))
+                key = short(key_of(part.column("doc_id").to_numpy(), text_hashes(part.column("text"))))
                 held.append((_text.runs(w.hashes(), ANCHOR)[at], key[doc], place[at].astype(np.uint32)))
                 size += len(at)
             if size > HELD:
@@ -154,7 +159,7 @@ def _shared(n: int):
         h = h[order]
         again = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
         mine = order[again | np.append(again[1:], False)[: len(h)]]
-        rows = list(_told(key[mine], pos[mine], n))
+        rows = list(_told(key[mine], pos[mine], part_of(key[mine], n)))
         rows += [(b, x) for b, x, k in zip(table.column("bucket").to_pylist(), blobs, known, strict=True) if k]
         return pa.Table.from_batches([_batch(rows, ["part", "blob"], [pa.int64(), pa.binary()])])
 
@@ -183,7 +188,7 @@ def _extend(n: int):
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         docs, sums = texts.column("doc_id").to_numpy(), texts.column("hash").to_numpy().view(np.uint64)
-        pos, lo, hi = _marks(key_of(docs, sums), told)
+        pos, lo, hi = _marks(short(key_of(docs, sums)), told)
         rows, held = np.flatnonzero(hi > lo), []
         free, blobs = zstandard.ZstdDecompressor(), texts.column("blob")
         for k in range(0, len(rows), 512):
@@ -200,9 +205,9 @@ def _extend(n: int):
         if not held:
             return pa.Table.from_batches([_blobs([])])
         *window, again = _in_order(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        one = ~again
+        one, key = ~again, key_of(window[2], window[3])[again]
         rows = [(b, False, x) for b, x in _split(bucket_of(window[0][one], n), *(x[one] for x in window))]
-        return pa.Table.from_batches([_blobs(rows + [(p, True, x) for p, x in _told(key_of(window[2][again], window[3][again]), window[4][again], n)])])
+        return pa.Table.from_batches([_blobs(rows + [(p, True, x) for p, x in _told(key, window[4][again], part_of(short(key), n))])])
 
     return run
 
@@ -225,7 +230,8 @@ def _later(n: int):
         known = table.column("known").to_numpy()
         blobs = table.column("blob").to_pylist()
         _, _, doc, text, pos, again = _in_order(*unpack([b for b, k in zip(blobs, known, strict=True) if not k], np.uint64, np.uint16, np.int64, np.uint64, np.uint32))
-        rows = list(_told(key_of(doc[again], text[again]), pos[again], n))
+        key = key_of(doc, text)[again]
+        rows = list(_told(key, pos[again], part_of(short(key), n)))
         rows += [(b, x) for b, x, k in zip(table.column("bucket").to_pylist(), blobs, known, strict=True) if k]
         return pa.Table.from_batches([_batch(rows, ["part", "blob"], [pa.int64(), pa.binary()])])
 
@@ -260,7 +266,7 @@ def _press(n: int):
             raw = data.tobytes()
             blobs = [press.compress(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             ids, sums = part.column("doc_id").to_numpy(), text_hashes(part.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(key_of(ids, sums), n)), pa.array(ids), pa.array(sums.view(np.int64)), pa.array(blobs, pa.binary())], ["part", "doc_id", "hash", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(short(key_of(ids, sums)), n)), pa.array(ids), pa.array(sums.view(np.int64)), pa.array(blobs, pa.binary())], ["part", "doc_id", "hash", "blob"])
 
     return run
 
