@@ -12,10 +12,10 @@ from isovox.store import fresh
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
-#: Words of two or more capitals and no small letter, and what follows the first Latin letter of a word; no search goes
-#: back over what it has read, so that the work follows the text's length.
-CAPITALS = r"(?<![^\x20\x09-\x0D])[^a-zA-Z\x20\x09-\x0D]*+[A-Z][^a-zA-Z\x20\x09-\x0D]*+[A-Z][^a-z\x20\x09-\x0D]*+(?![^\x20\x09-\x0D])"
-LATIN = r"[A-Za-z][^\x20\x09-\x0D]*+"
+#: Words of two or more capitals and no small letter; no search goes back over what it has read, so that the work
+#: follows the word's length.
+CAPITALS = r"^[^a-zA-Z]*+[A-Z][^a-zA-Z]*+[A-Z][^a-z]*+$"
+LATIN = r"[A-Za-z]"
 #: Common words of English, French, German and Spanish.
 STOP_WORDS = (
     "a and are as at be by for from in is it of on or that the this to was with "
@@ -88,8 +88,8 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[R
         F.size(c("lines")).cast("long").alias(p + "n_lines"),
         (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long").alias(p + "n_dup_lines"),
         F.size(F.filter(c("words"), lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias(p + "n_stop_words"),
-        F.regexp_count(body, F.lit(CAPITALS)).cast("long").alias(p + "n_capital_words"),
-        F.regexp_count(body, F.lit(LATIN)).cast("long").alias(p + "n_latin_words"),
+        F.size(F.filter(c("words"), lambda w: w.rlike(CAPITALS))).cast("long").alias(p + "n_capital_words"),
+        F.size(F.filter(c("words"), lambda w: w.rlike(LATIN))).cast("long").alias(p + "n_latin_words"),
     )
     measures = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_capital_words", "n_latin_words"]
     of = {m: c(m) for m in measures} | {"one": F.lit(1)}
