@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOXELS = "volume_id string, z int, y int, x int, v float"
@@ -33,6 +33,16 @@ def to_blocks(voxels: DataFrame) -> DataFrame:
     return rows.select("volume_id", "z", width.alias("width"), height.alias("height"), whole.alias("data"))
 
 
+def framed(blocks: DataFrame, width: int, height: int, fill: Column | float | None = None) -> DataFrame:
+    """Blocks on one grid: the places that a smaller slice lacks at the ends of its axes are ``fill`` (null: unknown)."""
+    w, h = F.col("width"), F.col("height")
+    missing = lambda n: F.array_repeat((fill if isinstance(fill, Column) else F.lit(fill)).cast("float"), n)
+    lines = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.concat(F.slice("data", y * w + 1, w), missing(width - w))))
+    data = F.concat(F.when(w == width, F.col("data")).otherwise(lines), missing((height - h) * width))
+    checked = F.when((w > width) | (h > height), F.raise_error(F.lit(f"a slice is larger than {width}x{height}")).cast("array<float>")).otherwise(data)
+    return blocks.withColumn("data", checked).withColumns({"width": F.lit(width), "height": F.lit(height)})
+
+
 def to_voxels(blocks: DataFrame) -> DataFrame:
     flat = blocks.select("volume_id", "z", "width", F.posexplode("data").alias("i", "v"))
     return flat.select("volume_id", "z", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), "v")
