@@ -94,7 +94,8 @@ def _resampled(r: dict, pixels: np.ndarray) -> np.ndarray:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
     for batch in batches:
         small = batch.drop_columns(["pixels"]).to_pylist()
-        flat, offs = batch.column("pixels").values.to_numpy(), batch.column("pixels").offsets.to_numpy()
+        # A null is unknown: not a number, as is all that is blended of it.
+        flat, offs = batch.column("pixels").values.to_numpy(zero_copy_only=False), batch.column("pixels").offsets.to_numpy()
         for i, r in enumerate(small):
             yield r, flat[offs[i] : offs[i + 1]]
 
@@ -164,7 +165,8 @@ def reconstruct(slices: DataFrame, target_mm: float = -1.0, by_slice: bool = Fal
     """Blocks of the isotropic volume of each series. Without any slice at all the job fails.
 
     Slices: (series_id, ordinal, modality, rows, columns, rescale_slope, rescale_intercept, image_position_z,
-    pixel_spacing_row_mm, pixel_spacing_col_mm, slice_thickness_mm, pixels).
+    pixel_spacing_row_mm, pixel_spacing_col_mm, slice_thickness_mm, pixels). Voxels that a null pixel takes part in are
+    not a number.
 
     A series is stacked in one task, as its slices come in order, with one shuffle and two planes in memory.
     ``by_slice`` spreads the output slices of each series instead, which meet their planes in two joins: for a few very
