@@ -67,12 +67,16 @@ def _plane_runs(v: np.ndarray, low: np.float32, high: np.float32) -> list[np.nda
     y, x0, x1 = y[::2], x[::2], x[1::2] - 1
     # Sums of each run: those over [start, end) pairs of the slice laid flat, every second of them.
     edges = np.stack([y * w + x0, y * w + x1 + 1], axis=1).ravel()
-    flat = np.append(v.ravel().astype(np.float64), 0.0)
+    flat = np.append(np.where(np.isnan(v), 0, v).ravel().astype(np.float64), 0.0)
     return [y, x0, x1, np.add.reduceat(flat, edges)[::2], np.add.reduceat(flat * flat, edges)[::2]]
 
 
 def runs_of_blocks(blocks: DataFrame, hu_min: float, hu_max: float) -> DataFrame:
-    """The same runs from whole slices: voxels never become rows."""
+    """The same runs from whole slices: voxels never become rows.
+
+    The slices of a volume are on one grid (``volumes.framed`` puts them there), as runs are told apart by their places
+    in it. What isn't a number is in no run.
+    """
     low, high = np.float32(hu_min), np.float32(hu_max)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
