@@ -76,12 +76,19 @@ def window_byte(value: Column, low: float = -1000.0, high: float = 1000.0) -> Co
 
 
 def six_digits(value: Column) -> Column:
-    """A double with six significant digits and no zeros at its end, as C++ streams print it."""
-    text = F.format_string("%.5e", value)
-    exponent = F.regexp_extract(text, r"e([-+]\d+)$", 1).cast("int")
+    """A double with six significant digits and no zeros at its end, as C++ streams print it.
+
+    Digits are those of the number itself, a tie goes to the even one; Java's %e rounds its shortest text half up.
+    """
+    # Java takes ties of whole numbers up: those move by one, to the side of the even digit.
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - 5)
+    tied = F.abs(value).between(1e6, 1e15) & (F.abs(value) % unit * 2 == unit)
+    even = F.when(tied, value - F.signum(value) * F.when(F.floor(F.abs(value) / unit) % 2 == 0, 1).otherwise(-1)).otherwise(value)
+    text = F.call_function("format_number", even, F.lit("0.00000E0"))
+    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
     bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    mantissa = bare(F.regexp_extract(text, r"^(-?\d\.\d+)e", 1))
-    scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    mantissa = bare(F.regexp_extract(text, r"^(-?\d\.\d+)E", 1))
+    scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
     fixed = bare(text.try_cast("decimal(38,12)").cast("string"))
     return F.when(value == 0, "0").when((exponent < -4) | (exponent >= 6), scientific).otherwise(fixed)
 
