@@ -82,7 +82,7 @@ def histogram_equalize(blocks: DataFrame, bins: int = 256) -> DataFrame:
 
 def max_abs_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """The largest difference of two volumes' voxels, by volume."""
-    other = b.select("volume_id", "z", "y", "x", F.col("v").alias("w"))
+    other = b.select("volume_id", "z", "y", "x", F.col("v").alias("w")).hint("merge")
     return a.join(other, ["volume_id", "z", "y", "x"]).groupBy("volume_id").agg(F.max(F.abs(F.col("v") - F.col("w"))).alias("max_abs_diff"))
 
 
@@ -133,10 +133,12 @@ def sobel_edge_voxels(voxels: DataFrame) -> DataFrame:
 
 def histogram_bins(voxels: DataFrame, bins: int = 256) -> DataFrame:
     """Voxels with their slice's low, span and count, and their bin."""
-    range_ = voxels.groupBy("volume_id", "z").agg(F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"), F.count(F.lit(1)).alias("n"))
-    range_ = range_.select("volume_id", "z", "low", F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0).alias("span"), "n")
+    # Windows, not joins: Spark takes written voxels for a few bytes and would broadcast all of them.
+    whole = W.partitionBy("volume_id", "z")
+    low, high = F.min("v").over(whole).cast("double"), F.max("v").over(whole).cast("double")
+    rows = voxels.select("*", low.alias("low"), F.when(high > low, high - low).otherwise(1.0).alias("span"), F.count(F.lit(1)).over(whole).alias("n"))
     at = F.least(F.greatest(F.floor((F.col("v").cast("double") - F.col("low")) / F.col("span") * (bins - 1)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return voxels.join(range_, ["volume_id", "z"]).withColumn("bin", at)
+    return rows.withColumn("bin", at)
 
 
 def histogram_cdf(voxels: DataFrame, bins: int = 256) -> DataFrame:
@@ -146,5 +148,6 @@ def histogram_cdf(voxels: DataFrame, bins: int = 256) -> DataFrame:
 
 
 def histogram_equalize_voxels(voxels: DataFrame, bins: int = 256) -> DataFrame:
-    share = histogram_cdf(voxels, bins).select("volume_id", "z", "bin", "cdf")
-    return histogram_bins(voxels, bins).join(share, ["volume_id", "z", "bin"]).select("volume_id", "z", "y", "x", (F.col("low") + F.col("cdf") * F.col("span")).alias("v"))
+    below = W.partitionBy("volume_id", "z").orderBy("bin").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = histogram_bins(voxels, bins).withColumn("cdf", F.count(F.lit(1)).over(below) / F.col("n"))
+    return rows.select("volume_id", "z", "y", "x", (F.col("low") + F.col("cdf") * F.col("span")).alias("v"))
