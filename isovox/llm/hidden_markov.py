@@ -4,13 +4,15 @@ States emit classes of words: each word that is frequent enough to be learned is
 classes by their last two bytes, within which a word has its share of the training tokens, plus one. A first guess
 comes from clusters of all training texts, made in their tasks and merged level by level; Baum-Welch rounds then gather
 counts from every partition of the training texts, until their likelihood stops gaining. The likelihood is exact, by
-the scaled forward recursion: a long text is cut in segments whose transfer matrices are found side by side and
-multiplied in order, so that the number of steps doesn't follow the longest text.
+the scaled forward recursion: a long text is cut in segments that run side by side, so that the number of steps doesn't
+follow the longest text. What enters a segment is first taken from a short run over the end of the one before; where
+that one's own end then turns out to be another, the segment runs again, until all agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from copy import copy
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -36,7 +38,9 @@ GAIN = 1e-3
 #: For the first guess: the most frequent classes by which texts are clustered, clusters that a task or a merge leaves,
 #: and clusters that are merged at once.
 TOP, CLUSTERS, MERGED = 1024, 16, 1024
-SEGMENT = 512
+SEGMENT = 128
+#: Tokens of the short runs by which segments begin, and how far what is taken from them may be off what is found.
+WARM, AGREE = 32, 1e-6
 #: Tokens of the corpus-wide distribution that every state starts from.
 PRIOR = 50.0
 END = np.uint64(0)
@@ -123,7 +127,7 @@ class Segments:
     """
 
     def __init__(self, classes: np.ndarray, start: np.ndarray, length: np.ndarray, model: Model):
-        self.move, self.n = model.move.astype(np.float32), len(start)
+        self.move, self.n, self.length = model.move.astype(np.float32), len(start), length
         self.steps = int(length.max()) if self.n else 0
         self.active = np.searchsorted(-length, -np.arange(self.steps), side="left")
         self.at = np.concatenate([[0], np.cumsum(self.active)])
@@ -146,25 +150,28 @@ class Segments:
                 every[:, at : at + k] = v
         return state, logs, every
 
-    def transfers(self) -> tuple[np.ndarray, np.ndarray]:
-        """[segment, from, to] from the state before to the one at the end, each row with a largest of 1, and the logs of the scales."""
-        s = len(self.move)
-        full, scale = np.zeros((self.n, s, s)), np.zeros((self.n, s))
-        v = np.repeat(self.move.T[:, :, None], self.n, axis=2)  # [to, from, segment]
-        for t in range(self.steps):
+    def part(self, which: np.ndarray) -> tuple[Segments, np.ndarray]:
+        """Some of the segments, by their rising places, and the places of their tokens among all."""
+        made = copy(self)
+        made.n, made.length = len(which), self.length[which]
+        made.steps = int(made.length[0])
+        made.active = np.searchsorted(-made.length, -np.arange(made.steps), side="left")
+        made.at = np.concatenate([[0], np.cumsum(made.active)])
+        flat = np.concatenate([self.at[t] + which[:k] for t, k in enumerate(made.active.tolist())])
+        made.classes, made.emit = self.classes[flat], np.ascontiguousarray(self.emit[:, flat])
+        return made, flat
+
+    def lead(self) -> np.ndarray:
+        """What goes back from the first tokens to the ones before, nothing being known of what follows the last."""
+        beta = np.ones((len(self.move), self.n), np.float32)
+        for t in range(self.steps - 1, -1, -1):
             k, at = int(self.active[t]), int(self.at[t])
-            if t:
-                v = (self.move.T @ v[:, :, :k].reshape(s, -1)).reshape(s, s, k)
-            v = v[:, :, :k] * self.emit[:, None, at : at + k]
-            size = np.maximum(v.max(axis=0), np.float32(1e-37))
-            v /= size
-            scale[:k] += np.log(size).T
-            after = int(self.active[t + 1]) if t + 1 < self.steps else 0
-            full[after:k] = v[:, :, after:].transpose(2, 1, 0)
-        return full, scale
+            back = self.move @ (self.emit[:, at : at + k] * beta[:, :k])
+            beta[:, :k] = back / np.maximum(back.sum(axis=0), np.float32(1e-37))
+        return beta
 
-    def backward(self, every: np.ndarray, enter: np.ndarray | None, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The chances of the states at all tokens, and expected moves less the factor ``move``.
+    def backward(self, every: np.ndarray, enter: np.ndarray | None, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chances of the states at all tokens, expected moves less the factor ``move``, what goes back before the first.
 
         ``enter``: states before the first tokens (None: there are none); ``after``: what follows the last.
         """
@@ -181,7 +188,7 @@ class Segments:
             into = every[:, int(self.at[t - 1]) :][:, :k] if t else enter.astype(np.float32)
             moves += (into / np.maximum((into * back).sum(axis=0), np.float32(1e-37))) @ out.T
             beta[:, :k] = back / np.maximum(back.sum(axis=0), np.float32(1e-37))
-        return gamma, moves
+        return gamma, moves, beta
 
 
 class Lattice:
@@ -200,40 +207,73 @@ class Lattice:
         head = nth == 0
         self.heads, self.head_doc = Segments(classes, start[head], length[head], model), self.doc[head]
         self.rest, self.rest_doc = Segments(classes, start[~head], length[~head], model), self.doc[~head]
-        # The others by their number within the text.
-        nth = nth[~head]
+        # Of each other segment the one before (-1: a head) and the head of its text; of all segments the one that follows.
+        nth, self.start = nth[~head], start[~head]
+        self.before, self.after = np.full(self.rest.n, -1), np.full(self.rest.n, -1)
+        place, self.head_after = np.full(len(size), -1), np.full(self.heads.n, -1)
         by = np.argsort(nth, kind="stable")
-        self.layers = np.split(by, np.cumsum(np.bincount(nth)[1:])[:-1]) if len(by) else []
+        for at in np.split(by, np.cumsum(np.bincount(nth)[1:])[:-1]) if len(by) else []:
+            d = self.rest_doc[at]
+            self.before[at], place[d] = place[d], at
+        inner = np.flatnonzero(self.before >= 0)
+        self.after[self.before[inner]] = inner
+        self.head_of = np.zeros(len(size), np.int64)
+        self.head_of[self.head_doc] = np.arange(self.heads.n)
+        firsts = np.flatnonzero(self.before < 0)
+        self.head_after[self.head_of[self.rest_doc[firsts]]] = firsts
 
     def _forward(self, keep: bool = False):
-        """Logs of likelihoods by text; and of both kinds of segments: states at all tokens, what enters them, what follows."""
-        m, s, docs = self.model, len(self.model.start), len(self.first) - 1
-        log = np.zeros(docs)
+        """Logs of likelihoods by text; of both kinds of segments the states at all tokens; what enters the others."""
+        m, s = self.model, len(self.model.start)
+        log = np.zeros(len(self.first) - 1)
         value, logs, every = self.heads.forward(np.repeat(m.start[:, None], self.heads.n, axis=1), keep)
         log[self.head_doc] += logs
-        after = [np.ones((s, self.heads.n)), np.ones((s, self.rest.n))]
-        if not self.layers:
-            return log, every, None, None, after
-        full, scale = self.rest.transfers()
-        state, enter = np.zeros((docs, s)), np.zeros((s, self.rest.n))
-        state[self.head_doc] = value.T
-        weight = np.exp(scale - scale.max(axis=1, keepdims=True))
-        for at in self.layers:
-            d = self.rest_doc[at]
-            enter[:, at] = state[d].T
-            v = np.einsum("ni,nij->nj", state[d] * weight[at], full[at])
-            state[d] = v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
-        _, logs, more = self.rest.forward(m.move.T @ enter, keep)
+        if not self.rest.n:
+            return log, every, None, None
+        enter = value[:, self.head_of[self.rest_doc]]
+        inner = np.flatnonzero(self.before >= 0)
+        if len(inner):
+            warm = min(WARM, SEGMENT)
+            ends = Segments(self.classes, self.start[self.before[inner]] + SEGMENT - warm, np.full(len(inner), warm), m)
+            enter[:, inner] = ends.forward(np.full((s, len(inner)), 1 / s))[0]
+        value, logs, more = self.rest.forward(m.move.T @ enter, keep)
+        while len(inner):
+            inner = inner[np.abs(value[:, self.before[inner]] - enter[:, inner]).max(axis=0) > AGREE]
+            if not len(inner):
+                break
+            enter[:, inner] = value[:, self.before[inner]]
+            some, flat = self.rest.part(inner)
+            value[:, inner], logs[inner], states = some.forward(m.move.T @ enter[:, inner], keep)
+            if keep:
+                more[:, flat] = states
+            # Those that follow the ones that ran again.
+            inner = np.sort(self.after[inner])
+            inner = inner[inner >= 0]
         np.add.at(log, self.rest_doc, logs)
-        if keep:
-            follows = np.ones((docs, s))
-            for at in self.layers[::-1]:
-                d = self.rest_doc[at]
-                after[1][:, at] = follows[d].T
-                v = weight[at] * np.einsum("nij,nj->ni", full[at], follows[d])
-                follows[d] = v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
-            after[0] = follows[self.head_doc].T
-        return log, every, more, enter, after
+        return log, every, more, enter
+
+    def _backward(self, more: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``Segments.backward`` of the segments that aren't heads."""
+        s, rest = len(self.model.start), self.rest
+        follows = np.ones((s, rest.n), np.float32)
+        inner = np.flatnonzero(self.after >= 0)
+        if len(inner):
+            lead = Segments(self.classes, self.start, np.minimum(rest.length, min(WARM, SEGMENT)), self.model).lead()
+            follows[:, inner] = lead[:, self.after[inner]]
+        gamma, moves, lead = rest.backward(more, enter, follows)
+        while len(inner):
+            inner = inner[np.abs(lead[:, self.after[inner]] - follows[:, inner]).max(axis=0) > AGREE]
+            if not len(inner):
+                break
+            some, flat = rest.part(inner)
+            states, into = more[:, flat], enter[:, inner]
+            moves -= some.backward(states, into, follows[:, inner])[1]
+            follows[:, inner] = lead[:, self.after[inner]]
+            gamma[:, flat], more_moves, lead[:, inner] = some.backward(states, into, follows[:, inner])
+            moves += more_moves
+            inner = np.sort(self.before[inner])
+            inner = inner[inner >= 0]
+        return gamma, moves, lead
 
     def likelihood(self) -> np.ndarray:
         """Natural logarithms, one for each text."""
@@ -242,15 +282,20 @@ class Lattice:
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts: of starts, moves, and emissions [state, class]; and the log likelihood over the prior's."""
-        log, every, more, enter, after = self._forward(True)
-        classes = len(self.model.prior)
-        gamma, moves = self.heads.backward(every, None, after[0])
+        log, every, more, enter = self._forward(True)
+        classes, after = len(self.model.prior), np.ones((len(self.model.start), self.heads.n), np.float32)
+        if self.rest.n:
+            gamma, others, lead = self._backward(more, enter)
+            emits = np.stack([np.bincount(self.rest.classes, g, classes) for g in gamma])
+            long = self.head_after >= 0
+            after[:, long] = lead[:, self.head_after[long]]
+        gamma, moves, _ = self.heads.backward(every, None, after)
         head = gamma[:, : self.heads.n].sum(axis=1, dtype=np.float64)
-        emits = np.stack([np.bincount(self.heads.classes, g, classes) for g in gamma])
-        if self.layers:
-            gamma, others = self.rest.backward(more, enter, after[1])
+        own = np.stack([np.bincount(self.heads.classes, g, classes) for g in gamma])
+        if self.rest.n:
             moves += others
-            emits += np.stack([np.bincount(self.rest.classes, g, classes) for g in gamma])
+            own += emits
+        emits = own
         return head, moves * self.model.move, emits, log.sum(keepdims=True)
 
 

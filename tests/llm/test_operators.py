@@ -726,6 +726,25 @@ def test_forward_and_counts():
         hidden_markov.SEGMENT = old
 
 
+@pytest.mark.parametrize("stay", [0.5, 0.999, 1 - 1e-6])
+def test_segments_agree_with_whole_texts(monkeypatch, stay):
+    """States that hardly ever change carry what is known over many segments: those run again until all agree."""
+    rng, s, c = np.random.default_rng(1), 3, 5
+    emit = rng.dirichlet(np.full(c, 30.0), s)
+    prior, move = np.full(c, 1 / c), np.full((s, s), (1 - stay) / (s - 1)) + (stay - (1 - stay) / (s - 1)) * np.eye(s)
+    model = hidden_markov.Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, int), np.zeros(1), prior, (emit / prior).T.astype(np.float32), move, np.array([0.8, 0.15, 0.05]))
+    first = np.concatenate([[0], np.cumsum([1, 400, 37, 8, 9, 161])])
+    classes = rng.integers(0, c, first[-1])
+    made = []
+    for segment in (10**6, 8):
+        monkeypatch.setattr(hidden_markov, "SEGMENT", segment)
+        monkeypatch.setattr(hidden_markov, "WARM", 3)
+        lattice = hidden_markov.Lattice(classes, first, model)
+        made.append((lattice.likelihood(), *lattice.expected()))
+    for whole, cut in zip(*made):
+        assert np.allclose(whole, cut, rtol=1e-4, atol=2e-3)
+
+
 def test_hidden_markov(spark, docs, odd, none):
     made = {r["doc_id"]: r for r in registry.QUERIES["op10_hidden_markov"](spark, DATA).collect()}
     rows = [(r["doc_id"], [*words(r["text"], True), None]) for r in docs.collect()]
