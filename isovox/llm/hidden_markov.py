@@ -36,8 +36,8 @@ TAILS = 256
 #: Rounds end when one gains less than this share of the log likelihood over the prior's.
 GAIN = 1e-3
 #: For the first guess: the most frequent classes by which texts are clustered, clusters that a task or a merge leaves,
-#: and clusters that are merged at once.
-TOP, CLUSTERS, MERGED = 1024, 16, 1024
+#: clusters that are merged at once, and those that a merge then joins pair by pair.
+TOP, CLUSTERS, MERGED, FINE = 1024, 16, 1024, 128
 SEGMENT = 128
 #: Tokens of the short runs by which segments begin, and how far what is taken from them may be off what is found.
 WARM, AGREE = 32, 1e-6
@@ -330,22 +330,47 @@ def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def clusters(table: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
-    """Sums of the rows of counts that are alike: at most ``n`` rows, by spherical k-means over damped counts."""
-    flat = np.log1p(table)
+    """Sums of the rows of counts that are alike: at most ``n`` rows, by spherical k-means over damped counts.
+
+    Rows weigh by their counts, as seeds too: else the few that are like no other take all of them, being short.
+    """
+    flat, size = np.log1p(table), table.sum(axis=1)
     flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)
-    seeds = [int(table.sum(axis=1).argmax())]
+    seeds = [int(size.argmax())]
+    near = flat @ flat[seeds[0]]
     while len(seeds) < min(n, len(table)):
-        seeds.append(int((flat @ flat[seeds].T).max(axis=1).argmin()))
-    centre = flat[seeds]
+        seeds.append(int(((1 - near) * size).argmax()))
+        near = np.maximum(near, flat @ flat[seeds[-1]])
+    centre, heavy = flat[seeds], flat * size[:, None]
     for k in range(rounds + 1):
         deal = (flat @ centre.T).argmax(axis=1)
         if k < rounds:
-            centre = np.stack([flat[deal == j].sum(axis=0) if (deal == j).any() else c for j, c in enumerate(centre)])
+            centre = np.stack([heavy[deal == j].sum(axis=0) if (deal == j).any() else c for j, c in enumerate(centre)])
             centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
     made = np.stack([table[deal == j].sum(axis=0) for j in range(len(centre))])
     return made[made.any(axis=1)]
 
 
+def joined(table: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` sums of rows of counts: of many clusters those two become one, again and again, that lose the least likelihood."""
+    rows = clusters(table, max(FINE, n)).astype(np.float64)
+
+    def lost(i: int, others: np.ndarray) -> np.ndarray:
+        log = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum(axis=-1) - x.sum(axis=-1) * np.log(np.maximum(x.sum(axis=-1), 1e-300))
+        return log(rows[i]) + log(others) - log(rows[i] + others)
+
+    loss = np.full((len(rows), len(rows)), np.inf)
+    for i in range(len(rows) - 1):
+        loss[i, i + 1 :] = lost(i, rows[i + 1 :])
+    while len(rows) > n:
+        i, j = divmod(int(loss.argmin()), len(rows))
+        rows[i] += rows[j]
+        rows, loss = np.delete(rows, j, 0), np.delete(np.delete(loss, j, 0), j, 1)
+        now = lost(i, rows)
+        loss[i, i + 1 :], loss[:i, i] = now[i + 1 :], now[:i]
+    return rows
+
+
 def _rows(table: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.astype(np.float32).tobytes() for r in table], pa.binary())], ["counts"])
 
@@ -381,13 +406,13 @@ def guessed(model: Model, coded: DataFrame) -> Model:
     rank[top] = np.arange(width)
     found = written(coded.mapInArrow(_clustered(rank, width), "counts binary"), "clusters")
     while (n := found.count()) > MERGED:
-        merge = lambda t: pa.Table.from_batches([_rows(clusters(_table(t.column("counts"), width), CLUSTERS))])
+        merge = lambda t: pa.Table.from_batches([_rows(joined(_table(t.column("counts"), width), CLUSTERS))])
         found = written(found.groupBy(F.pmod(F.xxhash64("counts"), F.lit(-(-n // MERGED)))).applyInArrow(merge, "counts binary"), "clusters")
     rows = _table(found.toArrow().column("counts"), width).astype(np.float64)
     dropped(found)
     if not len(rows):
         return model
-    prior, emits = model.prior[top] / model.prior[top].sum(), clusters(rows, states)
+    prior, emits = model.prior[top] / model.prior[top].sum(), joined(rows, states)
     for _ in range(6):
         shares = (emits + PRIOR * prior) / (emits.sum(axis=1, keepdims=True) + PRIOR)
         deal = (rows @ np.log(shares).T).argmax(axis=1)

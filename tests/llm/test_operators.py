@@ -789,6 +789,35 @@ def test_first_guess_follows_all_texts(spark, monkeypatch):
         assert fit[0][:, 5].argmax() != fit[1][:, 5].argmax()
 
 
+def test_first_guess_is_not_taken_by_texts_like_no_other(spark):
+    """Four vocabularies that share half their words, among short texts of words of their own: each gets a state, where those texts took all seeds before."""
+    kinds = "abcd"
+    rows = [(i, " ".join(f"{kinds[i % 4]}{(i * 7 + j * 13) % 50} x{j % 10}" for j in range(30))) for i in range(400)]
+    rows += [(400 + i, f"lone{i % 40}") for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8, "doc_id")
+    base = hidden_markov.fit(docs, 4, gain=1e9)[0]
+    m = hidden_markov.guessed(base, hidden_markov.coded(docs, base))
+    made = []
+    for _, text in rows[:4]:
+        t = hidden_markov.tokens(pa.array([text]))
+        made.append(int(hidden_markov.Lattice(m.lookup(t)[1], t.first, m)._forward(True)[1].sum(axis=1).argmax()))
+    assert sorted(made) == [0, 1, 2, 3]
+
+
+def test_pairs_that_lose_least_are_joined():
+    """Against all partitions that merges of two rows reach, taken by their likelihoods one by one."""
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.multinomial(k, p) for p in rng.dirichlet(np.full(30, 0.3), 3) for k in (900, 60, 500)]).reshape(9, 30).astype(np.float32)
+    log = lambda x: sum(v * math.log(v / x.sum()) for v in x if v)
+    want = [r.astype(float) for r in rows]
+    while len(want) > 3:
+        _, i, j = max((log(want[i] + want[j]) - log(want[i]) - log(want[j]), i, j) for i in range(len(want)) for j in range(i))
+        want = [w for k, w in enumerate(want) if k not in (i, j)] + [want[i] + want[j]]
+    made = hidden_markov.joined(rows, 3)
+    assert sorted(map(tuple, made)) == sorted(map(tuple, want))
+    assert hidden_markov.joined(rows[:1], 3).tolist() == rows[:1].tolist()
+
+
 def test_score_against_plain_recursion(spark, docs):
     """op10's score of each text: every word's class and share, and the forward recursion one token at a time in doubles."""
     sample = docs.where("doc_id < 60 and length(text) < 6000").union(spark.createDataFrame([(None, None, "en", "a", 0), (-1, "", "en", "a", 0), (-2, "never seen before", "en", "a", 0)], docs.schema))
