@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from copy import copy
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -110,9 +111,33 @@ class Model:
     move: np.ndarray
     start: np.ndarray
 
+    @cached_property
+    def by_state(self) -> np.ndarray:
+        return np.ascontiguousarray(self.emit.T)
+
+    @cached_property
+    def _begins(self) -> tuple[np.ndarray, np.uint64]:
+        """Where hashes of each first few bits begin among the known ones, four beginnings a word; and the other bits."""
+        bits = len(self.known).bit_length() + 2
+        other = np.uint64(64 - bits)
+        n = np.bincount((self.known >> other).astype(np.int64), minlength=1 << bits)
+        return (np.cumsum(n) - n).astype(np.int32), other
+
+    def _sorted_in(self, h: np.ndarray) -> np.ndarray:
+        """Where hashes stand in those known, or would, but at the last at most; they are spread evenly, so few steps find them."""
+        begins, other = self._begins
+        last = len(self.known) - 1
+        at = np.minimum(begins[h >> other], last).astype(np.int64)
+        below = np.flatnonzero(self.known[at] < h)
+        while len(below):
+            below = below[at[below] < last]
+            at[below] += 1
+            below = below[self.known[at[below]] < h[below]]
+        return at
+
     def lookup(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: its place among frequent words (-1: elsewhere), its class, whether that is a tail."""
-        at = np.minimum(np.searchsorted(self.known, t.hash), max(0, len(self.known) - 1))
+        at = self._sorted_in(t.hash) if len(self.known) else np.zeros(len(t.hash), np.int64)
         at = np.where(self.known[at] == t.hash, at, -1) if len(self.known) else np.full(len(t.hash), -1)
         own = np.where(at >= 0, self.own[at], -1) if len(self.known) else at
         own = np.where(t.hash == END, 0, own)
@@ -132,8 +157,8 @@ class Segments:
         self.active = np.searchsorted(-length, -np.arange(self.steps), side="left")
         self.at = np.concatenate([[0], np.cumsum(self.active)])
         place = np.concatenate([start[:k] + t for t, k in enumerate(self.active.tolist())]) if self.n else np.zeros(0, np.int64)
-        self.classes = classes[place]
-        self.emit = np.ascontiguousarray(model.emit[self.classes].T)
+        self.classes = classes[place].astype(np.int64, copy=False)
+        self.emit = np.take(model.by_state, self.classes, axis=1)
 
     def forward(self, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """From what is expected at the first tokens: states at the ends, the logs of the likelihoods, states at all tokens."""
@@ -158,7 +183,7 @@ class Segments:
         made.active = np.searchsorted(-made.length, -np.arange(made.steps), side="left")
         made.at = np.concatenate([[0], np.cumsum(made.active)])
         flat = np.concatenate([self.at[t] + which[:k] for t, k in enumerate(made.active.tolist())])
-        made.classes, made.emit = self.classes[flat], np.ascontiguousarray(self.emit[:, flat])
+        made.classes, made.emit = self.classes[flat], np.take(self.emit, flat, axis=1)
         return made, flat
 
     def lead(self) -> np.ndarray:
@@ -266,7 +291,7 @@ class Lattice:
             if not len(inner):
                 break
             some, flat = rest.part(inner)
-            states, into = more[:, flat], enter[:, inner]
+            states, into = np.take(more, flat, axis=1), enter[:, inner]
             moves -= some.backward(states, into, follows[:, inner])[1]
             follows[:, inner] = lead[:, self.after[inner]]
             gamma[:, flat], more_moves, lead[:, inner] = some.backward(states, into, follows[:, inner])

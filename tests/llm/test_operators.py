@@ -804,6 +804,17 @@ def test_first_guess_is_not_taken_by_texts_like_no_other(spark):
     assert sorted(made) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 1000])
+def test_hashes_are_found_as_by_bisection(n):
+    rng = np.random.default_rng(n)
+    known = np.unique(np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), [hidden_markov.END]]))
+    h = np.concatenate([known, known + np.uint64(1), known - np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)])
+    for k in (known, known[1:], known[-1:]):
+        model = hidden_markov.Model(k, np.zeros(len(k)), np.zeros(len(k), int), np.zeros(1), np.ones(1), np.ones((1, 1), np.float32), np.ones((1, 1)), np.ones(1))
+        at = model.lookup(hidden_markov.Tokens(h, np.zeros(len(h), int), np.array([0, len(h)])))[0]
+        assert at.tolist() == [int(i) if i < len(k) and k[i] == x else -1 for i, x in zip(np.searchsorted(k, h), h)]
+
+
 def test_pairs_that_lose_least_are_joined():
     """Against all partitions that merges of two rows reach, taken by their likelihoods one by one."""
     rng = np.random.default_rng(2)
